@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,3 +104,45 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     ).groupBy("node").agg(F.min("root").alias("root"))
+
+
+_ODD = 0x9E3779B97F4A7C15
+_POWERS = np.ones((2, 1), np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """At least n powers of an odd number, and of its inverse, modulo 2^64."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        size = 1 << (n - 1).bit_length()
+        base = np.array([_ODD, pow(_ODD, -1, 1 << 64)], np.uint64)
+        out = np.repeat(base[:, None], size, 1)
+        out[:, 0] = 1
+        _POWERS = np.cumprod(out, axis=1, dtype=np.uint64)
+    return _POWERS
+
+
+def word_spans(raw: bytes, inside: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit polynomial hash of each run of bytes that are in the table `inside`.
+
+    Works block by block (a block ends where a word does), so memory is bounded by the words, not the bytes.
+    """
+    b, lo, parts = np.frombuffer(raw, np.uint8), 0, []
+    while lo < len(b):
+        hi = min(lo + block, len(b))
+        while hi < len(b) and inside[b[hi - 1]]:  # up to the word's end
+            more = np.flatnonzero(~inside[b[hi : hi + block]])
+            hi = hi + int(more[0]) + 1 if len(more) else min(hi + block, len(b))
+        x = b[lo:hi]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside[x], [False]]).view(np.int8)))
+        first, end = edge[0::2], edge[1::2]
+        up, down = powers(len(x) + 1)
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=total[1:])
+        h = (total[end] - total[first]) * down[first]
+        h ^= h >> np.uint64(29)  # low bits of the sum mix few letters
+        parts.append((first + lo, end + lo, h * np.uint64(0xBF58476D1CE4E5B9)))
+        lo = hi
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(z) for z in zip(*parts, strict=True))
