@@ -283,8 +283,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def fn(ids, texts):
         bpe = _worker(key, blob)
-        found = [bpe.encode(t.decode("utf-8", "replace")) for t in texts]
-        return {"doc_id": ids, "ids": found, "decoded": [bpe.decode(x) for x in found]}
+        found = [bpe.rendered(t.decode("utf-8", "replace")) for t in texts]
+        return {"doc_id": ids, "ids": [np.array(x[1].split(), np.int32) for x in found], "decoded": [x[2] for x in found]}
 
     return map_text(spread(docs), id_col, text_col, fn, "doc_id long, ids array<int>, decoded string")
 

@@ -92,3 +92,19 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     scores = quality_scores(docs, train_quality(docs, labels))
     return scores.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores at least `least`; nothing is shuffled."""
+    import pyarrow as pa
+
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                texts = [x or "" for x in part.column(at).to_pylist()]
+                yield part.filter(pa.array([model.score(t.encode()) >= least for t in texts], pa.bool_()))
+
+    return spread(docs).mapInArrow(run, docs.schema)

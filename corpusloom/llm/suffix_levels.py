@@ -3,10 +3,9 @@
 Windows of `width` bytes are brought together by content-defined segments (see
 ``anchors``): equal segments are kept once with their number, and segments that share
 an anchor but differ meet in a shard. A shard takes its segments in batches. Each
-batch gets a suffix array of its windows (sorted eight bytes at a time; only ties are
-sorted on), is merge-scanned against each level for windows that agree in `width`
-bytes, and becomes a level; two levels of equal size merge into one of twice the
-size, so there are as many levels as the number of batches has bits.
+batch gets a suffix array of its windows, is merge-scanned against each level for
+windows that agree in `width` bytes, and becomes a level; levels of about equal size
+merge into one, so there are as many levels as the number of batches has bits.
 
 Defined cases: null texts count as empty; texts of fewer than `width` bytes lose
 nothing; rows with a null id keep all and cause no losses; rows that repeat an id are
@@ -25,60 +24,45 @@ from .anchors import covered, find_segments, named, resolve, runs_of, shards, te
 
 WIDTH = 200
 K = 32
-SHARD_BYTES = 4_000_000
-BATCH = 1 << 16
+SHARD_BYTES = 1_500_000
+BATCH = 1 << 17
 
 
 class SuffixLevels:
-    """Windows of a buffer, inserted in batches; `hit` marks those that occur twice."""
+    """Windows of a buffer, inserted in batches; `hit` marks those that occur twice.
+
+    A level is a sorted array of starts with the windows' bytes; equal windows are kept once.
+    """
 
     def __init__(self, buffer: bytes, width: int = WIDTH):
-        b = np.frombuffer(buffer + bytes(8), np.uint8).astype(np.uint64)
-        self.word = np.zeros(len(buffer), np.uint64)  # eight bytes from each place, first byte highest
-        for k in range(8):
-            self.word |= b[k : k + len(buffer)] << np.uint64(56 - 8 * k)
-        self.steps = sorted({*range(0, width - 7, 8), width - 8})
-        self.hit = np.zeros(len(buffer), bool)
-        self.levels: list[np.ndarray] = []  # sorted starts
-
-    def sort(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The starts in the order of their windows, and whether each window equals the one before."""
-        key = self.word[starts]
-        order = np.argsort(key, kind="stable")  # runs that are sorted already are merged
-        starts, key = starts[order], key[order]
-        same = np.append(False, key[1:] == key[:-1])
-        for step in self.steps[1:]:
-            tied = np.flatnonzero(same | np.append(same[1:], False))
-            if not len(tied):
-                break
-            group, key = np.cumsum(~same)[tied], self.word[starts[tied] + step]
-            order = np.lexsort((key, group))
-            starts[tied], key = starts[tied][order], key[order]
-            same[tied] = np.append(False, (group[1:] == group[:-1]) & (key[1:] == key[:-1]))
-        return starts, same
-
-    def mark(self, starts: np.ndarray, same: np.ndarray) -> None:
-        self.hit[starts[same | np.append(same[1:], False)]] = True
+        self.width = width
+        b = np.frombuffer(buffer, np.uint8)
+        self.windows = np.lib.stride_tricks.as_strided(b, (max(0, len(b) - width + 1), width), (1, 1), writeable=False)
+        self.hit = np.zeros(len(b), bool)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def scan(self, level: np.ndarray, batch: np.ndarray) -> None:
-        """Merge the parts of both that agree in their first bytes, and mark equal windows."""
-        a, b = self.word[level], self.word[batch]
-        at = np.searchsorted(a, b)
-        in_both = a[np.minimum(at, len(a) - 1)] == b
-        if in_both.any():
-            shared = np.unique(b[in_both])
-            lo, hi = np.searchsorted(a, shared), np.searchsorted(a, shared, "right")
-            own = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum())
-            self.mark(*self.sort(np.concatenate([level[own], batch[in_both]])))
+    def sort(self, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In the windows' order; a stable sort merges runs that are sorted already."""
+        order = np.argsort(windows, kind="stable")
+        return starts[order], windows[order]
 
     def insert(self, starts: np.ndarray) -> None:
-        batch, same = self.sort(starts)
-        self.mark(batch, same)
-        for level in self.levels:
-            self.scan(level, batch)
-        self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
-            self.levels[-2:] = [self.sort(np.concatenate(self.levels[-2:]))[0]]
+        """Sort a batch, compare it with itself and each level, and add it as a level."""
+        starts, windows = self.sort(starts, np.ascontiguousarray(self.windows[starts]).view(f"S{self.width}").ravel())
+        same = np.append(False, windows[1:] == windows[:-1])
+        self.hit[starts[same | np.append(same[1:], False)]] = True
+        starts, windows = starts[~same], windows[~same]
+        for known, level in self.levels:
+            at = np.minimum(np.searchsorted(level, windows), len(level) - 1)
+            equal = level[at] == windows
+            self.hit[known[at[equal]]] = self.hit[starts[equal]] = True
+            starts, windows = starts[~equal], windows[~equal]
+        if not len(starts):
+            return
+        self.levels.append((starts, windows))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
+            (p, x), (q, y) = self.levels[-2:]
+            self.levels[-2:] = [self.sort(np.concatenate([p, q]), np.concatenate([x, y]))]
 
 
 def choose(anchor, same, doc, many):
