@@ -38,7 +38,16 @@ def query(name: str, *tables: str, sql: str | None = None):
     return add
 
 
-ID, X = F.col("doc_id"), F.col("text")
+
+
+def ID():  # noqa: N802
+    return F.col("doc_id")
+
+
+def X():  # noqa: N802
+    return F.col("text")
+
+
 SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 WORDS = "len(regexp_extract_all(text, '\\S+'))"
 LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
@@ -66,47 +75,47 @@ def _(docs):
 
 @query("clean_text", "documents", sql=f"SELECT doc_id, md5({CLEAN}) AS h FROM documents")
 def _(docs):
-    return docs.select(ID, F.md5(T.clean_text(X)).alias("h"))
+    return docs.select(ID(), F.md5(T.clean_text(X())).alias("h"))
 
 
 @query("clean_contacts", "documents", sql="SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\\S+|www\\.\\S+', '', 'g'), '\\S+@\\S+\\.\\S+', '', 'g'), '\\(\\d{2}\\)\\s?\\d{4,5}-\\d{4}', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'))) AS h FROM documents")
 def _(docs):
-    return docs.select(ID, F.md5(T.clean_contacts(X)).alias("h"))
+    return docs.select(ID(), F.md5(T.clean_contacts(X())).alias("h"))
 
 
 @query("text_stats", "documents", sql=f"SELECT doc_id, {WORDS} AS words, greatest(1, len(regexp_extract_all(text, '[.!?…](\\s|$)'))) AS sentences, length(text) AS chars FROM documents")
 def _(docs):
-    return docs.select(ID, Q.n_words(X).cast("long").alias("words"), Q.n_sentences(X).cast("long").alias("sentences"), F.length(X).cast("long").alias("chars"))
+    return docs.select(ID(), Q.n_words(X()).cast("long").alias("words"), Q.n_sentences(X()).cast("long").alias("sentences"), F.length(X()).cast("long").alias("chars"))
 
 
 @query("text_keys", "documents", sql=f"SELECT doc_id, md5(lower({SQUEEZE.format('text')})) AS exact_key, sha256(trim(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', ' ', 'g'))) AS lookup_hash, md5(substr(text, 1, 200)) AS head_key FROM documents")
 def _(docs):
-    return docs.select(ID, F.md5(T.text_key(X)).alias("exact_key"), F.sha2(T.lookup_key(X), 256).alias("lookup_hash"), F.md5(F.substring(X, 1, 200)).alias("head_key"))
+    return docs.select(ID(), F.md5(T.text_key(X())).alias("exact_key"), F.sha2(T.lookup_key(X()), 256).alias("lookup_hash"), F.md5(F.substring(X(), 1, 200)).alias("head_key"))
 
 
 @query("lexical_key", "documents", sql="SELECT doc_id, md5(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-zà-ú0-9]+'))), ' ')) AS h FROM documents")
 def _(docs):
-    return docs.select(ID, F.md5(T.lexical_key(X)).alias("h"))
+    return docs.select(ID(), F.md5(T.lexical_key(X())).alias("h"))
 
 
 @query("dup_line_ratio", "documents", sql=f"SELECT doc_id, len({LINES}) AS n_lines, len(list_distinct({LINES})) AS n_distinct FROM documents")
 def _(docs):
-    return docs.select(ID, F.size(Q.lines(X)).cast("long").alias("n_lines"), F.size(F.array_distinct(Q.lines(X))).cast("long").alias("n_distinct"))
+    return docs.select(ID(), F.size(Q.lines(X())).cast("long").alias("n_lines"), F.size(F.array_distinct(Q.lines(X()))).cast("long").alias("n_distinct"))
 
 
 @query("symbol_ratio", "documents", sql="SELECT doc_id, (length(text) - length(regexp_replace(text, '[#*_<>{}\\[\\]|~^`\\\\]', '', 'g'))) / length(text) AS ratio FROM documents")
 def _(docs):
-    return docs.select(ID, Q.symbol_ratio(X).alias("ratio"))
+    return docs.select(ID(), Q.symbol_ratio(X()).alias("ratio"))
 
 
 @query("ai_noise", "documents", sql=f"SELECT doc_id, {NOISE} AS noise FROM documents")
 def _(docs):
-    return docs.select(ID, Q.ai_noise(X).alias("noise"))
+    return docs.select(ID(), Q.ai_noise(X()).alias("noise"))
 
 
 @query("quality_reason", "documents", sql=f"SELECT doc_id, {REASON} AS reason FROM documents")
 def _(docs):
-    return docs.select(ID, Q.quality_reason(X).alias("reason"))
+    return docs.select(ID(), Q.quality_reason(X()).alias("reason"))
 
 
 INVALID = "regexp_replace(text, '[^" + T.ABNT2.replace("'", "''") + "]', '', 'g')"
@@ -114,7 +123,7 @@ INVALID = "regexp_replace(text, '[^" + T.ABNT2.replace("'", "''") + "]', '', 'g'
 
 @query("invalid_chars", "documents", sql=f"SELECT doc_id, length(text) - length({INVALID}) AS removed, CASE WHEN trim(text) = '' OR (length(text) - length({INVALID})) / length(text) > 0.25 THEN 'discarded' WHEN length(text) > length({INVALID}) THEN 'corrected' ELSE 'ok' END AS verdict FROM documents")
 def _(docs):
-    return docs.select(ID, T.n_invalid(X).cast("long").alias("removed"), T.content_verdict(X).alias("verdict"))
+    return docs.select(ID(), T.n_invalid(X()).cast("long").alias("removed"), T.content_verdict(X()).alias("verdict"))
 
 
 def _listed(lang):
@@ -123,8 +132,8 @@ def _listed(lang):
 
 @query("lang_stopword", "documents", sql=f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}]+'), lambda x: length(x) > 2) AS w FROM documents), c AS (SELECT doc_id, len(w) AS words, len(list_filter(w, lambda x: list_contains({_listed('pt')}, x))) AS pt, len(list_filter(w, lambda x: list_contains({_listed('en')}, x))) AS en FROM t) SELECT doc_id, words, pt, en, CASE WHEN pt > 0.06 * words AND pt > en THEN 'pt' WHEN en > 0.06 * words AND en > pt THEN 'en' ELSE '?' END AS guess FROM c")
 def _(docs):
-    words = F.filter(Q.tokens(X, r"[\p{L}]+"), lambda w: F.length(w) > 2)
-    rows = docs.select(ID, words.alias("w")).select(ID, F.size("w").cast("long").alias("words"), Q.stopword_count(F.col("w"), "pt").cast("long").alias("pt"), Q.stopword_count(F.col("w"), "en").cast("long").alias("en"))
+    words = F.filter(Q.tokens(X(), r"[\p{L}]+"), lambda w: F.length(w) > 2)
+    rows = docs.select(ID(), words.alias("w")).select(ID(), F.size("w").cast("long").alias("words"), Q.stopword_count(F.col("w"), "pt").cast("long").alias("pt"), Q.stopword_count(F.col("w"), "en").cast("long").alias("en"))
     return rows.withColumn("guess", F.expr("case when pt > 0.06 * words and pt > en then 'pt' when en > 0.06 * words and en > pt then 'en' else '?' end"))
 
 
@@ -133,13 +142,13 @@ BLACK = ["idiot", "stupid", "trash", "scum", "loser"]
 
 @query("blacklist_hits", "documents", sql="SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in BLACK) + " AS hits FROM documents")
 def _(docs):
-    return docs.select(ID, Q.n_phrases(X, BLACK).alias("hits"))
+    return docs.select(ID(), Q.n_phrases(X(), BLACK).alias("hits"))
 
 
 @query("diversity", "documents", sql=f"SELECT doc_id, len(regexp_extract_all(lower(text), '\\S+')) AS words, len(list_distinct(regexp_extract_all(lower(text), '\\S+'))) AS kinds, {WORDS} >= 30 AND len(list_distinct(regexp_extract_all(lower(text), '\\S+'))) >= 0.08 * {WORDS} AS ok FROM documents")
 def _(docs):
-    w = Q.tokens(X, r"\S+")
-    return docs.select(ID, F.size(w).cast("long").alias("words"), F.size(F.array_distinct(w)).cast("long").alias("kinds"), ((F.size(w) >= 30) & (F.size(F.array_distinct(w)) >= 0.08 * F.size(w))).alias("ok"))
+    w = Q.tokens(X(), r"\S+")
+    return docs.select(ID(), F.size(w).cast("long").alias("words"), F.size(F.array_distinct(w)).cast("long").alias("kinds"), ((F.size(w) >= 30) & (F.size(F.array_distinct(w)) >= 0.08 * F.size(w))).alias("ok"))
 
 
 REP = f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), m AS (SELECT doc_id, len(w) AS words,
@@ -149,17 +158,17 @@ REP = f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), m AS (SELECT
 
 @query("repetition_metrics", "documents", sql=REP + " SELECT * FROM m")
 def _(docs):
-    m = docs.select(ID, Q.repetition(Q.tokens(X)).alias("m"))
-    return m.select(ID, F.col("m.words").cast("long").alias("words"), F.col("m.adjacent").cast("long").alias("adjacent"), F.col("m.distinct").cast("long").alias("distinct_words"), F.col("m.repeated_bigrams").cast("long").alias("repeated_bigrams"))
+    m = docs.select(ID(), Q.repetition(Q.tokens(X())).alias("m"))
+    return m.select(ID(), F.col("m.words").cast("long").alias("words"), F.col("m.adjacent").cast("long").alias("adjacent"), F.col("m.distinct").cast("long").alias("distinct_words"), F.col("m.repeated_bigrams").cast("long").alias("repeated_bigrams"))
 
 
 @query("quality_class", "documents", sql=REP + """, p AS (SELECT doc_id, CASE WHEN adjacent / greatest(words, 1) >= 0.03 THEN 2 WHEN adjacent > 0 THEN 1 ELSE 0 END
  + CASE WHEN distinct_words / greatest(words, 1) < 0.4 THEN 1 ELSE 0 END + CASE WHEN repeated_bigrams / greatest(words - 1, 1) >= 0.1 THEN 1 ELSE 0 END + CASE WHEN words < 30 THEN 1 ELSE 0 END AS points FROM m)
  SELECT doc_id, points, CASE WHEN points >= 5 THEN 'trash' WHEN points >= 2 THEN 'suspect' ELSE 'approved' END AS class FROM p""")
 def _(docs):
-    m = docs.select(ID, Q.repetition(Q.tokens(X)).alias("m"), Q.n_phrases(X, Q.MARKERS).alias("k"))
+    m = docs.select(ID(), Q.repetition(Q.tokens(X())).alias("m"), Q.n_phrases(X(), Q.MARKERS).alias("k"))
     points = Q.repetition_points(F.col("m"), F.col("k"), F.lit(0))
-    return m.select(ID, points.alias("points"), Q.repetition_class(points).alias("class"))
+    return m.select(ID(), points.alias("points"), Q.repetition_class(points).alias("class"))
 
 
 def _any(phrases):
@@ -171,12 +180,12 @@ def _any(phrases):
  - CASE WHEN length(trim(text)) < 60 OR NOT regexp_matches(trim(text), '[.!?…"''”)]$') OR ends_with(trim(text), '...') OR contains(text, '�') THEN 4 ELSE 0 END AS s FROM a)
  SELECT conv_id, turn, CAST(greatest(0, least(10, CASE WHEN rule THEN s + 3 ELSE least(s, 3) END)) AS DOUBLE) AS score FROM b""")
 def _(turns):
-    return turns.filter("role = 'assistant'").select("conv_id", "turn", Q.response_score(X).alias("score"))
+    return turns.filter("role = 'assistant'").select("conv_id", "turn", Q.response_score(X()).alias("score"))
 
 
 @query("vague_answer", "conversations", sql=f"SELECT conv_id, turn, regexp_matches(lower(text), '{'|'.join(Q.VAGUE)}') OR ({WORDS} < 30 AND NOT contains(text, '?') AND NOT contains(text, '!')) AS vague FROM conversations WHERE role = 'assistant'")
 def _(turns):
-    return turns.filter("role = 'assistant'").select("conv_id", "turn", Q.vague_answer(X).alias("vague"))
+    return turns.filter("role = 'assistant'").select("conv_id", "turn", Q.vague_answer(X()).alias("vague"))
 
 
 DUP = "SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY {}) AS is_dup FROM documents"
@@ -184,27 +193,27 @@ DUP = "SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY {}) AS is_dup FROM
 
 @query("exact_dedup", "documents", sql=DUP.format(f"lower({SQUEEZE.format('text')})"))
 def _(docs):
-    return D.duplicates(docs, T.text_key(X), "doc_id")
+    return D.duplicates(docs, T.text_key(X()), "doc_id")
 
 
 @query("lexical_dedup", "documents", sql=DUP.format("list_sort(list_distinct(regexp_extract_all(lower(text), '[a-zà-ú0-9]+')))"))
 def _(docs):
-    return D.duplicates(docs, T.lexical_key(X), "doc_id")
+    return D.duplicates(docs, T.lexical_key(X()), "doc_id")
 
 
 @query("head_dedup_kept", "documents", sql="SELECT min(doc_id) AS doc_id FROM documents GROUP BY substr(text, 1, 200)")
 def _(docs):
-    return D.first_by(docs, F.substring(X, 1, 200), "doc_id").select("doc_id")
+    return D.first_by(docs, F.substring(X(), 1, 200), "doc_id").select("doc_id")
 
 
 @query("near_dedup", "documents")
 def _(docs):
-    return D.minhash_near(docs, X, "doc_id")
+    return D.minhash_near(docs, X(), "doc_id")
 
 
 @query("source_overlap", "documents", sql="WITH k AS (SELECT DISTINCT source, md5(substr(text, 1, 200)) AS h FROM documents), n AS (SELECT source, count(*) AS n FROM k GROUP BY 1) SELECT x.source AS a, y.source AS b, count(*) AS shared, count(*) / any_value(n.n) AS share FROM k x JOIN k y ON x.h = y.h AND x.source <> y.source JOIN n ON n.source = y.source GROUP BY 1, 2")
 def _(docs):
-    return D.overlap(docs, "source", F.substring(X, 1, 200))
+    return D.overlap(docs, "source", F.substring(X(), 1, 200))
 
 
 @query("not_processed", "documents", "labels", sql="SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -214,7 +223,7 @@ def _(docs, labels):
 
 @query("label_agreement", "documents", "labels", sql=f"SELECT quality, {REASON} IS NULL AS accepted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
 def _(docs, labels):
-    rows = docs.select(ID, Q.quality_reason(X).isNull().alias("accepted")).join(labels.select("doc_id", "quality"), "doc_id")
+    rows = docs.select(ID(), Q.quality_reason(X()).isNull().alias("accepted")).join(labels.select("doc_id", "quality"), "doc_id")
     return rows.groupBy("quality", "accepted").agg(F.count("*").alias("n"))
 
 
@@ -263,12 +272,12 @@ def _(turns):
 
 @query("role_token_stats", "conversations", sql=f"SELECT role, count(*) AS turns, CAST(sum({WORDS}) AS BIGINT) AS words, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY role")
 def _(turns):
-    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum(Q.n_words(X)).alias("words"), F.sum(F.octet_length(X)).alias("bytes"))
+    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum(Q.n_words(X())).alias("words"), F.sum(F.octet_length(X())).alias("bytes"))
 
 
 @query("size_class", "documents", sql=f"SELECT CASE WHEN {WORDS} <= 128 THEN 'short' WHEN {WORDS} <= 256 THEN 'medium' ELSE 'long' END AS class, count(*) AS n FROM documents GROUP BY 1")
 def _(docs):
-    n = Q.n_words(X)
+    n = Q.n_words(X())
     return docs.select(F.when(n <= 128, "short").when(n <= 256, "medium").otherwise("long").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
@@ -306,7 +315,7 @@ def _(pages):
 
 @query("site_score", "documents", sql=f"SELECT doc_id, greatest(0, least(100, CASE WHEN {WORDS} >= 500 THEN 40 WHEN {WORDS} >= 200 THEN 30 WHEN {WORDS} >= 100 THEN 20 WHEN {WORDS} >= 40 THEN 10 ELSE 0 END + CASE WHEN source <> '' THEN 15 ELSE 0 END + CASE WHEN lang = 'pt' THEN 25 WHEN lang = 'en' THEN 10 ELSE 0 END - CASE WHEN {WORDS} > 0 AND {WORDS} / greatest(1, len(regexp_extract_all(text, '[.!?…](\\s|$)'))) > 200 THEN 20 ELSE 0 END)) AS score FROM documents")
 def _(docs):
-    return docs.select(ID, Q.site_score(X, F.col("source"), F.col("lang")).alias("score"))
+    return docs.select(ID(), Q.site_score(X(), F.col("source"), F.col("lang")).alias("score"))
 
 
 TTR = f"CASE WHEN len({TOKENS}) < 30 THEN 0.0 ELSE CAST(len(list_distinct({TOKENS})) AS DOUBLE) / len({TOKENS}) END"
@@ -314,7 +323,7 @@ TTR = f"CASE WHEN len({TOKENS}) < 30 THEN 0.0 ELSE CAST(len(list_distinct({TOKEN
 
 @query("elite_topk", "documents", sql=f"WITH t AS (SELECT doc_id, {TTR} AS ttr, len({TOKENS}) AS n FROM documents) SELECT doc_id FROM t ORDER BY ttr DESC, n DESC, doc_id LIMIT (SELECT greatest(1, CAST(round_even(count(*) * 0.05, 0) AS BIGINT)) FROM documents)")
 def _(docs):
-    rows = docs.select(ID, Q.ttr(X).alias("ttr"), F.size(Q.tokens(X)).alias("n"))
+    rows = docs.select(ID(), Q.ttr(X()).alias("ttr"), F.size(Q.tokens(X())).alias("n"))
     most = max(1, round(0.05 * docs.count()))
     return rows.orderBy(F.desc("ttr"), F.desc("n"), "doc_id").limit(most).select("doc_id")
 
@@ -335,44 +344,44 @@ def _(docs):
 
 @query("train_val_split", "documents", sql="SELECT doc_id, CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 = 0 THEN 'val' ELSE 'train' END AS part FROM documents")
 def _(docs):
-    bucket = F.conv(F.substring(F.md5(ID.cast("string")), 1, 8), 16, 10).cast("long") % 10
-    return docs.select(ID, F.when(bucket == 0, "val").otherwise("train").alias("part"))
+    bucket = F.conv(F.substring(F.md5(ID().cast("string")), 1, 8), 16, 10).cast("long") % 10
+    return docs.select(ID(), F.when(bucket == 0, "val").otherwise("train").alias("part"))
 
 
 @query("question_template", "documents", sql="SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT % 8 AS template FROM documents WHERE length(text) >= 200")
 def _(docs):
-    return docs.filter(F.length(X) >= 200).select(ID, (F.conv(F.substring(F.md5(X), 1, 8), 16, 10).cast("long") % 8).alias("template"))
+    return docs.filter(F.length(X()) >= 200).select(ID(), (F.conv(F.substring(F.md5(X()), 1, 8), 16, 10).cast("long") % 8).alias("template"))
 
 
 @query("sequence_chunks", "documents", sql=f"WITH t AS (SELECT doc_id, {WORDS} AS n FROM documents) SELECT doc_id, unnest(range(0, greatest(1, n - 64), 32)) AS first FROM t")
 def _(docs):
-    return docs.select(ID, Q.n_words(X).alias("n")).select(ID, F.explode(F.sequence(F.lit(0).cast("long"), (F.greatest(F.lit(1), F.col("n") - 64) - 1).cast("long"), F.lit(32).cast("long"))).alias("first"))
+    return docs.select(ID(), Q.n_words(X()).alias("n")).select(ID(), F.explode(F.sequence(F.lit(0).cast("long"), (F.greatest(F.lit(1), F.col("n") - 64) - 1).cast("long"), F.lit(32).cast("long"))).alias("first"))
 
 
 @query("overlap_chunks", "documents")
 def _(docs):
-    return docs.select(ID, F.posexplode(T.chunks_udf(X)).alias("piece", "chunk"))
+    return docs.select(ID(), F.posexplode(T.chunks_udf(X())).alias("piece", "chunk"))
 
 
 @query("char_histogram", "documents", sql="WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents) SELECT ch, count(*) AS n FROM c WHERE NOT regexp_matches(ch, '[" + T.ABNT2.replace("'", "''") + "]') AND ch <> '' GROUP BY ch")
 def _(docs):
-    return docs.select(F.explode(F.regexp_extract_all(X, F.lit(f"[^{T.ABNT2}]"), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(F.regexp_extract_all(X(), F.lit(f"[^{T.ABNT2}]"), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
 
 
 @query("encoding_audit", "documents", sql="SELECT source, count(*) AS texts, CAST(sum(length(text) - length(replace(text, '�', ''))) AS BIGINT) AS replacement, CAST(sum(len(regexp_extract_all(text, 'Ã[\\x{80}-\\x{BF}]|â€'))) AS BIGINT) AS mojibake FROM documents GROUP BY source")
 def _(docs):
-    return docs.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.length(X) - F.length(F.replace(X, F.lit("�"), F.lit("")))).alias("replacement"), F.sum(F.regexp_count(X, F.lit(r"Ã[\x{80}-\x{BF}]|â€"))).alias("mojibake"))
+    return docs.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.length(X()) - F.length(F.replace(X(), F.lit("�"), F.lit("")))).alias("replacement"), F.sum(F.regexp_count(X(), F.lit(r"Ã[\x{80}-\x{BF}]|â€"))).alias("mojibake"))
 
 
 @query("quality_audit", "documents", sql=f"SELECT source, count(*) AS n, count(*) FILTER ({REASON} IS NULL) AS passed, CAST(sum({WORDS}) AS BIGINT) AS words FROM documents GROUP BY GROUPING SETS ((source), ())")
 def _(docs):
-    rows = docs.select("source", Q.quality_reason(X).isNull().alias("ok"), Q.n_words(X).alias("w"))
+    rows = docs.select("source", Q.quality_reason(X()).isNull().alias("ok"), Q.n_words(X()).alias("w"))
     return rows.rollup("source").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"), F.sum("w").alias("words"))
 
 
 @query("storage_report", "documents", sql="SELECT source, lang, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source, lang)")
 def _(docs):
-    return docs.rollup("source", "lang").agg(F.count("*").alias("files"), F.sum(F.octet_length(X)).alias("bytes"))
+    return docs.rollup("source", "lang").agg(F.count("*").alias("files"), F.sum(F.octet_length(X())).alias("bytes"))
 
 
 @query("proportion_rule", "documents", sql="SELECT source, avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS share, avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) BETWEEN 0.2 AND 0.4 AS ok FROM documents GROUP BY source")
@@ -408,10 +417,10 @@ TOPICS = {"articles": ["the ", "la ", "der "], "joins": [" and ", " y ", " und "
 
 @query("category_detect", "documents", sql="WITH h AS (SELECT doc_id, unnest([" + ", ".join("{'category': '" + k + "', 'hits': " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws) + "}" for k, ws in TOPICS.items()) + "]) AS x FROM documents), r AS (SELECT doc_id, x.category AS category, x.hits AS hits, row_number() OVER (PARTITION BY doc_id ORDER BY x.hits DESC, x.category) AS rk FROM h WHERE x.hits > 0) SELECT doc_id, category, hits, rk FROM r WHERE rk <= 2")
 def _(docs):
-    hits = F.array(*[F.struct(F.lit(k).alias("category"), Q.n_phrases(X, ws).alias("hits")) for k, ws in TOPICS.items()])
+    hits = F.array(*[F.struct(F.lit(k).alias("category"), Q.n_phrases(X(), ws).alias("hits")) for k, ws in TOPICS.items()])
     ranked = F.array_sort(F.filter(hits, lambda h: h["hits"] > 0), lambda a, b: F.when(a["hits"] != b["hits"], b["hits"] - a["hits"]).when(a["category"] < b["category"], -1).otherwise(1))
-    rows = docs.select(ID, F.posexplode(F.slice(ranked, 1, 2)).alias("rk", "h"))
-    return rows.select(ID, "h.category", "h.hits", (F.col("rk") + 1).cast("long").alias("rk"))
+    rows = docs.select(ID(), F.posexplode(F.slice(ranked, 1, 2)).alias("rk", "h"))
+    return rows.select(ID(), "h.category", "h.hits", (F.col("rk") + 1).cast("long").alias("rk"))
 
 
 @query("format_detect", "events", sql="SELECT event_id, CASE WHEN json_extract_string(props, '$.messages') IS NOT NULL THEN 'messages' WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'record' ELSE 'unknown' END AS format FROM events")
@@ -423,18 +432,18 @@ def _(events):
 @query("benchmark_contamination", "documents", "benchmark", sql="SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def _(docs, items):
     # equi-join on the first eight words of the item, then containment: no nested loop
-    words = F.regexp_extract_all(X, F.lit(r"\S+"), F.lit(0))
+    words = F.regexp_extract_all(X(), F.lit(r"\S+"), F.lit(0))
     heads = lambda w: F.array_join(w, " ")
-    left = docs.select(ID, X.alias("dt"), words.alias("w")).filter("size(w) >= 8").select(ID, "dt", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("w") - 6), lambda i: heads(F.slice("w", i, 7))))).alias("head"))
-    right = items.select("item_id", X.alias("it"), words.alias("w")).filter("size(w) >= 9").select("item_id", "it", heads(F.slice("w", 2, 7)).alias("head"))
+    left = docs.select(ID(), X().alias("dt"), words.alias("w")).filter("size(w) >= 8").select(ID(), "dt", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("w") - 6), lambda i: heads(F.slice("w", i, 7))))).alias("head"))
+    right = items.select("item_id", X().alias("it"), words.alias("w")).filter("size(w) >= 9").select("item_id", "it", heads(F.slice("w", 2, 7)).alias("head"))
     return left.join(right, "head").filter(F.contains("dt", F.col("it"))).select("doc_id", "item_id").distinct()
 
 
 @query("space_joined", "documents")
 def _(docs):
-    return docs.select(ID, F.md5(T.space_joined(X)).alias("h"))
+    return docs.select(ID(), F.md5(T.space_joined(X())).alias("h"))
 
 
 @query("sanitized", "documents")
 def _(docs):
-    return sanitize(docs).select(ID, "verdict", F.md5("text").alias("h"))
+    return sanitize(docs).select(ID(), "verdict", F.md5("text").alias("h"))
