@@ -23,6 +23,23 @@ def fold(id_col, folds: int):
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds))
 
 
+def least_hashed(rows: DataFrame, hashed, tie: str, most: int, bits: int = 12) -> DataFrame:
+    """The `most` rows with the least hashes, without each task sending its own `most` to one.
+
+    Rows are counted by the hash's first bits (at most 2^bits counts come to the driver),
+    and only those up to the bound where the counts reach `most` are sorted.
+    """
+    bucket = F.shiftright(hashed, 64 - bits)
+    counts, total, bound = rows.groupBy(bucket.alias("b")).count().collect(), 0, None
+    for r in sorted(counts):
+        total += r["count"]
+        if total >= most:
+            bound = r["b"]
+            break
+    kept = rows if bound is None else rows.filter(bucket <= bound)
+    return kept.orderBy(hashed, tie).limit(most)
+
+
 def sample_ids(labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
     """id, y: at most `most` labelled rows outside the held-out fold, picked by a hash of the id.
 
@@ -30,7 +47,7 @@ def sample_ids(labels: DataFrame, label: str, folds: int, held: int, most: int)
     """
     rows = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).dropna()
     rows = rows.filter(fold(F.col("id"), folds) != held).groupBy("id").agg(F.max("y").alias("y"))
-    return rows.orderBy(F.xxhash64("id"), "id").limit(most)
+    return least_hashed(rows, F.xxhash64("id"), "id", most)
 
 
 def tokens(raw: bytes) -> list[bytes]:

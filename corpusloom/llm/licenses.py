@@ -26,7 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, spread
+from .common import cut, map_text, spread
+from .labelled import least_hashed
 
 BITS = 16
 LEAST, SHARED = 0.5, 0.6
@@ -185,11 +186,11 @@ def fit(other: list[str], steps: int = 100, decay: float = 1e-4) -> LicenseModel
 
 
 def other_paragraphs(docs: DataFrame, most: int = MOST_OTHER) -> list[str]:
-    """At most `most` corpus paragraphs, of at most 400 letters, without the words of the notices: a bounded, hashed training sample."""
+    """At most `most` corpus paragraphs, of at most 400 letters, without the words of the notices: a bounded, hashed training sample of distinct lines."""
     line = F.explode(F.split(F.col("text").cast("string"), "[\r\n]+")).alias("line")
     rows = docs.select(line).filter(F.length("line").between(20, 400) & ~F.lower("line").rlike("licen[sc]e|copyright|gpl|public domain|rights reserved"))
-    rows = rows.filter("xxhash64(line) % 64 = 0").orderBy(F.xxhash64("line", F.lit(1)), "line").limit(most)
-    return sorted({r[0] for r in rows.collect()})
+    kinds = cut(rows.filter("xxhash64(line) % 64 = 0").distinct())  # a line that very many documents share counts once
+    return sorted(r[0] for r in least_hashed(kinds, F.xxhash64("line", F.lit(1)), "line", most).collect())
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

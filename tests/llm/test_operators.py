@@ -268,3 +268,15 @@ def test_pipeline(spark):
     assert not any(i in t for i in items for t in texts)
     assert P.STAGES[-1][1](spark, out, SF).count() == out.count()
     duckdb.connect().close()
+
+
+def test_least_hashed(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.labelled import least_hashed
+
+    rows = spark.range(5000)
+    h = F.xxhash64("id")
+    for most in (1, 37, 4999, 9000):
+        assert least_hashed(rows, h, "id", most).collect() == rows.orderBy(h, "id").limit(most).collect()
+    assert least_hashed(rows.filter("id < 0"), h, "id", 5).count() == 0
