@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, powers, spread, word_spans
@@ -202,31 +202,23 @@ def runs_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2] - 1
 
 
-def resolve(found: DataFrame, choose: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def resolve(found: DataFrame, done: Column, wanted: Column) -> DataFrame:
     """Deal segments by anchor and settle what needs no text.
 
-    choose(same_anchor, same_segment, doc_id, many), over rows sorted by anchor,
-    content hash, doc_id, gives two masks: rows whose windows are all covered, and
-    rows that the index needs. Result: doc_id, tid, s, n, a, done, wanted.
-    """
+    done: rows whose windows are all covered; wanted: rows that the index needs. Both
+    are expressions over doc_id, many, and the facts `first` (one row of each segment),
+    `copies` and `least` (of equal segments: rows, least document), `kinds` (whether the
+    anchor has different segments), `low` and `high` (the anchor's documents). Result:
+    doc_id, tid, s, n, a, done, wanted.
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        col = {c: t.column(c).to_numpy() for c in t.column_names}
-        order = np.lexsort((col["s"], col["doc_id"], col["h"], col["a"]))
-        col = {c: v[order] for c, v in col.items()}
-        new_a = np.append(True, col["a"][1:] != col["a"][:-1])
-        new_h = new_a | np.append(True, col["h"][1:] != col["h"][:-1])
-        done, wanted = choose(np.cumsum(new_a) - 1, np.cumsum(new_h) - 1, col["doc_id"], col["many"])
-        keep = done | wanted
-        out = {c: pa.array(col[c][keep]) for c in ("doc_id", "tid", "s", "n", "a")}
-        yield pa.record_batch(out | {"done": pa.array(done[keep]), "wanted": pa.array(wanted[keep])})
-
-    dealt = found.repartition("a")
-    return cut(dealt.mapInArrow(run, "doc_id long, tid long, s int, n int, a long, done boolean, wanted boolean"))
+    One shuffle and one sort serve all windows, and both spill, so a frequent anchor
+    takes disk, not memory.
+    """
+    same, anchor = Window.partitionBy("a", "h"), Window.partitionBy("a")
+    facts = found.withColumn("first", F.row_number().over(same.orderBy("doc_id", "s", "tid")) == 1)
+    facts = facts.withColumns({"copies": F.count("*").over(same), "least": F.min("doc_id").over(same)})
+    facts = facts.withColumns({"kinds": F.min("h").over(anchor) != F.max("h").over(anchor), "low": F.min("doc_id").over(anchor), "high": F.max("doc_id").over(anchor)})
+    return cut(facts.select("doc_id", "tid", "s", "n", "a", done.alias("done"), wanted.alias("wanted")).filter("done or wanted"))
 
 
 def shards(settled: DataFrame, width: int, size: int) -> DataFrame:

@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .anchors import covered, find_segments, named, resolve, runs_of, shards, texts_of, with_ranges
 
@@ -126,14 +127,10 @@ class FmIndex:
         return out
 
 
-def choose(anchor, same, doc, many):
-    """Rows after a smaller document's equal segment are done; the first document's go to the index if the anchor has other segments of other documents."""
-    least = np.minimum.reduceat(doc, np.flatnonzero(np.append(True, np.diff(same) > 0)))[same]
-    begins = np.flatnonzero(np.append(True, np.diff(anchor) > 0))
-    low, high = np.minimum.reduceat(doc, begins)[anchor], np.maximum.reduceat(doc, begins)[anchor]
-    kinds = (np.maximum.reduceat(same, begins) - np.minimum.reduceat(same, begins))[anchor] > 0
-    done = doc > least
-    return done, ~done & kinds & (low < high)
+#: Rows after a smaller document's equal segment are done; the first document's go to the
+#: index if the anchor has other segments of other documents.
+DONE = "doc_id > least"
+WANTED = "doc_id = least and kinds and low < high"
 
 
 def shard_ranges(width: int):
@@ -152,7 +149,7 @@ def shard_ranges(width: int):
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, tid, first, last: ranges of windows (by first word) that also start in a smaller document."""
-    settled = resolve(find_segments(docs, True, width, K), choose)
+    settled = resolve(find_segments(docs, True, width, K), F.expr(DONE), F.expr(WANTED))
     wanted = texts_of(shards(settled, width, SHARD_WORDS), docs, True, width)
     found = wanted.groupBy("shard").applyInArrow(shard_ranges(width), "doc_id long, tid long, first long, last long")
     done = settled.filter("done").selectExpr("doc_id", "tid", "cast(s as long) as first", "cast(s + n - 1 as long) as last")

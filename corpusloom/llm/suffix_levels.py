@@ -19,6 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .anchors import covered, find_segments, named, resolve, runs_of, shards, texts_of, with_ranges
 
@@ -65,13 +66,10 @@ class SuffixLevels:
             self.levels[-2:] = [self.sort(np.concatenate([p, q]), np.concatenate([x, y]))]
 
 
-def choose(anchor, same, doc, many):
-    """Equal segments are done; the index needs one of each kind where an anchor has several kinds or recurs within a segment."""
-    first = np.append(True, np.diff(same) > 0)
-    count = np.diff(np.append(np.flatnonzero(first), len(same)))[same]
-    begins = np.flatnonzero(np.append(True, np.diff(anchor) > 0))
-    kinds = (np.maximum.reduceat(same, begins) - np.minimum.reduceat(same, begins))[anchor] > 0
-    return count > 1, first & (kinds | many & (count == 1))
+#: Equal segments are done; the index needs one of each kind where an anchor has several
+#: kinds or recurs within a segment, and every segment that is there once.
+DONE = "copies > 1"
+WANTED = "first and (kinds or many or copies = 1)"
 
 
 def shard_ranges(width: int):
@@ -97,7 +95,7 @@ def shard_ranges(width: int):
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, tid, first, last: ranges of windows (by first byte) that also start elsewhere."""
-    settled = resolve(find_segments(docs, False, width, K), choose)
+    settled = resolve(find_segments(docs, False, width, K), F.expr(DONE), F.expr(WANTED))
     wanted = texts_of(shards(settled, width, SHARD_BYTES), docs, False, width)
     found = wanted.groupBy("shard").applyInArrow(shard_ranges(width), "doc_id long, tid long, first long, last long")
     done = settled.filter("done").selectExpr("doc_id", "tid", "cast(s as long) as first", "cast(s + n - 1 as long) as last")
