@@ -67,9 +67,9 @@ class SuffixLevels:
 
 
 #: Equal segments are done; the index needs one of each kind where an anchor has several
-#: kinds or recurs within a segment, and every segment that is there once.
+#: kinds, or recurs within a segment that is there once.
 DONE = "copies > 1"
-WANTED = "first and (kinds or many or copies = 1)"
+WANTED = "first and (kinds or many and copies = 1)"
 
 
 def shard_ranges(width: int):
