@@ -43,17 +43,44 @@ def recent_duplicates(df: DataFrame, group: str, order: str, key: str, last: int
     return df.withColumn("seen", F.array_contains(F.collect_set(key).over(w), F.col(key)))
 
 
-def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows: int = 8, threshold: float = 0.8) -> DataFrame:
-    """order column, duplicate_of: the earliest row whose word set has a Jaccard similarity of at least the threshold.
-
-    Bands of min-hashes bring candidates together; each candidate is verified exactly
-    against its band's first rows by word sets. Equal sets meet in one row beforehand.
+def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows: int = 8, threshold: float = 0.8, cut=lambda t: t.checkpoint()) -> DataFrame:
+    """order column, duplicate_of: rows that repeat an earlier row that is kept.
+
+    Rows are taken in order; a row is a duplicate if a kept row before it shares a band
+    of min-hashes and its word set has a Jaccard similarity of at least the threshold.
+    Equal word sets meet in one row beforehand. This is settled in rounds without pairing
+    the rows of a band: a row that is first in all its bands is kept, and each band's
+    other rows are compared with its first row alone, so a round compares each row with
+    at most as many rows as there are bands, however many share one. Rows compared in
+    vain go on to the next round. cut ends the lineage of a round. Rows without words or
+    with a null order are never duplicates.
     """
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))))
-    sets = df.select(F.col(order).alias("o"), words.alias("w")).filter("size(w) > 0").groupBy("w").agg(F.min("o").alias("o"))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.array_min(F.transform("w", lambda x, i=b * rows + r: F.xxhash64(x, F.lit(i)))) for r in range(rows)]) for b in range(perms // rows)])
-    banded = sets.select("o", "w", F.posexplode(bands).alias("b", "h"))
-    pairs = banded.alias("x").join(banded.alias("y"), ["b", "h"]).filter("x.o < y.o").select(F.col("x.o").alias("a"), F.col("y.o").alias("o"), F.col("x.w").alias("p"), F.col("y.w").alias("q"))
-    shared = F.size(F.array_intersect("p", "q"))
-    close = pairs.filter(shared >= threshold * (F.size("p") + F.size("q") - shared))
-    return close.groupBy("o").agg(F.min("a").alias("duplicate_of")).withColumnRenamed("o", order)
+    keyed = df.select(F.col(order).alias("o"), words.alias("w")).filter("size(w) > 0 and o is not null").withColumn("set", F.md5(F.array_join("w", " ")))
+    keyed = cut(keyed)
+    sets = cut(keyed.groupBy("set").agg(F.min("o").alias("o"), F.first("w").alias("w")))
+
+    def min_hash(seed: int) -> Column:  # a lambda of two arguments would get the place as the second
+        return F.array_min(F.transform("w", lambda x: F.xxhash64(x, F.lit(seed))))
+
+    bands = F.array(*[F.xxhash64(F.lit(b), *[min_hash(b * rows + r) for r in range(rows)]) for b in range(perms // rows)])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    dealt = sets.repartition(2 * cores) if sets.rdd.getNumPartitions() < cores else sets
+    banded = cut(dealt.select("o", F.explode(bands).alias("k")))
+    live = cut(banded.join(banded.groupBy("k").count().filter("count > 1").select("k"), "k", "left_semi"))
+    found = []
+    while not live.isEmpty():
+        firsts = live.join(live.groupBy("k").agg(F.min("o").alias("m")), "k")
+        kept = firsts.groupBy("o").agg(F.every(F.col("o") == F.col("m")).alias("kept")).filter("kept").select("o")
+        pairs = firsts.filter("o <> m").select("o", "m").distinct().join(kept.select(F.col("o").alias("m")), "m", "left_semi")
+        sides = pairs.join(sets.select("o", F.col("w").alias("p")), "o").join(sets.select(F.col("o").alias("m"), F.col("w").alias("q")), "m")
+        shared = F.size(F.array_intersect("p", "q"))
+        close = cut(sides.filter(shared >= threshold * (F.size("p") + F.size("q") - shared)).groupBy("o").agg(F.min("m").alias("duplicate_of")))
+        found.append(close)
+        live = cut(live.join(kept.unionByName(close.select("o")), "o", "left_anti"))
+    near = found[0] if found else sets.filter("false").select("o", F.col("o").alias("duplicate_of"))
+    for part in found[1:]:
+        near = near.unionByName(part)
+    first = sets.select("set", F.col("o").alias("first")).join(near.withColumnRenamed("o", "first"), "first", "left")
+    out = keyed.select("o", "set").join(first, "set").filter("o <> first or duplicate_of is not null")
+    return out.select(F.col("o").alias(order), F.coalesce("duplicate_of", "first").alias("duplicate_of"))

@@ -11,6 +11,7 @@ from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import conversation as C
 from ..operators import dedup as D
+from ..sources.sinks import written
 from .light_clean import light_clean, sanitize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,7 +209,7 @@ def _(docs):
 
 @query("near_dedup", "documents")
 def _(docs):
-    return D.minhash_near(docs, X(), "doc_id")
+    return D.minhash_near(docs, X(), "doc_id", cut=written)
 
 
 @query("source_overlap", "documents", sql="WITH k AS (SELECT DISTINCT source, md5(substr(text, 1, 200)) AS h FROM documents), n AS (SELECT source, count(*) AS n FROM k GROUP BY 1) SELECT x.source AS a, y.source AS b, count(*) AS shared, count(*) / any_value(n.n) AS share FROM k x JOIN k y ON x.h = y.h AND x.source <> y.source JOIN n ON n.source = y.source GROUP BY 1, 2")

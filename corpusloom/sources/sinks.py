@@ -26,6 +26,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: ends the lineage and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def placed(df: DataFrame, group: str, order: str, width: int = 1 << 20) -> DataFrame:
     """df with `place`, the row's number within its group from 0, by a whole-number order column."""
     ranged = df.withColumn("_range", F.floor(F.col(order) / width))

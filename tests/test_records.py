@@ -99,3 +99,29 @@ def test_stream_resumes(spark, tmp_path):
         spark.range(k * 10, k * 10 + 10).write.mode("append").parquet(str(tmp_path / "in"))
         pick_up(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "id long", lambda d: d)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_near_duplicates_against_brute_force(spark):
+    import random
+
+    from corpusloom.operators.dedup import minhash_near
+    from corpusloom.sources.sinks import written
+
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(12):
+        base = rng.sample(vocab, 60)
+        texts.append(base)
+        texts += [base[:-1] + [rng.choice(vocab)] for _ in range(4)]  # near copies
+    texts += [texts[0], list(reversed(texts[0])), []]
+    data = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, None)]
+    df = spark.createDataFrame(data, "id long, text string").repartition(3)
+    got = {r["id"]: r["duplicate_of"] for r in minhash_near(df, F.col("text"), "id", cut=written).collect()}
+    kept, want = [], set()
+    for k, t in enumerate(texts):
+        near = [j for j in kept if len(set(t) & set(texts[j])) >= 0.8 * len(set(t) | set(texts[j]))] if t else []
+        (want.add(k) if near else kept.append(k))
+    assert set(got) <= want and len(want - set(got)) <= len(want) // 50  # banding finds a pair of 0.95 with all but certainty
+    assert all(got[k] in kept for k in got)
+    assert minhash_near(df.filter("id < 0"), F.col("text"), "id", cut=written).count() == 0
