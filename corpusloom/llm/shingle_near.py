@@ -1,0 +1,122 @@
+"""Near-dedup at a Jaccard similarity of five-word shingles: min-hash candidates, exact check.
+
+A document's 80 min-hashes form BANDS keys of ROWS each; documents that share a key are
+candidates (at a similarity of 0.8 a pair shares none with a chance of about 0.002). Every
+candidate link is checked on the whole shingle sets, so no pair below the threshold is
+linked. Keys of at most SMALL documents are paired completely. In a larger key each document
+is compared with one of them; those compared in vain go on to the next round, until none is
+left, so a large group of copies costs a comparison a document and key, not its square.
+Links are joined into components by distributed star rounds.
+
+Defined cases: words are lower-case runs of bytes other than ASCII white space; a text of
+fewer words than the width is one shingle; texts without words are alike; null texts count as
+empty; null ids keep their row and are never linked; rows with the same id and text are one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, cut, map_text, spread, word_spans
+
+BANDS, ROWS = 16, 5
+SMALL = 16
+INSIDE = np.array([bytes([b]).strip() != b"" for b in range(256)])
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(23).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles."""
+    h = word_spans(raw.lower(), INSIDE)[2]
+    width = min(width, len(h))
+    if not width:
+        return np.zeros(0, np.uint64)
+    n = len(h) - width + 1
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
+        out = (out ^ (out >> np.uint64(31))) * MIX + h[k : k + n]
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(27)))
+
+
+def band_keys(x: np.ndarray) -> np.ndarray:
+    """A key a band, from the set's min-hashes."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(x), 2048):
+        np.minimum(least, (x[lo : lo + 2048] * _ODD[:, None]).min(1), out=least)
+    least = least.reshape(BANDS, ROWS)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = (out ^ (out >> np.uint64(31))) * MIX + least[:, k]
+    return out ^ (out >> np.uint64(29))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """u, v of the pairs whose shingle sets are similar enough. texts: node, text."""
+
+    def fn(batches):
+        for b in batches:
+            u, v, p, q = b.columns
+            keep, last, old = [], None, None
+            for x, y, s, t in zip(u.to_pylist(), v.to_pylist(), p.cast(pa.binary()), q.cast(pa.binary()), strict=True):
+                if x != last:
+                    last, old = x, shingle_set(s.as_py() or b"", width)
+                keep.append(similarity(old, shingle_set(t.as_py() or b"", width)) >= least)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("q")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("p")), "u")
+    return both.select("u", "v", "p", "q").mapInArrow(fn, "u long, v long")
+
+
+def with_group(live: DataFrame, n: int) -> DataFrame:
+    """node, key, least, size of the rows whose key has more rows; keys of very many rows are broadcast, at most 4096 a band."""
+    groups = live.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    groups = cut(groups)
+    hot = groups.filter(F.col("size") > max(1000, n // 4096))
+    cool = groups.filter(F.col("size") <= max(1000, n // 4096))
+    rest = live.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cool, "key")
+    return live.join(F.broadcast(hot), "key").unionByName(rest)
+
+
+def near_links(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """u, v: verified links of docs(node, text), enough to join what the keys bring together."""
+
+    def fn(ids, texts):
+        return {"node": ids, "keys": [band_keys(shingle_set(t, width)).view(np.int64) for t in texts]}
+
+    marked = cut(map_text(spread(docs), "node", "text", fn, "node long, keys array<long>"))
+    n = marked.count()
+    live, found = marked.select("node", F.explode("keys").alias("key")), None
+    while True:
+        rows = cut(with_group(live, n))
+        small = rows.filter(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
+        paired = small.select("m", F.posexplode("m").alias("k", "u")).select("u", F.explode(F.slice("m", F.col("k") + 2, SMALL)).alias("v"))
+        large = rows.filter((F.col("size") > SMALL) & (F.col("node") != F.col("least")))
+        pairs = paired.unionByName(large.select(F.col("least").alias("u"), F.col("node").alias("v"))).distinct()
+        links = cut(verified(pairs, docs, width, least))
+        found = links if found is None else found.unionByName(links)
+        if large.isEmpty():
+            return found
+        live = cut(large.join(links.select(F.col("u").alias("least"), F.col("v").alias("node")), ["least", "node"], "left_anti").select("node", "key"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), component_id, kept: the rows that are linked to another, one a distinct id and text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    named = rows.select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    roots = cut(components(near_links(named.select("node", "text"), width, least)))
+    known = cut(named.select("node", "doc_id", "text_key").join(roots, "node").distinct())
+    first = known.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    return known.join(first, "root").select("doc_id", "text_key", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "text_key") == F.col("first")).alias("kept"))

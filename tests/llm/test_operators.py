@@ -280,3 +280,46 @@ def test_least_hashed(spark):
     for most in (1, 37, 4999, 9000):
         assert least_hashed(rows, h, "id", most).collect() == rows.orderBy(h, "id").limit(most).collect()
     assert least_hashed(rows.filter("id < 0"), h, "id", 5).count() == 0
+
+
+def test_near_stage_recall(spark):
+    """Against brute force at 0.8, with copies of every similarity, a large group and a chain."""
+    import corpus_pipeline as P
+    from corpusloom.llm.shingle_near import near_links
+
+    rng = random.Random(12)
+    vocab = [f"v{k}" for k in range(3000)]
+    rows = []
+    for _ in range(150):
+        base = rng.choices(vocab, k=rng.randint(20, 300))
+        copy = list(base)
+        for _ in range(rng.randint(0, len(base) // 20 + 1)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocab)
+        rows += [" ".join(base), " ".join(copy).upper()]
+    base = rng.choices(vocab, k=200)
+    rows += [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(60)]  # more than SMALL share keys
+    rows += [" ".join(base[9 * k :] + rng.choices(vocab, k=9 * k)) for k in range(4)] + ["", "one two"]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in rows]
+    near = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in sorted(near):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {k for k in range(len(rows)) if find(k) != k}
+    docs = frame(spark, list(enumerate(rows))).cache()
+    links = {(min(r), max(r)) for r in near_links(docs.selectExpr("doc_id node", "text"), 5, 0.8).collect()}
+    kept = {r["doc_id"] for r in P.near_stage(spark, docs, SF).collect()}
+    gone = set(range(len(rows))) - kept
+    between = {(a, b) for a, b in near if a < 300 and len(sets[a] & sets[b]) < 0.95 * len(sets[a] | sets[b])}
+    assert links <= near and len(between) > 40 and len(between & links) >= 0.97 * len(between)
+    assert gone <= want and len(gone) >= 0.98 * len(want)
