@@ -1,18 +1,19 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-A document leaks an item of L words if one of its windows of L words is within
+A document leaks an item of L words if one of its windows, of any length, is within
 floor(0.2 L) word edits of the item (similarity 0.8 or more; words are runs of
 letters, digits and underscores in lower case, so case and punctuation don't count).
 
-Windows come from a sound filter: an item cut into floor(0.2 L) + 1 pieces keeps a
-piece intact under that many edits, so only windows laid around an intact piece, at
-all shifts up to the budget, can match. Each is embedded by CGK's random walk (a
-symbol's random bit says whether the walk moves on), which turns edit distance into
-Hamming distance; of each of TABLES walks SAMPLED places are read, and a window that
-agrees with its item in any table is a candidate. The edit distance of every
-candidate is then computed exactly (Myers' bit-parallel rows). With distances at the
-budget's edge a table agrees with probability of 0.2 or more, so the tables reach a
-recall of 0.99; tests measure it against brute force.
+Candidates come from a sound filter: an item cut into floor(0.2 L) + 1 pieces keeps a
+piece intact under that many edits, so only the stretch of L words and the budget on either
+side, laid around an intact piece, can match, and only if L + budget words of it hold enough
+of the item's. This filter does the selecting. The stretch's windows of L words are then
+embedded by CGK's random walk (a symbol's random bit says whether the walk moves on), which
+turns edit distance into Hamming distance; of each of TABLES walks SAMPLED places are read,
+and a stretch stays if a window of it agrees with the item in any table. Unrelated windows
+mostly agree too, so the tables drop next to nothing; a test measures their pass rate and
+the recall. The edit distance of the best window of each stretch is then computed exactly,
+with both ends free where asked for (Myers' bit-parallel rows).
 
 The items are the query set: blocks of BLOCK of them come to the driver in turn and
 go with the code to the tasks; documents are streamed once a block and never shuffled.
@@ -46,25 +47,34 @@ def words(raw: bytes) -> list[bytes]:
     return _WORD.findall(raw.decode("utf-8", "replace").lower().encode())
 
 
-def distance(masks: dict[bytes, int], size: int, window: list[bytes]) -> int:
-    """Edit distance of a window to an item (masks: bits of each word's places in it), a column a word."""
+def distances(masks: dict[bytes, int], size: int, window: list[bytes], free: bool) -> list[int]:
+    """Edit distance of an item (masks: bits of each word's places in it) to the words up to each place: from the first word, or, if free, from whichever is best."""
     full, top = (1 << size) - 1, 1 << (size - 1)
-    up, down, score = full, 0, size
+    up, down, score, out = full, 0, size, []
     for w in window:
         eq = masks.get(w, 0)
         diag = (((eq & up) + up) ^ up) | eq | down
         right, left = down | (full & ~(diag | up)), up & diag
         score += bool(right & top) - bool(left & top)
-        right = (right << 1) | 1
+        out.append(score)
+        right = (right << 1) | (not free)
         up = ((left << 1) | (full & ~(diag | right))) & full
         down = right & diag & full
-    return score
+    return out
+
+
+def bits(ws: list[bytes]) -> dict[bytes, int]:
+    mask: dict[bytes, int] = defaultdict(int)
+    for k, w in enumerate(ws):
+        mask[w] |= 1 << k
+    return dict(mask)
 
 
 class Items:
     """A block of benchmark items, prepared for the scan."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], seed: int = 11):
+    def __init__(self, rows: list[tuple[int, str | None]], seed: int = 11, free_ends: bool = True):
+        self.free_ends = free_ends
         rng = np.random.default_rng(seed)
         self.items = [(i, w) for i, t in rows if (w := words((t or "").encode()))]
         most = max([1, *(len(w) for _, w in self.items)])
@@ -75,20 +85,16 @@ class Items:
         self.hashes = np.sort(np.concatenate([np.zeros(0, np.uint64), *(word_spans(w, INSIDE)[2] for w in vocabulary)]))
         coded = [np.searchsorted(self.hashes, word_spans(b" ".join(ws), INSIDE)[2]).astype(np.uint64) + np.uint64(1) for _, ws in self.items]
         self.own = [np.unique(c) for c in coded]
-        self.masks = []
+        self.masks = [(bits(ws), bits(ws[::-1])) for _, ws in self.items]
         pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for n, (_, ws) in enumerate(self.items):
-            mask: dict[bytes, int] = defaultdict(int)
-            for k, w in enumerate(ws):
-                mask[w] |= 1 << k
-            self.masks.append(dict(mask))
             budget = len(ws) // SHARE
             size = len(ws) // (budget + 1)
             keys = self.keys(coded[n], size)[1]
             for k in range(budget + 1):
                 pieces[size][int(keys[k * size])].append((n, k * size))
         self.pieces = {s: (np.array(sorted(p), np.uint64), dict(p)) for s, p in pieces.items()}
-        self.embedded = self.embed(symbols([ws for _, ws in self.items]), np.array([len(ws) for _, ws in self.items], np.int64))
+        self.embedded = self.embed(symbols([ws for _, ws in self.items], most), np.array([len(ws) for _, ws in self.items], np.int64))
 
     @staticmethod
     def keys(coded: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +123,12 @@ class Items:
             at = np.minimum(at + turn, size[:, None])  # the walk stays on the pad after the end
         return out
 
-    def windows(self, coded: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, first word) of each window around an intact piece that has enough of the item's words.
+    def stretches(self, coded: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(text, item, first word, end) of each stretch around an intact piece that has enough of the item's words.
 
         bounds: the first word of each text, and the number of words.
         """
-        out: set[tuple[int, int, int]] = set()
+        out: set[tuple[int, int, int, int]] = set()
         for size, (known, where) in self.pieces.items():
             at, keys = self.keys(coded, size)
             if not len(keys):
@@ -134,14 +140,29 @@ class Items:
                     length = len(self.items[n][1])
                     budget = length // SHARE
                     first = max(int(bounds[text]), int(at[k]) - offset - budget)
-                    last = min(int(bounds[text + 1]) - length, int(at[k]) - offset + budget)
-                    if first > last:
-                        continue
-                    shared = np.concatenate([[0], np.cumsum(np.isin(coded[first : last + length], self.own[n]))])
-                    enough = shared[length:] - shared[:-length] >= length - budget
-                    out.update((text, n, first + int(s)) for s in np.flatnonzero(enough))
+                    end = min(int(bounds[text + 1]), int(at[k]) - offset + length + budget)
+                    shared = np.concatenate([[0], np.cumsum(np.isin(coded[first:end], self.own[n]))])
+                    wide = min(length + budget, end - first)
+                    if (shared[wide:] - shared[: len(shared) - wide]).max() >= length - budget:
+                        out.add((text, n, first, end))
         return out
 
+    def best_window(self, n: int, ws: list[bytes]) -> tuple[int, int]:
+        """The least edit distance of the item to a window of ws, and the first word of the earliest such window."""
+        (masks, back), size = self.masks[n], len(self.items[n][1])
+        if not self.free_ends:
+            return min(((distances(masks, size, ws[k : k + size], False)[-1], k) for k in range(len(ws) - size + 1)), default=(size, 0))
+        to = distances(masks, size, ws, True)
+        end = int(np.argmin(to))
+        from_ = distances(back, size, ws[end::-1], False)
+        return to[end], end - max(k for k, d in enumerate(from_) if d == to[end]) if to[end] < size else 0
+
+    def agree(self, n: int, ws: list[bytes]) -> list[bool]:
+        """Whether each window of the item's length agrees with the item in a table; fewer words are one window."""
+        size = len(self.items[n][1])
+        windows = [ws[k : k + size] for k in range(max(1, len(ws) - size + 1))]
+        return (self.embed(symbols(windows, size), np.full(len(windows), size)) == self.embedded[n]).any(1).tolist()
+
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """Text's index, item id, first word, edit distance and item length of the best window of each leaked item."""
         if not self.items:
@@ -151,37 +172,35 @@ class Items:
         first, end, h = word_spans(low, INSIDE)
         bounds = np.append(np.searchsorted(first, np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])), len(first))
         slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found = sorted(self.windows(np.where(self.hashes[slot] == h, slot + 1, 0).astype(np.uint64), bounds))
+        found = sorted(self.stretches(np.where(self.hashes[slot] == h, slot + 1, 0).astype(np.uint64), bounds))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for lo in range(0, len(found), 2048):
-            part, size, got = found[lo : lo + 2048], [], []
-            for _, n, s in part:
-                size.append(len(self.items[n][1]))
-                got.append([low[a:b] for a, b in zip(first[s : s + size[-1]], end[s : s + size[-1]], strict=True)])
-            hit = (self.embed(symbols(got), np.array(size)) == self.embedded[[n for _, n, _ in part]]).any(1)
-            for i in np.flatnonzero(hit):
-                k, n, s = part[i]
-                d = distance(self.masks[n], size[i], got[i])
-                if d <= size[i] // SHARE and (d, s) < best.get((k, n), (1 << 30, 0)):
-                    best[k, n] = (d, s)
+        for k, n, lo, hi in found:
+            ws = [low[a:b] for a, b in zip(first[lo:hi], end[lo:hi], strict=True)]
+            if any(self.agree(n, ws)):
+                d, s = self.best_window(n, ws)
+                if d <= len(self.items[n][1]) // SHARE:
+                    best[k, n] = min(best.get((k, n), (d, lo + s)), (d, lo + s))
         return [(k, self.items[n][0], s - int(bounds[k]), d, len(self.items[n][1])) for (k, n), (d, s) in sorted(best.items())]
 
 
-def symbols(windows: list[list[bytes]]) -> np.ndarray:
-    out = np.zeros((len(windows), max([0, *map(len, windows)])), np.uint64)
+def symbols(windows: list[list[bytes]], wide: int) -> np.ndarray:
+    out = np.zeros((len(windows), wide), np.uint64)
     for row, ws in zip(out, windows, strict=True):
         row[: len(ws)] = [crc32(w) + 1 for w in ws]
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, first_word, edits, item_words: the best window of each leaked item, a row for each document and item."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", free_ends: bool = False) -> DataFrame:
+    """doc_id, item_id, first_word, edits, item_words: the best window of each leaked item, a row for each document and item.
+
+    free_ends: windows may have any length (the query and the pipeline ask for this); else the item's length alone.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = max(1, -(-items.count() // BLOCK))
     found = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        block = Items(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r)))
+        block = Items(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r)), free_ends=free_ends)
 
         def fn(ids, texts, block=block):
             out, lo = [], 0

@@ -323,3 +323,43 @@ def test_near_stage_recall(spark):
     between = {(a, b) for a, b in near if a < 300 and len(sets[a] & sets[b]) < 0.95 * len(sets[a] | sets[b])}
     assert links <= near and len(between) > 40 and len(between & links) >= 0.97 * len(between)
     assert gone <= want and len(gone) >= 0.98 * len(want)
+
+
+def test_decontaminate_net_edits(spark):
+    """Insertions and deletions up to the budget, against brute force over all window lengths."""
+    from corpusloom.llm import decontaminate as D
+
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(400)]
+
+    def least(item, ws):
+        row = [0] * (len(ws) + 1)  # a window may begin anywhere
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(ws, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)  # and end anywhere
+
+    items = [(k, rng.choices(vocab, k=length)) for k, length in enumerate([5, 15, 20, 30, 40] * 8)]
+    docs, agreed = [], []
+    for n in range(240):
+        k, item = items[n % len(items)]
+        copy, budget = list(item), len(item) // 5
+        for _ in range(budget if n % 4 else budget + 1):
+            p = rng.randrange(1, len(copy) - 1)
+            copy[p : p + n % 3 // 2 + (n % 3 == 0)] = [] if n % 3 == 0 else [rng.choice(vocab)]
+        docs.append((n, " ".join(rng.choices(vocab, k=n % 5 * 4) + copy + rng.choices(vocab, k=n % 7 * 3))))
+    want = {(n, k): d for n, t in docs for k, item in items if (d := least(item, t.split())) <= len(item) // 5}
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items], "item_id long, text string")
+    rows = D.find_leaks(frame(spark, docs), bench, free_ends=True).collect()
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in rows}
+    assert len(want) > 150 and got.items() <= want.items() and len(got) >= 0.99 * len(want)
+    for r in rows:
+        rest = dict(docs)[r["doc_id"]].split()[r["first_word"] :]
+        item = items[r["item_id"]][1]
+        assert min(least(item, rest[:m]) for m in range(1, len(rest) + 1)) == r["edits"]
+    block = D.Items([(k, " ".join(ws)) for k, ws in items])
+    for n in range(1, len(items), 5):  # windows of 15 words that have nothing to do with the item
+        agreed += block.agree(n, [w.encode() for w in rng.choices(["x", "y", *vocab], k=60)])
+    assert 0.8 < sum(agreed) / len(agreed) <= 1  # the tables select next to nothing: the pieces do
