@@ -363,3 +363,18 @@ def test_decontaminate_net_edits(spark):
     for n in range(1, len(items), 5):  # windows of 15 words that have nothing to do with the item
         agreed += block.agree(n, [w.encode() for w in rng.choices(["x", "y", *vocab], k=60)])
     assert 0.8 < sum(agreed) / len(agreed) <= 1  # the tables select next to nothing: the pieces do
+
+
+def test_pipeline_repeated_ids(spark):
+    """Only the decided rows of an id go, and a repeated row stays once."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(500)}" for _ in range(60)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (7, c), (8, c + " end"), (8, d)]
+    exact = sorted((r["doc_id"], r["text"]) for r in P.exact_stage(spark, frame(spark, rows), SF).collect())
+    assert exact == sorted([(3, a), (5, b), (7, c), (8, c + " end"), (8, d)])
+    assert sorted((r["doc_id"], r["text"]) for r in P.near_stage(spark, frame(spark, exact), SF).collect()) == sorted([(3, a), (5, b), (7, c), (8, d)])
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    left = P.benchmark_stage(spark, frame(spark, [(5, leak), (5, b)]), SF).collect()
+    assert [(r["doc_id"], r["text"]) for r in left] == [(5, b)]
