@@ -95,6 +95,17 @@ def repetition(words: Column) -> Column:
     return F.struct(n.alias("words"), adjacent.alias("adjacent"), F.size(F.array_distinct(words)).alias("distinct"), F.size(pairs).alias("bigrams"), (F.size(pairs) - F.size(F.array_distinct(pairs))).alias("repeated_bigrams"))
 
 
+def cut_lines(c: Column) -> Column:
+    """Number of lines that end in a fragment of three letters or more, where the next line's first word is longer and begins with it."""
+    found = F.split(F.regexp_replace(c, r"\r\n", "\n"), r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    low = F.transform(found, F.lower)
+    tails = F.transform(low, lambda x: F.regexp_extract(x, r"([a-záéíóúâêôãõàüçñ]{3,})[\s\x1C-\x1F]*\z", 1))
+    heads = F.transform(low, lambda x: F.regexp_extract(x, LETTERS, 0))
+    last = F.size(found) - 1
+    both = F.zip_with(F.slice(tails, 1, F.greatest(last, F.lit(0))), F.slice(heads, 2, F.greatest(last, F.lit(0))), lambda a, b: (a != "") & (F.length(b) > F.length(a)) & F.startswith(b, a))
+    return F.coalesce(F.size(F.filter(both, lambda x: x)), F.lit(0))
+
+
 def repetition_points(m: Column, markers: Column, cut: Column) -> Column:
     """Penalty points: more is worse."""
     n = F.greatest(m["words"], F.lit(1))

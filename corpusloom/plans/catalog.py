@@ -167,8 +167,8 @@ def _(docs):
  + CASE WHEN distinct_words / greatest(words, 1) < 0.4 THEN 1 ELSE 0 END + CASE WHEN repeated_bigrams / greatest(words - 1, 1) >= 0.1 THEN 1 ELSE 0 END + CASE WHEN words < 30 THEN 1 ELSE 0 END AS points FROM m)
  SELECT doc_id, points, CASE WHEN points >= 5 THEN 'trash' WHEN points >= 2 THEN 'suspect' ELSE 'approved' END AS class FROM p""")
 def _(docs):
-    m = docs.select(ID(), Q.repetition(Q.tokens(X())).alias("m"), Q.n_phrases(X(), Q.MARKERS).alias("k"))
-    points = Q.repetition_points(F.col("m"), F.col("k"), F.lit(0))
+    m = docs.select(ID(), Q.repetition(Q.tokens(X())).alias("m"), Q.n_phrases(X(), Q.MARKERS).alias("k"), Q.cut_lines(X()).alias("cut"))
+    points = Q.repetition_points(F.col("m"), F.col("k"), F.col("cut"))
     return m.select(ID(), points.alias("points"), Q.repetition_class(points).alias("class"))
 
 
