@@ -2,13 +2,21 @@
 
 The smallest hash among a window's k-grams depends on the window's content alone, so
 equal windows have equal anchors. A run of neighbouring windows with one anchor is a
-segment; a document of n units has about 2 n / (width - k + 2) of them. Segments are
-dealt by anchor; an anchor that occurs once can't be in a repeated window, and of
-segments with equal content (anchor and content hash: 128 bits) one stands for all.
-What is left, segments that share an anchor but differ, goes with its text to the
-operator's index, one shard a range of anchors.
+segment; a document of n units has about 2 n / (width - k + 2) of them. An anchor that
+occurs once can't be in a repeated window: its segments go no further.
 
-A document row is named by id and text hash, so rows that repeat an id stay apart.
+Segments with the same anchor and the same text (128 bits of xxh3 over the whole text of
+the segment) form a class: a row with its number of copies and least and largest
+document, counted before the shuffle. Classes go to the operator's index, a shard a range
+of anchors, and what the index reports for a class holds for each of its copies.
+
+An anchor with more than CROWD segments (a passage that very many documents share in
+different contexts) would fill a shard. Its classes are cut into single windows, each
+keyed by its own content, so equal windows are again a class, and what differs is spread
+over all shards. So a shard holds about its set size, plus a crowd at most.
+
+Rows are named by id and text hash, so rows that repeat an id stay apart; null ids are
+told apart from all others.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, powers, spread, word_spans
@@ -27,7 +35,9 @@ from .common import as_bytes, cut, powers, spread, word_spans
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 NOT_SPACE = np.array([bytes([b]).strip() != b"" for b in range(256)])
 PIECE = 1 << 21  # units of a document that are windowed at a time
-SEGMENTS = "a long, h long, doc_id long, tid long, s int, n int, many boolean"
+CROWD = 2000  # segments of an anchor, beyond which it is cut into windows
+SEGMENTS = "a long, h long, g long, doc_id long, tid long, s int, n int, many boolean"
+KEY = ["a", "h", "g"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,11 +45,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def units(raw: bytes, words: bool) -> np.ndarray:
-    """A number for each unit: the word's hash, or the byte."""
-    return word_spans(raw, NOT_SPACE)[2] if words else np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours."""
     n = len(x)
@@ -51,12 +56,37 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+class Units:
+    """A text as numbered units, words (joined by one space) or bytes, with a number for each.
+
+    Equal units have equal numbers. The converse isn't asked for: numbers only choose
+    anchors, and whether two segments are equal is told by `digest`, from the text itself.
+    """
+
+    def __init__(self, raw: bytes, words: bool):
+        self.words, self.raw = words, b" ".join(raw.split()) if words else raw
+        if words:
+            self.first, self.end, self.x = word_spans(self.raw, NOT_SPACE)
+        else:
+            self.x = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+
+    def part(self, s: int, n: int) -> bytes:
+        """The text of n units from the s-th on."""
+        return self.raw[self.first[s] : self.end[s + n - 1]] if self.words else self.raw[s : s + n]
+
+
+def digests(parts) -> np.ndarray:
+    """Two signed 64-bit numbers a part: its 128-bit xxh3."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(p) for p in parts]), "<i8").reshape(-1, 2)
+
+
 def segments(x: np.ndarray, bounds: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
-    """Text number, first window, number of windows, anchor, content hash and whether the anchor recurs, of each segment.
+    """Text number, first window, number of windows, anchor, and whether the anchor recurs, of each segment.
 
     x: units of texts one after another; bounds: where each begins, and the end.
     """
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
     n = len(x) - width + 1
     if n <= 0:
         return empty
@@ -75,8 +105,12 @@ def segments(x: np.ndarray, bounds: np.ndarray, width: int, k: int) -> tuple[np.
     if not len(first):
         return empty
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
-    h = mixed((total[stop + width - 1] - total[first]) * down[first] + (stop - first).astype(np.uint64))
-    return text[first], first - bounds[text[first]], stop - first, anchor[first], h, at[first] != at[stop - 1]
+    return text[first], first - bounds[text[first]], stop - first, anchor[first], at[first] != at[stop - 1]
+
+
+def row_name(doc: int | None, raw: bytes) -> tuple[int, int]:
+    """doc_id (0 for none) and text hash, which is another for a null id than for any id."""
+    return doc or 0, xxhash.xxh3_64_intdigest(raw, doc is None) - (1 << 63)
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -84,18 +118,19 @@ def named(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def find_segments(docs: DataFrame, words: bool, width: int, k: int) -> DataFrame:
-    """The segments of every text of at least `width` units; rows without an id have none."""
+def find_segments(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, piece: int = PIECE) -> DataFrame:
+    """The segments of every text of at least `width` units; rows with a null id have some only if `nulls`."""
 
     def batch(pieces):
-        made = [units(t, words) if isinstance(t, bytes) else t for _, _, _, t in pieces]
-        bounds = np.cumsum([0, *map(len, made)])
-        text, s, n, a, h, many = segments(np.concatenate(made), bounds, width, k)
-        shift = np.array([p[2] for p in pieces], np.int64)
+        """pieces: row name, first unit, number of units, units."""
+        bounds = np.cumsum([0, *(p[2] for p in pieces)])
+        text, s, n, a, many = segments(np.concatenate([p[3].x[p[1] : p[1] + p[2]] for p in pieces]), bounds, width, k)
+        s = s + np.array([p[1] for p in pieces], np.int64)[text]
+        h = digests(pieces[t][3].part(i, m + width - 1) for t, i, m in zip(text.tolist(), s.tolist(), n.tolist(), strict=True))
+        name = np.array([p[0] for p in pieces], np.int64)[text]
         return pa.record_batch({
-            "a": pa.array(a.view(np.int64)), "h": pa.array(h.view(np.int64)),
-            "doc_id": pa.array(np.array([p[0] for p in pieces], np.int64)[text]), "tid": pa.array(np.array([p[1] for p in pieces], np.int64)[text]),
-            "s": pa.array((s + shift[text]).astype(np.int32)), "n": pa.array(n.astype(np.int32)), "many": pa.array(many),
+            "a": pa.array(a.view(np.int64)), "h": pa.array(h[:, 0]), "g": pa.array(h[:, 1]), "doc_id": pa.array(name[:, 0]), "tid": pa.array(name[:, 1]),
+            "s": pa.array(s.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "many": pa.array(many),
         })
 
     def run(batches):
@@ -104,15 +139,14 @@ def find_segments(docs: DataFrame, words: bool, width: int, k: int) -> DataFrame
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 for doc, raw in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-                    if doc is None or len(raw) < width:
+                    if len(raw) < width or doc is None and not nulls:
                         continue
-                    tid = xxhash.xxh64_intdigest(raw) - (1 << 63)
-                    if len(raw) > PIECE:  # windows of a long text in pieces that overlap by a window
-                        x = units(raw, words)
-                        for s in range(0, max(1, len(x) - width + 1), PIECE):
-                            yield batch([(doc, tid, s, x[s : s + PIECE + width - 1])])
+                    u, name = Units(raw, words), row_name(doc, raw)
+                    if len(u.x) > piece:  # windows of a long text in pieces that overlap by a window
+                        for s in range(0, max(1, len(u.x) - width + 1), piece):
+                            yield batch([(name, s, min(piece + width - 1, len(u.x) - s), u)])
                         continue
-                    held.append((doc, tid, 0, raw))
+                    held.append((name, 0, len(u.x), u))
                     size += len(raw)
                     if size > 1 << 19:
                         yield batch(held)
@@ -124,7 +158,7 @@ def find_segments(docs: DataFrame, words: bool, width: int, k: int) -> DataFrame
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, tid, z: texts compressed before they are shuffled."""
+    """doc_id (the row's), at (its name's id), tid, z: texts compressed before they are shuffled."""
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
@@ -132,50 +166,52 @@ def packed(docs: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 raw = as_bytes(part.column(1))
-                yield pa.record_batch({"doc_id": part.column(0), "tid": pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in raw], pa.int64()), "z": pa.array([z.compress(x) for x in raw], pa.binary())})
+                names = [row_name(d, x) for d, x in zip(part.column(0).to_pylist(), raw, strict=True)]
+                yield pa.record_batch({"doc_id": part.column(0), "at": pa.array([x[0] for x in names], pa.int64()), "tid": pa.array([x[1] for x in names], pa.int64()), "z": pa.array([z.compress(x) for x in raw], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, tid long, z binary")
+    return docs.mapInArrow(run, "doc_id long, at long, tid long, z binary")
 
 
 def unpacked(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
+def arrow_of(shape: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(shape))
+
+
 def texts_of(wanted: DataFrame, docs: DataFrame, words: bool, width: int) -> DataFrame:
-    """wanted (shard, doc_id, tid, s, n, ...) with each segment's text: one join by document."""
-    fields = [c for c in wanted.columns if c not in ("doc_id", "tid")]
-    grouped = wanted.groupBy("doc_id", "tid").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    """wanted (doc, tid, s, n, ...: a row with each segment's text): one join by document row."""
+    fields = [c for c in wanted.columns if c not in ("doc", "tid")]
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
+    grouped = wanted.groupBy("doc", "tid").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    shape = ", ".join(f"{c} {kinds[c]}" for c in fields) + ", text binary"
+    arrow = arrow_of(shape)
 
     def run(batches):
+        last = None
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 rows = []
                 for r in b.slice(lo, 64).to_pylist():
-                    raw = unpacked(r["z"])
-                    if words:
-                        ws = raw.split()
-                    for p in r["parts"]:
-                        end = p["s"] + p["n"] + width - 1
-                        rows.append(p | {"doc_id": r["doc_id"], "tid": r["tid"], "text": b" ".join(ws[p["s"] : end]) if words else raw[p["s"] : end]})
+                    if (r["at"], r["tid"]) == last:  # a row that repeats id and text
+                        continue
+                    last, u = (r["at"], r["tid"]), Units(unpacked(r["z"]), words)
+                    rows += [p | {"text": u.part(p["s"], p["n"] + width - 1)} for p in r["parts"]]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    shape = ", ".join(f"{c} {kinds[c]}" for c in wanted.columns) + ", text binary"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(shape))
-    return grouped.join(packed(docs), ["doc_id", "tid"]).select("doc_id", "tid", "z", "parts").mapInArrow(run, shape)
+    grouped = grouped.withColumnRenamed("doc", "at")
+    return grouped.join(packed(docs).drop("doc_id"), ["at", "tid"]).select("at", "tid", "z", "parts").mapInArrow(run, shape)
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, shape: str, fn: Callable[[int, bytes, list[tuple[int, int]]], tuple]) -> DataFrame:
     """fn(doc_id, text, ranges of windows [(first, last)]) for every document row, those without ranges too."""
-    grouped = ranges.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    grouped = ranges.groupBy(F.col("doc_id").alias("at"), "tid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     names = [c.split()[0] for c in shape.split(", ")]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(shape))
+    arrow = arrow_of(shape)
 
     def run(batches):
         for b in batches:
@@ -183,8 +219,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, shape: str, fn: Callable[[in
                 rows = [fn(r["doc_id"], unpacked(r["z"]), [(x["first"], x["last"]) for x in r["ranges"] or ()]) for r in b.slice(lo, 64).to_pylist()]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
 
-    joined = packed(docs).join(grouped, ["doc_id", "tid"], "left")
-    return joined.select("doc_id", "z", "ranges").mapInArrow(run, shape)
+    return packed(docs).join(grouped, ["at", "tid"], "left").select("doc_id", "z", "ranges").mapInArrow(run, shape)
 
 
 def covered(n: int, width: int, ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -202,27 +237,61 @@ def runs_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2] - 1
 
 
-def resolve(found: DataFrame, done: Column, wanted: Column) -> DataFrame:
-    """Deal segments by anchor and settle what needs no text.
+def class_of(rows: DataFrame) -> DataFrame:
+    """a, h, g, copies, least, high, many, n, and one segment (doc, tid, s), of segments with equal anchor and text."""
+    least = rows.groupBy(*KEY).agg(F.sum("copies").alias("copies"), F.min("least").alias("least"), F.max("high").alias("high"), F.max("many").alias("many"), F.max("n").alias("n"), F.max("crowd").alias("crowd"), F.min(F.struct("doc", "tid", "s")).alias("one"))
+    return least.select(*KEY, "copies", "least", "high", "many", "n", "crowd", "one.doc", "one.tid", "one.s")
+
+
+def windows_of(classes: DataFrame, docs: DataFrame, words: bool, width: int) -> DataFrame:
+    """The classes' windows, keyed by their content: w (number in the class), a, h, g, and the class as ca, ch, cg."""
+    wanted = classes.select(F.col("a").alias("ca"), F.col("h").alias("ch"), F.col("g").alias("cg"), "copies", "least", "high", "n", "doc", "tid", "s", F.col("doc").alias("of_doc"), F.col("tid").alias("of_tid"))
+    shape = "ca long, ch long, cg long, w int, a long, h long, g long, copies long, least long, high long, many boolean, n int, crowd boolean, doc long, tid long, s int"
+    arrow = arrow_of(shape)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                u = Units(r["text"], words)
+                for w, (h, g) in enumerate(digests(u.part(i, width) for i in range(r["n"])).tolist()):
+                    rows.append({"ca": r["ca"], "ch": r["ch"], "cg": r["cg"], "w": w, "a": h, "h": h, "g": g, "copies": r["copies"], "least": r["least"], "high": r["high"], "many": False, "n": 1, "crowd": True, "doc": r["of_doc"], "tid": r["of_tid"], "s": r["s"] + w})
+                if len(rows) > 1 << 14:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return texts_of(wanted, docs, words, width).mapInArrow(run, shape)
+
 
-    done: rows whose windows are all covered; wanted: rows that the index needs. Both
-    are expressions over doc_id, many, and the facts `first` (one row of each segment),
-    `copies` and `least` (of equal segments: rows, least document), `kinds` (whether the
-    anchor has different segments), `low` and `high` (the anchor's documents). Result:
-    doc_id, tid, s, n, a, done, wanted.
+def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, useful: Column, shard_size: int, index: Callable[[pa.Table], pa.Table], crowd: int = CROWD) -> DataFrame:
+    """doc_id, tid, first, last, least: ranges of windows that the index reports for document rows.
 
-    One shuffle and one sort serve all windows, and both spill, so a frequent anchor
-    takes disk, not memory.
+    useful: whether a class is worth indexing, over copies, least, high, many and crowd
+    (it is a window of a crowded anchor). index: takes a shard's table (a, h, g, copies, least,
+    high, n, text) and gives a, h, g, first, last, least: ranges of windows of a class, from 0 on.
     """
-    same, anchor = Window.partitionBy("a", "h"), Window.partitionBy("a")
-    facts = found.withColumn("first", F.row_number().over(same.orderBy("doc_id", "s", "tid")) == 1)
-    facts = facts.withColumns({"copies": F.count("*").over(same), "least": F.min("doc_id").over(same)})
-    facts = facts.withColumns({"kinds": F.min("h").over(anchor) != F.max("h").over(anchor), "low": F.min("doc_id").over(anchor), "high": F.max("doc_id").over(anchor)})
-    return cut(facts.select("doc_id", "tid", "s", "n", "a", done.alias("done"), wanted.alias("wanted")).filter("done or wanted"))
-
-
-def shards(settled: DataFrame, width: int, size: int) -> DataFrame:
-    """The wanted segments with a shard: a range of anchors' hashes for about `size` units."""
-    total = settled.filter("wanted").agg(F.sum(F.col("n") + F.lit(width - 1))).first()[0] or 0
-    n = max(1, -(-total // size))
-    return settled.filter("wanted").select(F.pmod(F.xxhash64("a"), F.lit(n)).alias("shard"), "doc_id", "tid", "s", "n", "done")
+    found = find_segments(docs, words, width, k, nulls)
+    twice = cut(found.groupBy("a").agg(F.count("*").alias("segments")).filter("segments > 1"))
+    rows = found.join(twice, "a", "left").filter("segments > 1 or many")
+    rows = cut(rows.select(*KEY, "doc_id", "tid", "s", "n", "many", (F.coalesce("segments", F.lit(1)) > crowd).alias("crowd")))
+    first = class_of(rows.select(*KEY, F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("least"), F.col("doc_id").alias("high"), "many", "n", "crowd", F.col("doc_id").alias("doc"), "tid", "s"))
+    classes = cut(first)
+    wanted = classes.filter(~F.col("crowd") & useful)
+    crowded = classes.filter("crowd")
+    crowds = not crowded.isEmpty()
+    if crowds:
+        windows = cut(windows_of(crowded, docs, words, width))
+        wanted = wanted.unionByName(class_of(windows.drop("ca", "ch", "cg", "w")).filter(useful))
+    wanted = wanted.select(*KEY, "copies", "least", "high", "n", "doc", "tid", "s")
+    total = wanted.agg(F.sum(F.col("n") + F.lit(width - 1))).first()[0] or 0
+    shards = max(1, -(-total // shard_size))
+    texts = texts_of(wanted.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))), docs, words, width)
+    told = cut(texts.groupBy("shard").applyInArrow(index, "a long, h long, g long, first int, last int, least long"))
+    if crowds:  # what is told of a window holds for that window of its classes
+        back = windows.select(*KEY, "ca", "ch", "cg", "w").join(told.select(*KEY, F.col("least").alias("low")), KEY)
+        told = told.unionByName(back.select(F.col("ca").alias("a"), F.col("ch").alias("h"), F.col("cg").alias("g"), F.col("w").alias("first"), F.col("w").alias("last"), F.col("low").alias("least")))
+    parts = told.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "least")).alias("parts"))  # n at most
+    joined = rows.join(parts, KEY).select("doc_id", "tid", "s", F.explode("parts").alias("p"))
+    return joined.select("doc_id", "tid", (F.col("s") + F.col("p.first")).alias("first"), (F.col("s") + F.col("p.last")).alias("last"), "p.least")

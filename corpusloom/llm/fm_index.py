@@ -1,15 +1,15 @@
 """Substring dedup over words with a compressed FM-index per shard.
 
 Windows of `width` words are brought together by content-defined segments (see
-``anchors``): equal segments are kept once, for the smallest document, and segments
-that share an anchor but differ meet in a shard. A shard compiles its segments into
-an FM-index: the Burrows-Wheeler transform as a wavelet matrix of packed bit planes
-with rank counts, plus the bounds and the smallest document of each class of suffixes
-that agree in `width` words. The shard's documents are streamed against it by
-backward search, all in step: each word to the left is one step (two ranks a bit
-plane), and when the match is `width` long its last word is dropped by widening the
-interval to the class of width - 1. The matching statistics reach the threshold
-where the interval holds a smaller document, and those intervals are reported.
+``anchors``): equal segments are one class with its smallest document, and classes that
+share an anchor meet in a shard. A shard compiles its classes into an FM-index: the
+Burrows-Wheeler transform as a wavelet matrix of packed bit planes with rank counts,
+plus the bounds and the smallest document of each class of suffixes that agree in `width`
+words. The shard's texts are streamed against it by backward search, all in step: each
+word to the left is one step (two ranks a bit plane), and when the match is `width` long
+its last word is dropped by widening the interval to the class of width - 1. The
+matching statistics reach the threshold where the interval holds a window; it is
+reported with the interval's smallest document, and removed from larger ones.
 
 Defined cases: null texts and texts of fewer than `width` words lose nothing; rows
 with a null id neither lose words nor cause losses; rows that repeat an id (with the
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import covered, find_segments, named, resolve, runs_of, shards, texts_of, with_ranges
+from .anchors import CROWD, KEY, covered, named, repeated, runs_of, with_ranges
 
 WIDTH = 50
 K = 10
@@ -127,36 +127,39 @@ class FmIndex:
         return out
 
 
-#: Rows after a smaller document's equal segment are done; the first document's go to the
-#: index if the anchor has other segments of other documents.
-DONE = "doc_id > least"
-WANTED = "doc_id = least and kinds and low < high"
+#: A window of a crowded anchor is indexed only if documents share it.
+USEFUL = "not crowd or least < high"
 
 
 def shard_ranges(width: int):
+    """What the shard's index reports: runs of a class's windows with the least document that has them, where that is below the class's largest."""
+
     def run(t: pa.Table) -> pa.Table:
-        texts = [x.split() for x in t.column("text").to_pylist()]
+        key = [t.column(c).to_numpy() for c in KEY]
+        _, once = np.unique(np.stack(key), axis=1, return_index=True)  # a class comes again if its row repeats id and text
+        key, least, high = [x[once] for x in key], t.column("least").to_numpy()[once], t.column("high").to_numpy()[once]
         number: dict[bytes, int] = {}
-        coded = [np.array([number.setdefault(w, len(number) + 1) for w in ws], np.int64) for ws in texts]
-        doc, s, tid = (t.column(c).to_numpy() for c in ("doc_id", "s", "tid"))
-        least = FmIndex(coded, doc, len(number) + 1, width).least_ids(coded)
-        rows = [(int(doc[k]), int(tid[k]), int(s[k] + a), int(s[k] + b)) for k, x in enumerate(least) for a, b in zip(*runs_of(x < doc[k]), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "tid", "first", "last"), cols, strict=True)})
+        coded = [np.array([number.setdefault(w, len(number) + 1) for w in t.column("text")[int(k)].as_py().split()], np.int64) for k in once]
+        of, first, last, low = [], [], [], []
+        for k, x in enumerate(FmIndex(coded, least, len(number) + 1, width).least_ids(coded)):
+            for a, b in zip(*runs_of(x < high[k]), strict=True):
+                cut_at = np.append(np.flatnonzero(np.diff(x[a : b + 1])) + a, b)
+                first += [int(a), *(cut_at[:-1] + 1).tolist()]
+                last += cut_at.tolist()
+                low += x[cut_at].tolist()
+                of += [k] * len(cut_at)
+        return pa.table({**{c: pa.array(x[of] if of else [], pa.int64()) for c, x in zip(KEY, key, strict=True)}, "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32()), "least": pa.array(low, pa.int64())})
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_ranges(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, tid, first, last: ranges of windows (by first word) that also start in a smaller document."""
-    settled = resolve(find_segments(docs, True, width, K), F.expr(DONE), F.expr(WANTED))
-    wanted = texts_of(shards(settled, width, SHARD_WORDS), docs, True, width)
-    found = wanted.groupBy("shard").applyInArrow(shard_ranges(width), "doc_id long, tid long, first long, last long")
-    done = settled.filter("done").selectExpr("doc_id", "tid", "cast(s as long) as first", "cast(s + n - 1 as long) as last")
-    return done.unionByName(found)
+    found = repeated(docs, True, width, min(K, width), False, F.expr(USEFUL), SHARD_WORDS, shard_ranges(width), crowd)
+    return found.filter("least < doc_id").drop("least")
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, kept_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, kept_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text): every row without the words of windows that a smaller document has."""
 
     def fn(doc, raw, ranges):
@@ -167,4 +170,4 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, kept_text: bool = False
         return row + (kept.decode("utf-8", "replace"),) if kept_text else row
 
     docs = named(docs)
-    return with_ranges(docs, repeated_ranges(docs, width), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * kept_text, fn)
+    return with_ranges(docs, repeated_ranges(docs, width, crowd), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * kept_text, fn)

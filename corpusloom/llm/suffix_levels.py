@@ -1,15 +1,16 @@
 """Substring dedup over bytes with a logarithmic family of suffix arrays.
 
 Windows of `width` bytes are brought together by content-defined segments (see
-``anchors``): equal segments are kept once with their number, and segments that share
-an anchor but differ meet in a shard. A shard takes its segments in batches. Each
-batch gets a suffix array of its windows, is merge-scanned against each level for
-windows that agree in `width` bytes, and becomes a level; levels of about equal size
-merge into one, so there are as many levels as the number of batches has bits.
+``anchors``): equal segments are one class with its number of copies, and classes that
+share an anchor meet in a shard. A shard takes its classes in batches. Each batch gets a
+suffix array with common-prefix lengths, is merge-scanned against each level (where a
+common prefix is `width` long, the window occurs twice), and becomes a level; levels of
+about equal size merge into one, so there are as many levels as the number of batches
+has bits. A level is two numbers a window; the windows' bytes stay in the buffer.
 
 Defined cases: null texts count as empty; texts of fewer than `width` bytes lose
-nothing; rows with a null id keep all and cause no losses; rows that repeat an id are
-rows like others, so a row written twice loses every byte if it is long enough.
+nothing; rows with a null id are rows like others; rows that repeat an id too, so a row
+written twice loses every byte if it is long enough.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import covered, find_segments, named, resolve, runs_of, shards, texts_of, with_ranges
+from .anchors import CROWD, KEY, covered, named, repeated, runs_of, with_ranges
 
 WIDTH = 200
 K = 32
@@ -30,79 +31,82 @@ BATCH = 1 << 17
 
 
 class SuffixLevels:
-    """Windows of a buffer, inserted in batches; `hit` marks those that occur twice.
+    """A family of suffix arrays over one buffer; `hit` marks the windows that occur twice.
 
-    A level is a sorted array of starts with the windows' bytes; equal windows are kept once.
+    A level is a suffix array of window starts, in the order of their first `width` bytes,
+    and the length of the common prefix (at most `width`) of each with the one before it.
+    Of equal windows a level keeps the first.
     """
 
-    def __init__(self, buffer: bytes, width: int = WIDTH):
+    def __init__(self, buffer: bytes, width: int = WIDTH, levels=()):
         self.width = width
         b = np.frombuffer(buffer, np.uint8)
         self.windows = np.lib.stride_tricks.as_strided(b, (max(0, len(b) - width + 1), width), (1, 1), writeable=False)
         self.hit = np.zeros(len(b), bool)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = list(levels)
 
-    def sort(self, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """In the windows' order; a stable sort merges runs that are sorted already."""
+    def merged(self, *runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The level of the given starts; marks what is equal. Sorted runs are merged in one scan, as the stable sort takes runs as they are."""
+        starts = np.concatenate(runs)
+        windows = np.ascontiguousarray(self.windows[starts]).view(f"S{self.width}").ravel()
         order = np.argsort(windows, kind="stable")
-        return starts[order], windows[order]
+        starts = starts[order]
+        lcp = np.zeros(len(starts), np.uint16)
+        for lo in range(1, len(starts), 1 << 14):
+            x = self.windows[starts[lo - 1 : lo + (1 << 14)]]
+            other = x[1:] != x[:-1]
+            lcp[lo : lo + len(other)] = np.where(other.any(1), other.argmax(1), self.width)
+        same = lcp >= self.width
+        self.hit[starts[same | np.append(same[1:], False)]] = True
+        return starts[~same], lcp[~same]
 
     def insert(self, starts: np.ndarray) -> None:
-        """Sort a batch, compare it with itself and each level, and add it as a level."""
-        starts, windows = self.sort(starts, np.ascontiguousarray(self.windows[starts]).view(f"S{self.width}").ravel())
-        same = np.append(False, windows[1:] == windows[:-1])
-        self.hit[starts[same | np.append(same[1:], False)]] = True
-        starts, windows = starts[~same], windows[~same]
-        for known, level in self.levels:
-            at = np.minimum(np.searchsorted(level, windows), len(level) - 1)
-            equal = level[at] == windows
-            self.hit[known[at[equal]]] = self.hit[starts[equal]] = True
-            starts, windows = starts[~equal], windows[~equal]
-        if not len(starts):
-            return
-        self.levels.append((starts, windows))
+        """Give a batch its suffix array, merge-scan it against each level, add it as a level and merge levels of about equal size."""
+        new = self.merged(starts)
+        both = None
+        for level in self.levels:
+            both = self.merged(level[0], new[0])
+        self.levels.append(new)
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
-            (p, x), (q, y) = self.levels[-2:]
-            self.levels[-2:] = [self.sort(np.concatenate([p, q]), np.concatenate([x, y]))]
+            self.levels[-2:] = [both or self.merged(self.levels[-2][0], self.levels[-1][0])]
+            both = None
 
 
-#: Equal segments are done; the index needs one of each kind where an anchor has several
-#: kinds, or recurs within a segment that is there once.
-DONE = "copies > 1"
-WANTED = "first and (kinds or many and copies = 1)"
+#: A window of a crowded anchor is indexed only if it has copies.
+USEFUL = "not crowd or copies > 1"
 
 
 def shard_ranges(width: int):
+    """Runs of a class's windows that occur twice: in another class or place, or because the class has copies."""
+
     def run(t: pa.Table) -> pa.Table:
-        texts = t.column("text").to_pylist()
-        doc, s, n, tid, done = (t.column(c).to_numpy(zero_copy_only=False) if c == "done" else t.column(c).to_numpy() for c in ("doc_id", "s", "n", "tid", "done"))
-        size = np.array([len(x) for x in texts])
-        base = np.cumsum(size) - size
+        key = [t.column(c).to_numpy() for c in KEY]
+        _, once = np.unique(np.stack(key), axis=1, return_index=True)  # a class comes again if its row repeats id and text
+        key, n, copies = [x[once] for x in key], t.column("n").to_numpy()[once], t.column("copies").to_numpy()[once]
+        texts = [t.column("text")[int(k)].as_py() for k in once]
+        base = np.cumsum([0, *map(len, texts)])
         index = SuffixLevels(b"".join(texts), width)
         held, windows = [], 0
         for k in range(len(texts)):
-            held.append(np.arange(base[k], base[k] + n[k]))
-            windows += int(n[k])
+            starts = np.arange(base[k], base[k] + n[k])
+            held += [starts, starts] if copies[k] > 1 else [starts]  # copies are in the batch with their class
+            windows += len(starts)
             if windows >= BATCH or k == len(texts) - 1:
                 index.insert(np.concatenate(held))
                 held, windows = [], 0
-        rows = [(int(doc[k]), int(tid[k]), int(s[k] + a), int(s[k] + b)) for k in range(len(texts)) if not done[k] for a, b in zip(*runs_of(index.hit[base[k] : base[k] + n[k]]), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "tid", "first", "last"), cols, strict=True)})
+        runs = [(k, a, b) for k in range(len(texts)) for a, b in zip(*runs_of(index.hit[base[k] : base[k] + n[k]]), strict=True)]
+        of, first, last = np.array(runs, np.int64).reshape(-1, 3).T
+        return pa.table({**{c: pa.array(x[of]) for c, x in zip(KEY, key, strict=True)}, "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32()), "least": pa.array(np.zeros(len(of), np.int64))})
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, tid, first, last: ranges of windows (by first byte) that also start elsewhere."""
-    settled = resolve(find_segments(docs, False, width, K), F.expr(DONE), F.expr(WANTED))
-    wanted = texts_of(shards(settled, width, SHARD_BYTES), docs, False, width)
-    found = wanted.groupBy("shard").applyInArrow(shard_ranges(width), "doc_id long, tid long, first long, last long")
-    done = settled.filter("done").selectExpr("doc_id", "tid", "cast(s as long) as first", "cast(s + n - 1 as long) as last")
-    return done.unionByName(found)
+def repeated_ranges(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """doc_id (0 for null), tid, first, last: ranges of windows (by first byte) that also start elsewhere."""
+    return repeated(docs, False, width, min(K, width), True, F.expr(USEFUL), SHARD_BYTES, shard_ranges(width), crowd).drop("least")
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: every row without the bytes of windows that occur twice."""
 
     def fn(doc, raw, ranges):
@@ -111,4 +115,4 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return doc, len(raw), int(gone.sum()), len(runs_of(gone)[0]), hashlib.sha256(kept).hexdigest()
 
     docs = named(docs)
-    return with_ranges(docs, repeated_ranges(docs, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", fn)
+    return with_ranges(docs, repeated_ranges(docs, width, crowd), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", fn)

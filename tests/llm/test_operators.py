@@ -92,49 +92,108 @@ def test_components(spark):
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 1, 200: 200, 201: 200, 202: 200}
 
 
-def test_words_dedup(spark, corpus):
-    from corpusloom.llm.fm_index import substring_dedup
-
-    short = [(i, t) for i, t in corpus if len(t or "") < 5000]
+def plain_words_dedup(rows):
     first, want = {}, []
-    for i, t in sorted(short, key=lambda r: (r[0] is None, r[0] or 0)):
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         ws = (t or "").encode().split()
         gone = [False] * len(ws)
         for k in range(len(ws) - 49):
             if i is not None and first.setdefault(tuple(ws[k : k + 50]), i) < i:
                 gone[k : k + 50] = [True] * 50
         want.append((i, len(ws), sum(gone), hashlib.sha256(b" ".join(w for w, g in zip(ws, gone, strict=True) if not g)).hexdigest()))
-    assert sum(w[2] for w in want) > 300
-    assert by_id(substring_dedup(frame(spark, short)), "n_words", "n_removed", "kept_sha256") == want
-    assert substring_dedup(empty(spark)).count() == 0
-
+    return want
 
-def test_bytes_dedup(spark, corpus):
-    from corpusloom.llm.suffix_levels import SuffixLevels, suffix_dedup
 
-    short = [(i, t) for i, t in corpus if len(t or "") < 5000]
-    count = Counter(b[k : k + 200] for i, t in short if i is not None for b in [(t or "").encode()] for k in range(len(b) - 199))
+def plain_bytes_dedup(rows):
+    count = Counter(b[k : k + 200] for _, t in rows for b in [(t or "").encode()] for k in range(len(b) - 199))
     want = []
-    for i, t in short:
+    for i, t in rows:
         b = (t or "").encode()
-        gone = bytearray(len(b))
+        gone, upto = bytearray(len(b)), 0
         for k in range(len(b) - 199):
-            if i is not None and count[b[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
+            if count[b[k : k + 200]] > 1:
+                gone[max(k, upto) : k + 200] = b"\1" * (k + 200 - max(k, upto))
+                upto = k + 200
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
-    want.sort(key=lambda r: (r[0] is None, r))
+    return sorted(want, key=lambda r: (r[0] is None, r))
+
+
+def crowded_rows(n=60):
+    """A passage that every row has, in contexts of its own: one anchor in all rows."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    passage = words(75)
+    return [(k, " ".join(words(rng.randint(5, 40)) + passage + words(rng.randint(5, 40)))) for k in range(n)] + [(n + k, " ".join(passage)) for k in range(3)]
+
+
+def test_words_dedup(spark, corpus):
+    from corpusloom.llm.fm_index import substring_dedup
+
+    want = plain_words_dedup(corpus)
+    assert sum(w[2] for w in want) > 300
+    cols = ("n_words", "n_removed", "kept_sha256")
+    assert by_id(substring_dedup(frame(spark, corpus)), *cols) == want
+    assert substring_dedup(empty(spark)).count() == 0
+    rows = crowded_rows()
+    want = plain_words_dedup(rows)
+    for crowd in (2000, 20, 0):  # whole classes, a crowded passage, everything by windows
+        assert by_id(substring_dedup(frame(spark, rows), crowd=crowd), *cols) == want
+
+
+def test_words_dedup_tells_words_apart(spark):
+    """Words that collide under every polynomial hash modulo 2^64 (Thue-Morse words) are still different words."""
+    from corpusloom.llm.fm_index import substring_dedup
+
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    context = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(context[:40] + [x] + context[40:])) for k, x in enumerate((a, b))]
+    want = plain_words_dedup(rows)
+    assert [w[2] for w in want] == [0, 0]
+    assert by_id(substring_dedup(frame(spark, rows)), "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_bytes_dedup(spark, corpus):
+    from corpusloom.llm.suffix_levels import SuffixLevels, suffix_dedup
+
+    want = plain_bytes_dedup(corpus)
     assert sum(w[2] for w in want) > 2000
-    assert by_id(suffix_dedup(frame(spark, short)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
-    text = b"".join(t.encode() for _, t in short if t) + bytes(range(30)) * 4
+    cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert by_id(suffix_dedup(frame(spark, corpus)), *cols) == want
+    rows = crowded_rows() + [(None, "x y " * 70), (None, "x y " * 70), (7, "q" * 300)]
+    for crowd in (2000, 20, 0):
+        assert by_id(suffix_dedup(frame(spark, rows), crowd=crowd), *cols) == plain_bytes_dedup(rows)
+    text = b"".join(t.encode() for _, t in corpus if t and len(t) < 5000) + bytes(range(30)) * 4
     levels = SuffixLevels(text, 20)
     for k in range(0, len(text) - 19, 700):
         levels.insert(np.arange(k, min(k + 700, len(text) - 19)))
+        for starts, lcp in levels.levels:
+            x = [text[i : i + 20] for i in starts[:50]]
+            assert x == sorted(x) and all(a[:m] == b[:m] and a[m] != b[m] for a, b, m in zip(x, x[1:], lcp[1:50].tolist(), strict=False))
     seen = Counter(text[k : k + 20] for k in range(len(text) - 19))
     assert [bool(h) for h in levels.hit[: len(text) - 19]] == [seen[text[k : k + 20]] > 1 for k in range(len(text) - 19)]
+    assert len(levels.levels) <= 2 + (len(text) // 700).bit_length()
     assert suffix_dedup(empty(spark)).count() == 0
 
 
+def test_pieces(spark):
+    """Texts longer than a piece, whose windows are found piece by piece, with the anchors of the whole text."""
+    from corpusloom.llm.anchors import find_segments
+
+    rng = random.Random(5)
+    ws = [f"w{rng.randrange(50)}" for _ in range(5000)]
+    docs = spark.createDataFrame([(1, " ".join(ws)), (2, " ".join(ws[1000:3000]))], "doc_id long, text string").coalesce(1)
+
+    def anchors(piece):
+        return sorted((r["doc_id"], r["s"] + k, r["a"]) for r in find_segments(docs, True, 50, 10, False, piece).collect() for k in range(r["n"]))
+
+    whole = anchors(1 << 21)
+    assert [w[:2] for w in whole] == [(d, k) for d, n in ((1, 5000), (2, 2000)) for k in range(n - 49)]
+    assert anchors(700) == anchors(51) == whole
+
+
 def test_bpe(spark, corpus):
     from tokenizers import Tokenizer
 
