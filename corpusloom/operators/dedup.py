@@ -1,27 +1,75 @@
-"""First-wins dedup and overlap operators."""
+"""First-wins dedup and overlap operators.
+
+Null keys are equal to each other, as GROUP BY has it; a null order column is never the
+first where its key has another, and rows that repeat key and order are alike.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def key_digest(key: Column) -> Column:
+    """128 bits of a key; a null key has a digest that no text has."""
+    return F.coalesce(F.md5(key), F.lit("null"))
+
+
 def first_by(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row of each key, in the order of an order column.
 
     The key's first order value is found by a partial aggregate, so a frequent key
     costs one row a task; a second join brings back the rows.
     """
-    keyed = df.withColumn("_key", F.xxhash64(key)).withColumn("_full", F.md5(key))
-    first = keyed.groupBy("_key", "_full").agg(F.min(order).alias(order))
-    return keyed.join(first, ["_key", "_full", order], "left_semi").drop("_key", "_full")
+    keyed = df.withColumn("_key", key_digest(key)).withColumn("_order", F.col(order))
+    first = keyed.groupBy("_key").agg(F.min("_order").alias("_first")).withColumnRenamed("_key", "_group")
+    same = (F.col("_key") == F.col("_group")) & F.col("_order").eqNullSafe(F.col("_first"))
+    return keyed.join(first, same, "left_semi").drop("_key", "_order")
 
 
 def duplicates(df: DataFrame, key: Column, order: str) -> DataFrame:
     """order column, is_dup: whether an earlier row has the key."""
-    keyed = df.select(order, F.md5(key).alias("_key"))
+    keyed = df.select(order, key_digest(key).alias("_key"))
     first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first, "_key").select(order, (F.col(order) > F.col("_first")).alias("is_dup"))
+    return keyed.join(first, "_key").select(order, F.coalesce(F.col(order) > F.col("_first"), F.col("_first").isNotNull()).alias("is_dup"))
+
+
+def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", most: int = 7) -> DataFrame:
+    """doc_id, item_id of the documents whose text contains an item's text: an equi-join on inner words, then the exact test.
+
+    An item's first and last word may be cut off by the document's words around them, so the
+    key is the item's next words, `most` at most; an item of two words or fewer has none and is
+    keyed by its first letters. Documents give a row of (key, row hash) for each place, and a
+    length of key that some item has; texts are fetched for candidates alone. Items
+    of the same text are each reported. Null and empty items are contained in nothing, null texts
+    contain nothing; null ids are kept.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("row"), F.col(text).alias("dt")).filter("dt is not null")
+    wanted = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("it"), words(F.col(text)).alias("w")).filter("it <> ''")
+    long = wanted.filter("size(w) > 2").withColumn("n", F.least(F.size("w") - 2, F.lit(most)))
+    long = long.select("item_id", "it", F.concat(F.lit("w"), "n").alias("kind"), F.xxhash64(F.slice("w", F.lit(2), F.col("n"))).alias("k"))
+    short = wanted.filter("size(w) <= 2").withColumn("n", F.least(F.length("it"), F.lit(most)))
+    short = short.select("item_id", "it", F.concat(F.lit("c"), "n").alias("kind"), F.xxhash64(F.substr("it", F.lit(1), F.col("n"))).alias("k"))
+    keyed = long.unionByName(short)
+    def keys(kind: str) -> DataFrame:
+        n = int(kind[1:])
+        if kind[0] == "w":
+            one = rows.select("row", words(F.col("dt")).alias("w")).filter(F.size("w") >= n)
+            found = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
+        else:
+            one = rows.filter(F.length("dt") >= n).select("row", "dt")
+            found = F.transform(F.sequence(F.lit(1), F.length("dt") - (n - 1)), lambda i: F.xxhash64(F.substr("dt", i, F.lit(n))))
+        return one.select("row", F.lit(kind).alias("kind"), F.explode(F.array_distinct(found)).alias("k"))
+
+    parts = [keys(r[0]) for r in keyed.select("kind").distinct().collect()]  # 2 * most at most
+    if not parts:
+        return rows.join(keyed, F.lit(False)).select("doc_id", "item_id")
+    near = reduce(DataFrame.unionByName, parts).join(keyed, ["kind", "k"]).select("row", "item_id", "it").distinct()
+    return near.join(rows, "row").filter(F.contains("dt", "it")).select("doc_id", "item_id").distinct()
 
 
 def overlap(df: DataFrame, group: str, key: Column) -> DataFrame:

@@ -40,7 +40,6 @@ def query(name: str, *tables: str, sql: str | None = None):
 
 
 
-
 def ID():  # noqa: N802
     return F.col("doc_id")
 
@@ -432,12 +431,7 @@ def _(events):
 
 @query("benchmark_contamination", "documents", "benchmark", sql="SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def _(docs, items):
-    # equi-join on the first eight words of the item, then containment: no nested loop
-    words = F.regexp_extract_all(X(), F.lit(r"\S+"), F.lit(0))
-    heads = lambda w: F.array_join(w, " ")
-    left = docs.select(ID(), X().alias("dt"), words.alias("w")).filter("size(w) >= 8").select(ID(), "dt", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("w") - 6), lambda i: heads(F.slice("w", i, 7))))).alias("head"))
-    right = items.select("item_id", X().alias("it"), words.alias("w")).filter("size(w) >= 9").select("item_id", "it", heads(F.slice("w", 2, 7)).alias("head"))
-    return left.join(right, "head").filter(F.contains("dt", F.col("it"))).select("doc_id", "item_id").distinct()
+    return D.contained(docs, items)
 
 
 @query("space_joined", "documents")

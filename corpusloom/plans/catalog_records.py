@@ -275,7 +275,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark, sf_dir):
     path = sinks.scratch(spark)
     sinks.write_shards(documents(spark, sf_dir), path, "source", "doc_id", 20)
-    found = readers.read_records(spark, path).select(F.from_json("record", "doc_id long, source string, text string").alias("x"))
+    found = readers.read_records(spark, path, longest=(1 << 31) - 1).select(F.from_json("record", "doc_id long, source string, text string").alias("x"))
     return found.select("x.doc_id", "x.source", F.md5("x.text").alias("h"))
 
 
