@@ -27,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, powers, spread, word_spans
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 NOT_SPACE = np.array([bytes([b]).strip() != b"" for b in range(256)])
-PIECE = 1 << 21  # units of a document that are windowed at a time
+PIECE = 1 << 19  # units of a document that are windowed at a time
 CROWD = 2000  # segments of an anchor, beyond which it is cut into windows
 SEGMENTS = "a long, h long, g long, doc_id long, tid long, s int, n int, many boolean"
 KEY = ["a", "h", "g"]
@@ -272,7 +272,7 @@ def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, usef
     (it is a window of a crowded anchor). index: takes a shard's table (a, h, g, copies, least,
     high, n, text) and gives a, h, g, first, last, least: ranges of windows of a class, from 0 on.
     """
-    found = find_segments(docs, words, width, k, nulls)
+    found = cut(find_segments(docs, words, width, k, nulls))
     twice = cut(found.groupBy("a").agg(F.count("*").alias("segments")).filter("segments > 1"))
     rows = found.join(twice, "a", "left").filter("segments > 1 or many")
     rows = cut(rows.select(*KEY, "doc_id", "tid", "s", "n", "many", (F.coalesce("segments", F.lit(1)) > crowd).alias("crowd")))
@@ -290,8 +290,10 @@ def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, usef
     texts = texts_of(wanted.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))), docs, words, width)
     told = cut(texts.groupBy("shard").applyInArrow(index, "a long, h long, g long, first int, last int, least long"))
     if crowds:  # what is told of a window holds for that window of its classes
-        back = windows.select(*KEY, "ca", "ch", "cg", "w").join(told.select(*KEY, F.col("least").alias("low")), KEY)
-        told = told.unionByName(back.select(F.col("ca").alias("a"), F.col("ch").alias("h"), F.col("cg").alias("g"), F.col("w").alias("first"), F.col("w").alias("last"), F.col("low").alias("least")))
+        back = windows.select(*KEY, "ca", "ch", "cg", "w").join(told.select(*KEY, F.col("least").alias("low")), KEY).select(F.col("ca").alias("a"), F.col("ch").alias("h"), F.col("cg").alias("g"), "w", "low")
+        neighbours = Window.partitionBy(*KEY, "low").orderBy("w")
+        back = back.withColumn("run", F.col("w") - F.row_number().over(neighbours))  # the same for each of a run
+        told = told.unionByName(back.groupBy(*KEY, F.col("low").alias("least"), "run").agg(F.min("w").alias("first"), F.max("w").alias("last")).drop("run"))
     parts = told.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "least")).alias("parts"))  # n at most
     joined = rows.join(parts, KEY).select("doc_id", "tid", "s", F.explode("parts").alias("p"))
     return joined.select("doc_id", "tid", (F.col("s") + F.col("p.first")).alias("first"), (F.col("s") + F.col("p.last")).alias("last"), "p.least")

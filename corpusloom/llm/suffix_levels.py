@@ -26,7 +26,7 @@ from .anchors import CROWD, KEY, covered, named, repeated, runs_of, with_ranges
 
 WIDTH = 200
 K = 32
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 BATCH = 1 << 17
 
 
@@ -88,9 +88,9 @@ def shard_ranges(width: int):
         index = SuffixLevels(b"".join(texts), width)
         held, windows = [], 0
         for k in range(len(texts)):
-            starts = np.arange(base[k], base[k] + n[k])
-            held += [starts, starts] if copies[k] > 1 else [starts]  # copies are in the batch with their class
-            windows += len(starts)
+            index.hit[base[k] : base[k] + n[k]] = copies[k] > 1  # the class stands for so many texts
+            held.append(np.arange(base[k], base[k] + n[k]))
+            windows += int(n[k])
             if windows >= BATCH or k == len(texts) - 1:
                 index.insert(np.concatenate(held))
                 held, windows = [], 0
