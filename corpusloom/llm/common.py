@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,12 +19,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    The setting is read from the session; only where it is unset (local runs and
-    tests) a temporary folder takes its place.
+    The setting is read from the session. Where it is unset, a local run (and so a test) gets a
+    temporary folder; on a cluster that is an error, as executors don't see the driver's folders.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -77,6 +80,19 @@ def map_text(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> Da
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, parsed)
 
 
+def join_known(rows: DataFrame, known: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """rows with the columns of known (one row a key, with the key's number of rows), without the size.
+
+    Keys of more than 1/4096 of the rows (at most 4096) are broadcast, so a key of any size is
+    joined without landing in one task; the others are shuffled.
+    """
+    known = cut(known)
+    most = max(1000, (known.agg(F.sum(size)).first()[0] or 0) // 4096)
+    hot, cool = known.filter(F.col(size) > most).drop(size), known.filter(F.col(size) <= most).drop(size)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u long, v long): node, root (the least node it reaches).
 

@@ -1,35 +1,55 @@
 """SimHash near-dedup by a binary-trie self-join.
 
-A document's fingerprint has a bit for each majority among the XXH64 hashes of its
-word shingles. Fingerprints form a binary trie. The self-join walks pairs of trie
-nodes from the root, adds one to a pair's error where the two branches differ, and
-drops the pair when the error exceeds the budget.
-
-The top of the trie is cut into cells of at most max(2048, n / 4096) distinct
-fingerprints (so a bounded number of cells comes to the driver, as prefixes and
-counts only; crowded prefixes are split deeper). A cell's task gets its own
-fingerprints and those of the cells whose prefixes are within the budget, and walks
-the rest of the trie level by level over arrays. It returns a spanning forest of the
-links, not all pairs; the forests' components are joined by distributed star rounds.
-Equal fingerprints meet in one row beforehand, so copies cost nothing.
-
-Defined cases: null texts count as empty; a text without words has fingerprint zero
-and is linked like any other; null ids keep their row and never name a component
-unless it has no other id; an empty table gives no rows.
+A document's fingerprint has a bit for each majority among the hashes of its word
+shingles. Fingerprints form a binary trie. The self-join walks pairs of trie nodes from
+the root, adds one to a pair's error where the two branches differ, and drops the pair
+when the error exceeds the budget.
+
+The top of the walk is a table of node pairs with the number of fingerprints below them,
+expanded a few bits a round until a pair holds at most 2 * CELL fingerprints, whatever the
+size of the corpus; crowded pairs just go deeper. Each such pair is a task that gets the
+fingerprints of its two nodes and walks the rest of the trie over arrays, at most FRONTIER
+node pairs at a time. Only counts come to the driver.
+
+Two uses:
+
+* ``simhash_groups``: 64-bit fingerprints of XXH64 linked at 2 or fewer bits. A task returns
+  a spanning forest of its links; the forests' components are joined by distributed star
+  rounds. Equal fingerprints meet in one row beforehand, so copies cost nothing.
+* ``near_groups``: texts with a Jaccard similarity of 0.8 or more of their shingle sets. At
+  0.8 some 15 % of the bits of two fingerprints differ, too many for a small budget over 64
+  bits, so each text gets TABLES independent fingerprints of BITS bits, each in a trie of its
+  own, joined at 2 bits (an expected recall of 0.98 at 0.8 and more above). A candidate stays if
+  at most FAR of all bits differ and is then checked exactly, on whole shingle sets: first
+  each text with the least text of its candidate component, then all candidates of the
+  texts for which that failed.
+
+Defined cases: words are runs of bytes other than ASCII white space, A-Z lowered; null texts
+count as empty; a text of fewer words than the width is one shingle; texts without words
+have fingerprint zero, linked like any other. simhash_groups: null ids keep their row and
+never name a component unless it has no other id. near_groups: rows with a null id are never
+linked; rows with the same id and text are one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_text, spread
+from .common import components, cut, join_known, map_text, spread, word_spans
 
 SEED = 42
-STEP = 4  # bits by which a crowded cell is split
+CELL = 1 << 14
+FRONTIER = 1 << 20
+TABLES, BITS, FAR = 32, 32, 0.22
+INSIDE = np.array([bytes([b]).strip() != b"" for b in range(256)])
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(23).integers(1, 1 << 63, TABLES * BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(raw: bytes, width: int) -> list[bytes]:
@@ -39,17 +59,24 @@ def shingles(raw: bytes, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
+def majority(h: np.ndarray) -> bytes:
+    """Bits set in over half the rows of a matrix of 64-bit numbers, lowest bit first."""
+    total = np.zeros(64 * h.shape[1], np.int64)
+    for lo in range(0, len(h), 255 << 4):
+        bits = np.unpackbits(np.ascontiguousarray(h[lo : lo + (255 << 4)]).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # 255 rows can't overflow a byte
+            total += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
+
+
 def simhash(raw: bytes, width: int = 3) -> int:
     """The fingerprint as an unsigned integer."""
     parts = shingles(raw, width)
     if not parts:
         return 0
-    total = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for lo in range(0, len(parts), 1 << 15):
-        h = np.array([digest(x, SEED) for x in parts[lo : lo + (1 << 15)]], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(parts), bitorder="little").view("<u8")[0])
+    h = np.fromiter((digest(x, SEED) for x in parts), np.uint64, len(parts))
+    return int.from_bytes(majority(h[:, None]), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -61,40 +88,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_text(spread(docs), id_col, text_col, fn, "doc_id long, fp long")
 
 
-def level(x: np.ndarray, depth: int, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes at a depth of the trie of the sorted x, and the children (or -1) of each node above."""
-    nodes = np.unique(x >> np.uint64(64 - depth))
-    child = np.full((2, len(above)), -1, np.int64)
-    child[(nodes & np.uint64(1)).astype(np.int64), np.searchsorted(above, nodes >> np.uint64(1))] = np.arange(len(nodes))
-    return nodes, child
+# the trie
+
 
+class Trie:
+    """Nodes and children (-1: none) of the trie of sorted distinct numbers, level by level."""
 
-def walk(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, x: np.ndarray, bits: int):
+        self.x, self.child = x, []
+        above = np.zeros(min(1, len(x)), np.uint64)
+        for depth in range(1, bits + 1):
+            nodes = np.unique(x >> np.uint64(bits - depth))
+            child = np.full((2, len(above)), -1, np.int32)
+            child[(nodes & np.uint64(1)).astype(np.int64), np.searchsorted(above, nodes >> np.uint64(1))] = np.arange(len(nodes), dtype=np.int32)
+            self.child.append(child)
+            if len(nodes) == len(x):  # every node is one number from here on
+                break
+            above = nodes
+
+    def down(self, depth: int, side: int, node: np.ndarray) -> np.ndarray:
+        return self.child[depth][side][node]
+
+
+def walk(a: np.ndarray, b: np.ndarray | None, budget: int, bits: int = 64, frontier: int = FRONTIER) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sorted distinct a and b (None: of a with itself, each pair once) within the budget of differing bits."""
-    same, b = b is None, a if b is None else b
-    i = j = err = np.zeros(min(1, len(a), len(b)), np.int64)
-    na = nb = np.zeros(1, np.uint64)
-    for depth in range(1, 65):
-        na, ca = level(a, depth, na)
-        nb, cb = (na, ca) if same else level(b, depth, nb)
+    same, one = b is None, Trie(a, bits)
+    b, other = (a, one) if same else (b, Trie(b, bits))
+    last = max(len(one.child), len(other.child))
+    for t in (one, other):  # the shallower trie goes on to the same depth
+        for depth in range(len(t.child), last):
+            bit = (t.x >> np.uint64(bits - 1 - depth)) & np.uint64(1)
+            child = np.full((2, len(t.x)), -1, np.int32)
+            child[bit.astype(np.int64), np.arange(len(t.x))] = np.arange(len(t.x), dtype=np.int32)
+            t.child.append(child)
+    start = np.zeros(min(1, len(a), len(b)), np.int32)
+    stack, out = [(0, start, start, start.astype(np.uint8))], []
+    while stack:
+        depth, i, j, err = stack.pop()
+        if len(i) > frontier:
+            stack += [(depth, i[k::2], j[k::2], err[k::2]) for k in (0, 1)]
+            continue
+        if depth == last:
+            keep = np.bitwise_count(a[i] ^ b[j]) <= budget
+            if same:
+                keep &= i != j
+            out.append((i[keep], j[keep]))
+            continue
         parts = []
         for x, y in ((0, 0), (1, 1), (0, 1), (1, 0)):
-            p, q, e = ca[x][i], cb[y][j], err + (x != y)
+            p, q, e = one.down(depth, x, i), other.down(depth, y, j), err + np.uint8(x != y)
             keep = (p >= 0) & (q >= 0) & (e <= budget)
             if same and (x, y) == (1, 0):
                 keep &= i != j
             parts.append((p[keep], q[keep], e[keep]))
-        i, j, err = (np.concatenate(z) for z in zip(*parts, strict=True))
-        if len(na) == len(a) and len(nb) == len(b):  # every node is one fingerprint
-            break
-    keep = np.bitwise_count(a[i] ^ b[j]) <= budget
-    if same:
-        keep &= i != j
-    return i[keep], j[keep]
+        if any(len(p[0]) for p in parts):
+            stack.append((depth + 1, *(np.concatenate(z) for z in zip(*parts, strict=True))))
+    i, j = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (start[:0], start[:0])
+    return i.astype(np.int64), j.astype(np.int64)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links i-j among n nodes, those of a spanning forest."""
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the links, of those i-j among n nodes, of a spanning forest."""
     parent, out = list(range(n)), []
 
     def find(x):
@@ -102,71 +156,170 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
         p, q = find(x), find(y)
         if p != q:
             parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
-def cells(fps: DataFrame, n: int) -> list[tuple[int, int, int]]:
-    """(first fingerprint, depth, count) of the trie's cells, in order. fps: distinct fp."""
-    limit, depth = max(2048, -(-n // 4096)), 0
-    done, crowded = ([], [0]) if n > limit else ([(0, 0, n)], [])
-    while crowded:
-        up, depth = depth, depth + STEP
-        some = fps if not up else fps.filter(F.shiftrightunsigned("fp", 64 - up).isin(crowded))
-        rows = some.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("p")).count().collect()  # 16 * 4096 rows at most
-        done += [((r["p"] % (1 << depth)) << (64 - depth), depth, r["count"]) for r in rows if r["count"] <= limit or depth >= 60]
-        crowded = [r["p"] for r in rows if r["count"] > limit and depth < 60]
-    return sorted(done)
-
-
-def links(fps: DataFrame, budget: int) -> DataFrame:
-    """u, v: links between distinct fingerprints within the budget, as forests that keep every component."""
-    found = cells(fps, fps.count())
-    first = np.array([c[0] for c in found], np.uint64)
-    depth = np.array([c[1] for c in found], np.int64)
-    homes: list[np.ndarray] = []
-    for k in range(len(found)):
-        d = np.minimum(depth, depth[k])
-        x = np.where(d > 0, (first ^ first[k]) >> (64 - np.maximum(d, 1)).astype(np.uint64), 0)
-        near = np.flatnonzero(np.bitwise_count(x) <= budget)
-        homes.append(near[near <= k])
-
-    def deal(batches):
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.searchsorted(first, fp, "right") - 1
-            to = [homes[k] for k in at]
-            yield pa.record_batch({
-                "home": pa.array(np.concatenate(to) if to else np.zeros(0, np.int64), pa.int64()),
-                "fp": pa.array(np.repeat(fp, [len(x) for x in to]).view(np.int64), pa.int64()),
-            })
-
-    def join(t: pa.Table) -> pa.Table:
-        home = t.column("home")[0].as_py()
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def node_pairs(fps: DataFrame, budget: int, bits: int, cell: int) -> list[tuple[int, DataFrame]]:
+    """(depth, table of t, p, q): pairs of trie nodes within the budget, each of at most 2 * cell fingerprints (or of two single ones)."""
+    live = fps.groupBy("t").agg(F.count("*").alias("n")).select("t", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "n")
+    live, depth, done = cut(live), 0, []
+    most = live.agg(F.max("n")).first()[0] or 0
+    first = max(0, (most // cell).bit_length() - 1)  # where evenly spread fingerprints are few enough
+    while True:
+        done.append((depth, live.filter(F.col("n") <= 2 * cell).select("t", "p", "q")))
+        live = live.filter(F.col("n") > 2 * cell).select("t", "p", "q")
+        if depth == bits or live.isEmpty():
+            return done
+        step = min(4, first - depth) if depth < first else 1
+        depth += step
+        nodes = cut(fps.groupBy("t", F.shiftrightunsigned("fp", bits - depth).alias("node")).agg(F.count("*").alias("n")))
+        below = lambda side: nodes.select("t", F.shiftrightunsigned("node", step).alias(side), F.col("node").alias(f"{side}_node"), F.col("n").alias(f"{side}_n"))  # noqa: B023, E731
+        pairs = live.join(below("p"), ["t", "p"]).join(below("q"), ["t", "q"]).filter("p_node <= q_node").filter(F.bit_count(F.col("p_node").bitwiseXOR(F.col("q_node"))) <= budget)
+        live = cut(pairs.select("t", F.col("p_node").alias("p"), F.col("q_node").alias("q"), F.expr("p_n + if(p_node = q_node, 0, q_n)").alias("n")))
+
+
+def links(fps: DataFrame, budget: int, bits: int = 64, cell: int = CELL, every: bool = False) -> DataFrame:
+    """t, u, v: links between distinct fingerprints (t, fp) of the same t within the budget: each of them, or forests that keep every component."""
+
+    def dealt(depth: int, pairs: DataFrame) -> DataFrame:
+        rows = fps.select("t", "fp", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("node"))
+        sides = [rows.join(pairs.withColumn("node", F.col(side)), ["t", "node"]) for side in ("p", "q")]
+        both = sides[0].unionByName(sides[1].filter("p <> q"))
+        return both.select("t", F.lit(depth).alias("depth"), "p", "q", "fp")
+
+    def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        table, depth, p, q = (k.as_py() for k in key)
         x = np.sort(t.column("fp").to_numpy().view(np.uint64))
-        own = np.searchsorted(first, x, "right") - 1 == home
-        a, b = x[own], x[~own]
-        i, j = walk(a, None, budget)
-        if len(b):
-            p, q = walk(a, b, budget)
-            i, j = np.concatenate([i, p]), np.concatenate([j, q + len(a)])
-        node = np.concatenate([a, b])
-        pairs = np.array(forest(len(node), i, j), np.int64).reshape(-1, 2)
-        return pa.table({"u": node[pairs[:, 0]].view(np.int64), "v": node[pairs[:, 1]].view(np.int64)})
-
-    return fps.select("fp").mapInArrow(deal, "home long, fp long").groupBy("home").applyInArrow(join, "u long, v long")
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
+        if p == q:
+            i, j = walk(x, None, budget, bits)
+        else:
+            own = (x >> np.uint64(bits - depth)) == np.uint64(p % (1 << 64))
+            x = np.concatenate([x[own], x[~own]])
+            i, j = walk(x[: own.sum()], x[own.sum() :], budget, bits)
+            j = j + own.sum()
+        if not every:
+            kept = forest(len(x), i, j)
+            i, j = i[kept], j[kept]
+        return pa.table({"t": pa.array([table] * len(i), pa.int32()), "u": x[i].view(np.int64), "v": x[j].view(np.int64)})
+
+    found = [dealt(*x).groupBy("t", "depth", "p", "q").applyInArrow(join, "t int, u long, v long") for x in node_pairs(fps, budget, bits, cell) if not x[1].isEmpty()]
+    return reduce(DataFrame.unionByName, found) if found else fps.selectExpr("t", "fp as u", "fp as v").filter("false")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least id reachable over links)."""
     marked = cut(fingerprints(docs, id_col, text_col, width))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps, budget))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
+    roots = components(links(fps.select(F.lit(0).alias("t"), "fp"), budget, cell=cell).select("u", "v"))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = named.join(ids, "root").select("fp", "size", "component_id")
+    return join_known(marked, known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# similarity of shingle sets
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles."""
+    h = word_spans(raw.lower(), INSIDE)[2]
+    width = min(width, len(h))
+    if not width:
+        return np.zeros(0, np.uint64)
+    n = len(h) - width + 1
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
+        out = (out ^ (out >> np.uint64(31))) * MIX + h[k : k + n]
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(27)))
+
+
+def signature(x: np.ndarray) -> bytes:
+    """TABLES fingerprints of BITS bits of a shingle set, one after another."""
+    if not len(x):
+        return bytes(TABLES * BITS // 8)
+    h = (x[:, None] ^ (x[:, None] >> np.uint64(29))) * _ODD
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return majority(h ^ (h >> np.uint64(29)))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """u, v of the pairs whose shingle sets are similar enough. texts: node, text."""
+
+    def fn(batches):
+        for b in batches:
+            u, v, p, q = b.columns
+            keep, last, old = [], None, None
+            for x, s, t in zip(u.to_pylist(), p.cast(pa.binary()), q.cast(pa.binary()), strict=True):
+                if x != last:
+                    last, old = x, shingle_set(s.as_py() or b"", width)
+                keep.append(similarity(old, shingle_set(t.as_py() or b"", width)) >= least)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("q")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("p")), "u")
+    return both.select("u", "v", "p", "q").mapInArrow(fn, "u long, v long")
+
+
+def candidates(docs: DataFrame, width: int, budget: int = 2, cell: int = 1 << 17, far: float = FAR) -> DataFrame:
+    """u, v: pairs of docs(node, text) with fingerprints near in some table and signatures near in all.
+
+    Of nodes with an equal fingerprint in a table, the least stands for the others: each of them
+    is paired with it, and it with the least nodes of the fingerprints near it.
+    """
+
+    def fn(ids, texts):
+        return {"node": ids, "sig": [signature(shingle_set(t, width)) for t in texts]}
+
+    marked = cut(map_text(spread(docs), "node", "text", fn, "node long, sig binary"))
+    size = BITS // 8
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: F.conv(F.hex(F.reverse(F.substr(F.col("sig"), t * size + 1, F.lit(size)))), 16, 10).cast("long"))
+    rows = marked.select("node", F.posexplode(pieces).alias("t", "fp"))
+    fps = cut(rows.groupBy("t", "fp").agg(F.min("node").alias("least"), F.count("*").alias("size")))
+    groups = fps.filter("size > 1").select("t", "fp", "least")
+    star = rows.join(groups, ["t", "fp"]).filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    near = links(fps.select("t", "fp"), budget, BITS, cell, every=True)
+    of = lambda side: fps.select("t", F.col("fp").alias(side), F.col("least").alias(f"{side}_node"))
+    across = near.join(of("u"), ["t", "u"]).join(of("v"), ["t", "v"]).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    pairs = star.unionByName(across).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sides = pairs.join(marked.select(F.col("node").alias("u"), F.col("sig").alias("p")), "u").join(marked.select(F.col("node").alias("v"), F.col("sig").alias("q")), "v")
+
+    def close(batches):
+        for b in batches:
+            p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in b.columns[2:])
+            yield b.select(["u", "v"]).filter(pa.array(np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= far * TABLES * BITS))
+
+    return sides.select("u", "v", "p", "q").mapInArrow(close, "u long, v long")
+
+
+def near_links(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """u, v: verified links of docs(node, text), enough to join what the candidates bring together."""
+    pairs = cut(candidates(docs, width))
+    roots = cut(components(pairs))
+    first = cut(verified(roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), docs, width, least))
+    left = roots.filter("node <> root").join(first, F.col("node") == F.col("v"), "left_anti").select(F.col("node").alias("open"))
+    # a pair within those that agree with their root adds nothing
+    rest = pairs.join(left, F.col("u") == F.col("open"), "left_semi").unionByName(pairs.join(left, F.col("v") == F.col("open"), "left_semi")).distinct()
+    return first.unionByName(verified(rest, docs, width, least))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), component_id, kept: the rows that are linked to another, one a distinct id and text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    named = rows.select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    roots = cut(components(near_links(named.select("node", "text"), width, least)))
+    known = cut(named.select("node", "doc_id", "text_key").join(roots, "node").distinct())
+    first = known.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    return known.join(first, "root").select("doc_id", "text_key", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "text_key") == F.col("first")).alias("kept"))

@@ -58,7 +58,7 @@ def test_exact(spark, corpus):
 
 
 def test_simhash(spark, corpus):
-    from corpusloom.llm.simhash import simhash, simhash_groups, walk
+    from corpusloom.llm.simhash import links, simhash, simhash_groups, walk
 
     def plain(t):
         ws = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
@@ -66,13 +66,22 @@ def test_simhash(spark, corpus):
         hs = [xxhash.xxh64_intdigest(p, 42) for p in parts]
         return sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64)) if hs else 0
 
-    short = [(i, t) for i, t in corpus if len(t or "") < 5000]
+    short = corpus
     assert all(simhash((t or "").encode()) == plain(t) for _, t in short)
     rng = np.random.default_rng(1)
     x = np.unique(np.concatenate([y := rng.integers(0, 1 << 63, 300, dtype=np.uint64), y ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)), y ^ np.uint64(5)]))
     i, j = walk(x, None, 2)
-    assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if int(x[a] ^ x[b]).bit_count() <= 2}
-    got = simhash_groups(frame(spark, short)).collect()
+    want = {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if int(x[a] ^ x[b]).bit_count() <= 2}
+    assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
+    i, j = walk(x, None, 2, frontier=64)
+    assert len(i) == len(want) and {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
+    i, j = walk(x[:300], x[300:], 2)
+    assert {(a, b + 300) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a, b in want if a < 300 <= b}
+    fps = spark.createDataFrame([(t, int(f)) for t in (0, 1) for f in x.view(np.int64)[t::2]], "t int, fp long")
+    for cell in (1 << 14, 30, 2):  # one task, node pairs of some depth, crowded nodes
+        found = [(r["t"], *sorted((r["u"], r["v"]))) for r in links(fps, 2, cell=cell, every=True).collect()]
+        assert len(found) == len(set(found)) and set(found) == {(a % 2, *sorted(map(int, (x[a].view(np.int64), x[b].view(np.int64))))) for a, b in want if a % 2 == b % 2}
+    got = simhash_groups(frame(spark, short), cell=4).collect()
     fps = {(r["doc_id"]): int(r["fingerprint"], 16) for r in got if r["doc_id"] is not None}
     root = {i: i for i in fps}
     for _ in fps:
@@ -344,7 +353,7 @@ def test_least_hashed(spark):
 def test_near_stage_recall(spark):
     """Against brute force at 0.8, with copies of every similarity, a large group and a chain."""
     import corpus_pipeline as P
-    from corpusloom.llm.shingle_near import near_links
+    from corpusloom.llm.simhash import near_links
 
     rng = random.Random(12)
     vocab = [f"v{k}" for k in range(3000)]
