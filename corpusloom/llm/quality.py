@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, spread
-from .labelled import BITS, fold, grams, map_features, platt, sample_ids, sigmoid, tokens
+from .common import as_bytes, map_text, spread
+from .labelled import BITS, MARKS, Tokens, batches_of, fold, grams, map_features, platt, sample_ids, sigmoid, sums
 
 MOST = 12_000
 PASSES = 12
@@ -29,12 +29,24 @@ class QualityModel:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
         self.weights, self.bias, self.slope, self.offset = weights.astype(np.float32), bias, slope, offset
 
-    def margin(self, raw: bytes) -> float:
-        x = grams(tokens(raw))
-        return self.bias + (float(self.weights[x].sum()) / len(x) ** 0.5 if len(x) else 0.0)
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        out = np.full(len(texts), self.bias)
+        for lo, part in batches_of(texts):
+            text, total, n = sums(self.weights, *features(part))
+            out[lo + text] += total / np.sqrt(n)
+        return sigmoid(self.slope * out + self.offset)
 
-    def score(self, raw: bytes) -> float:
-        return float(sigmoid(self.slope * self.margin(raw) + self.offset))
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and feature, for each distinct feature of each text."""
+    t = Tokens(texts, MARKS)
+    return grams(t.h, t.text, BITS)
+
+
+def bags(texts: list[bytes]) -> list[list[np.ndarray]]:
+    """The features of each text as one bag."""
+    text, found = features(texts)
+    return [[x] for x in np.split(found, np.searchsorted(text, np.arange(1, len(texts))))]
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -67,7 +79,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, most: int = MOST) -> QualityModel:
     sample = sample_ids(labels, label, folds, held, most)
-    rows, y = map_features(docs, sample, lambda raw: [grams(tokens(raw))])
+    rows, y = map_features(docs, sample, bags)
     rows = [x[0] for x in rows]
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2)
@@ -85,7 +97,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
 
 def quality_scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score."""
-    return map_text(spread(docs), id_col, text_col, lambda ids, texts: {"doc_id": ids, "score": [model.score(t) for t in texts]}, "doc_id long, score double")
+    return map_text(spread(docs), id_col, text_col, lambda ids, texts: {"doc_id": ids, "score": model.scores(texts)}, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -104,7 +116,6 @@ def keep_quality(docs: DataFrame, model: QualityModel, least: float = 0.5, text_
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                texts = [x or "" for x in part.column(at).to_pylist()]
-                yield part.filter(pa.array([model.score(t.encode()) >= least for t in texts], pa.bool_()))
+                yield part.filter(pa.array(model.scores(as_bytes(part.column(at))) >= least))
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -16,19 +16,20 @@ in the sample the model finds nothing toxic, with no labels neither.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, spread
-from .labelled import fold, grams, map_features, platt, sample_ids, sigmoid, tokens
+from .labelled import MARKS, Tokens, batches_of, fold, grams, map_features, platt, sample_ids, sigmoid, sums
 
 BITS = 18
 MOST = 6_000
 STEPS = 300
-_SENTENCE = re.compile(rb"[^.!?\n]+")
+ENDS = b".!?\n"
+INNER = MARKS & ~np.isin(np.arange(256), list(ENDS))
 
 
 class ToxicityModel:
@@ -37,36 +38,47 @@ class ToxicityModel:
     def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, offset: float = 0.0):
         self.weights, self.bias, self.slope, self.offset = weights.astype(np.float32), bias, slope, offset
 
-    def sentences(self, raw: bytes) -> list[tuple[int, int, float]]:
-        """Start and end byte and probability of each sentence."""
-        out = []
-        for m in _SENTENCE.finditer(raw):
-            if words := tokens(m[0]):
-                out.append((m.start(), m.end(), float(sigmoid(self.bias + self.weights[grams(words, BITS)].sum()))))
-        return out
-
-    def logits(self, raw: bytes) -> np.ndarray:
-        """All sentences' logits at once."""
-        return self.bag_logits(bag(raw))
+    def sentences(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Text number, start and end byte, and logit of each sentence with a token, about a megabyte of texts at a time."""
+        for lo, part in batches_of(texts):
+            t, sentence, feature, stop = features(part)
+            found, total, _ = sums(self.weights, sentence, feature)
+            text = np.searchsorted(t.start, stop[found], "right") - 1
+            # a text's own end is the separator after it, or the buffer's end
+            begin = np.append(-1, stop)[found] + 1 - t.start[text]
+            yield lo + text, begin, stop[found] - t.start[text], total + self.bias
 
     def bag_logits(self, found: list[np.ndarray]) -> np.ndarray:
-        if not found:
-            return np.zeros(0)
-        ends = np.cumsum([len(x) for x in found])
-        return np.add.reduceat(self.weights[np.concatenate(found)], np.r_[0, ends[:-1]]) + self.bias
+        return np.array([self.weights[x].sum() for x in found]) + self.bias
 
-    def score(self, raw: bytes) -> float:
-        return float(sigmoid(self.slope * self.margin(self.logits(raw)) + self.offset))
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        total = np.zeros(len(texts))
+        for text, _, _, logit in self.sentences(texts):
+            total += np.bincount(text, np.logaddexp(0, logit), len(texts))
+        return sigmoid(self.slope * self.margin(total) + self.offset)
 
     @staticmethod
-    def margin(logits: np.ndarray) -> float:
-        """Logit of the noisy-or."""
-        total = min(30.0, max(1e-9, float(np.logaddexp(0, logits).sum())))
-        return float(np.log(np.expm1(total)))
+    def margin(total: np.ndarray) -> np.ndarray:
+        """Logit of the noisy-or. total: -log(prod(1 - p))."""
+        return np.log(np.expm1(np.clip(total, 1e-9, 30.0)))
+
 
+def features(texts: list[bytes]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' tokens; sentence number and feature, for each distinct feature of each sentence; and where sentences end."""
+    t = Tokens(texts, INNER)
+    sentence, stop = t.parts(ENDS)
+    return t, *grams(t.h, sentence, BITS), stop
 
-def bag(raw: bytes) -> list[np.ndarray]:
-    return [grams(w, BITS) for s in _SENTENCE.findall(raw) if (w := tokens(s))]
+
+def bag(texts: list[bytes]) -> list[list[np.ndarray]]:
+    """Each text's sentences, as arrays of features."""
+    t, sentence, feature, stop = features(texts)
+    found, first = np.unique(sentence, return_index=True)
+    text = np.searchsorted(t.start, stop[found], "right") - 1
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for k, x in zip(text.tolist(), np.split(feature, first[1:]) if len(first) else [], strict=True):
+        out[k].append(x)
+    return out
 
 
 def firm(bags: list[list[np.ndarray]], y: np.ndarray, least: float = 16.0) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +129,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
         fit_on = np.flatnonzero(part != k)
         other = fit([bags[i] for i in fit_on], y[fit_on])
         for i in np.flatnonzero(part == k):
-            margin[i] = other.margin(other.bag_logits(bags[i]))
+            margin[i] = other.margin(np.logaddexp(0, other.bag_logits(bags[i])).sum())
     model.slope, model.offset = platt(margin, y)
     return model
 
@@ -127,7 +139,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train_toxicity(docs, labels)
 
     def fn(ids, texts):
-        return {"doc_id": ids, "score": [model.score(t) for t in texts]}
+        return {"doc_id": ids, "score": model.scores(texts)}
 
     scores = map_text(spread(docs), "doc_id", "text", fn, "doc_id long, score double")
     return scores.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -137,8 +149,12 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "do
     """doc_id, start, stop (bytes), probability, sentence of every sentence at or above `least`."""
 
     def fn(ids, texts):
-        found = [(i, *s, t[s[0] : s[1]].decode()) for i, t in zip(ids, texts, strict=True) for s in model.sentences(t) if s[2] >= least]
-        cols = list(zip(*found, strict=True)) or [[]] * 5
-        return dict(zip(("doc_id", "start", "stop", "probability", "sentence"), map(list, cols), strict=True))
+        out = {"doc_id": [], "start": [], "stop": [], "probability": [], "sentence": []}
+        for text, start, stop, logit in model.sentences(texts):
+            for k in np.flatnonzero(sigmoid(logit) >= least).tolist():
+                row = (ids[text[k]], int(start[k]), int(stop[k]), float(sigmoid(logit[k])), texts[text[k]][start[k] : stop[k]].decode("utf-8", "replace"))
+                for values, x in zip(out.values(), row, strict=True):
+                    values.append(x)
+        return out
 
     return map_text(spread(docs), id_col, text_col, fn, "doc_id long, start long, stop long, probability double, sentence string")
