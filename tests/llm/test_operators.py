@@ -407,6 +407,58 @@ def test_licenses(spark):
     plain = {"MIT License.": "mit", "Apache License, Version 2.0.": "apache-2.0", "GNU General Public License, version 3.": "gpl-3.0", "CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "proprietary"}
     want = {(r["doc_id"], f) for r in docs.collect() for line in (r["text"] or "").split("\n") for k, f in plain.items() if line.endswith(k)}
     assert got == want and (9001, "mit") in got
+    assert license_scan(empty(spark)).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "1 as start", "'x' as family", "2 as paragraph")
+    assert {(r["doc_id"], r["family"]) for r in license_scan(clash).collect()} == got
+
+
+#: Standard notices as they stand in files, wrapped.
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "gpl-2.0": "you can redistribute it and/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software Foundation;\neither version 2 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.",
+}
+
+
+def test_wrapped_licenses():
+    from corpusloom.llm import licenses as L
+
+    prose = ["The river rose twice that year and the town moved uphill", "He renewed his licence in version 3 of the form, which the council granted free of charge.", "All seats are reserved for members of the public", "A copy of the notice was published in every paper"]
+    other = [f"{w} went to the {x} and came back with nothing but {y}" for w in ("Ann", "Bob", "Cid") for x in ("market", "harbour", "hill") for y in ("salt", "news", "rope")]
+    model = L.fit(other)
+    for family, notice in WRAPPED.items():
+        for mark in ("", "# ", " * ", "// "):
+            body = "\n".join(mark + x for x in notice.split("\n"))
+            for before in ("", "\n\n", prose[0] + "\n", prose[0] + "\n\n"):
+                text = (before + body + "\n\n" + prose[1] + "\n").encode()
+                found = model.scan([b"", text, b"\n"])
+                assert {x[4] for x in found} == {family} and {x[0] for x in found} == {1}, (family, before, found)
+                assert all(0.5 <= x[5] <= 1 and x[6] >= 0.6 for x in found)
+                start, stop = min(x[2] for x in found), max(x[3] for x in found)
+                assert text[start:stop].decode().strip().startswith(body.split("\n")[0].strip() if before != prose[0] + "\n" else "") and stop <= len((before + body).encode())
+                assert [x[1] for x in found] == sorted(text[: x[2]].count(b"\n") for x in found)
+    assert model.scan(["\n".join(prose * 30).encode(), "\n\n".join(prose).encode()]) == []
+    long = "\n".join([prose[0]] * 50 + WRAPPED["isc"].split("\n") + [prose[0]] * 50)  # in a run of more than RUN lines
+    assert {x[4] for x in model.scan([long.encode()])} <= {"isc"}
+    assert model.scan([("word " * 300_000).encode()]) == []
+
+
+def test_license_probabilities_against_plain_code():
+    from corpusloom.llm import licenses as L
+
+    model = L.fit([])
+    paragraphs = [t for texts in L.TEMPLATES.values() for t in texts] + L.NEAR_MISSES
+    features = L.features(paragraphs)
+    of = np.repeat(np.arange(len(features)), [len(x) for x in features])
+    bags, z = model.logits(of, np.concatenate(features))
+    for k, x in enumerate(features):
+        plain = (sum(model.weights[f] for f in x) / len(x) ** 0.5 + model.bias) / model.temperature
+        assert bags[k] == k and np.allclose(z[k], plain, atol=1e-4)
+    own = [n for n, (texts) in enumerate(L.TEMPLATES.values(), 1) for _ in texts]
+    assert all(model.similarity(features[k], n) > 0.999 for k, n in enumerate(own))
 
 
 def test_pipeline(spark):
