@@ -22,10 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import CROWD, KEY, covered, named, repeated, runs_of, with_ranges
+from .anchors import CROWD, KEY, covered, named, repeated, with_ranges
 
 WIDTH = 50
 K = 10
@@ -62,7 +63,7 @@ class WaveletMatrix:
 def suffix_ranks(x: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Order of the suffixes by their first `length` (a power of two) symbols, and ranks by each power below."""
     ranks, rank, size = {}, x.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while True:
         ranks[size] = rank
         if size >= length:
@@ -70,7 +71,7 @@ def suffix_ranks(x: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, np.n
         after = np.zeros(len(x), np.int64)
         after[: len(x) - size] = rank[size:] + 1
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(len(x), np.int64)
         rank[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
@@ -78,12 +79,12 @@ def suffix_ranks(x: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, np.n
 
 
 class FmIndex:
-    """Index of texts (arrays of symbols 1 .. symbols-1) with an id each; 0 ends a text."""
+    """Index of texts (symbols 1 .. symbols-1, one text after another, of the given sizes) with an id each; 0 ends a text."""
 
-    def __init__(self, texts: list[np.ndarray], ids: np.ndarray, symbols: int, width: int = WIDTH):
+    def __init__(self, flat: np.ndarray, size: np.ndarray, ids: np.ndarray, symbols: int, width: int = WIDTH):
         self.width = width
-        x = np.concatenate([y for t in texts for y in (t, np.zeros(1, np.int64))])
-        owner = np.repeat(ids, [len(t) + 1 for t in texts])
+        x = np.insert(flat, np.cumsum(size), 0)
+        owner = np.repeat(ids, size + 1)
         half = 1 << ((width - 1).bit_length() - 1)  # half < width <= 2 * half
         order, ranks = suffix_ranks(x, 2 * half)
         self.wavelet = WaveletMatrix(x[order - 1], symbols)
@@ -105,13 +106,11 @@ class FmIndex:
         """Interval of the pattern with c put before it."""
         return self.less[c] + self.wavelet.rank(c, lo), self.less[c] + self.wavelet.rank(c, hi)
 
-    def least_ids(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each window of indexed texts, the least id of a text with that window. Texts are streamed in step, right to left."""
-        size = np.array([len(t) for t in texts])
-        flat, first = np.concatenate(texts), np.cumsum(size) - size
-        out = [np.zeros(max(0, n - self.width + 1), np.int64) for n in size]
-        total = np.zeros(int(size.sum()), np.int64)
-        lo, hi = np.zeros(len(texts), np.int64), np.full(len(texts), len(self.wide_first), np.int64)
+    def least_ids(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each place of indexed texts (one after another, of the given sizes), the least id of a text with the window that begins there. Texts are streamed in step, right to left."""
+        first = np.cumsum(size) - size
+        total = np.zeros(len(flat), np.int64)
+        lo, hi = np.zeros(len(size), np.int64), np.full(len(size), len(self.wide_first), np.int64)
         for t in range(int(size.max(initial=0))):
             live = np.flatnonzero(size > t)
             place = first[live] + size[live] - 1 - t
@@ -122,9 +121,7 @@ class FmIndex:
             lo[live], hi[live] = a, b
             if t >= self.width - 1:
                 total[place] = self.exact_least[a]
-        for k, o in enumerate(out):
-            o[:] = total[first[k] : first[k] + len(o)]
-        return out
+        return total
 
 
 #: A window of a crowded anchor is indexed only if documents share it.
@@ -138,17 +135,18 @@ def shard_ranges(width: int):
         key = [t.column(c).to_numpy() for c in KEY]
         _, once = np.unique(np.stack(key), axis=1, return_index=True)  # a class comes again if its row repeats id and text
         key, least, high = [x[once] for x in key], t.column("least").to_numpy()[once], t.column("high").to_numpy()[once]
-        number: dict[bytes, int] = {}
-        coded = [np.array([number.setdefault(w, len(number) + 1) for w in t.column("text")[int(k)].as_py().split()], np.int64) for k in once]
-        of, first, last, low = [], [], [], []
-        for k, x in enumerate(FmIndex(coded, least, len(number) + 1, width).least_ids(coded)):
-            for a, b in zip(*runs_of(x < high[k]), strict=True):
-                cut_at = np.append(np.flatnonzero(np.diff(x[a : b + 1])) + a, b)
-                first += [int(a), *(cut_at[:-1] + 1).tolist()]
-                last += cut_at.tolist()
-                low += x[cut_at].tolist()
-                of += [k] * len(cut_at)
-        return pa.table({**{c: pa.array(x[of] if of else [], pa.int64()) for c, x in zip(KEY, key, strict=True)}, "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32()), "least": pa.array(low, pa.int64())})
+        words = pc.split_pattern(t.column("text").combine_chunks().take(pa.array(once)), b" ")
+        flat = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        size = pc.list_value_length(words).to_numpy().astype(np.int64)
+        low = FmIndex(flat, size, least, int(flat.max(initial=0)) + 1, width).least_ids(flat, size)
+        text = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        hit = np.flatnonzero((place <= size[text] - width) & (low < high[text]))
+        text, place, low = text[hit], place[hit], low[hit]
+        new = np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1) | (low[1:] != low[:-1]))[: len(hit)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        return pa.table({**{c: pa.array(x[text[first]]) for c, x in zip(KEY, key, strict=True)}, "first": pa.array(place[first], pa.int32()), "last": pa.array(place[last], pa.int32()), "least": pa.array(low[first])})
 
     return run
 
