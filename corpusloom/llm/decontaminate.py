@@ -4,16 +4,17 @@ A document leaks an item of L words if one of its windows, of any length, is wit
 floor(0.2 L) word edits of the item (similarity 0.8 or more; words are runs of
 letters, digits and underscores in lower case, so case and punctuation don't count).
 
-Candidates come from a sound filter: an item cut into floor(0.2 L) + 1 pieces keeps a
-piece intact under that many edits, so only the stretch of L words and the budget on either
-side, laid around an intact piece, can match, and only if L + budget words of it hold enough
-of the item's. This filter does the selecting. The stretch's windows of L words are then
-embedded by CGK's random walk (a symbol's random bit says whether the walk moves on), which
-turns edit distance into Hamming distance; of each of TABLES walks SAMPLED places are read,
-and a stretch stays if a window of it agrees with the item in any table. Unrelated windows
-mostly agree too, so the tables drop next to nothing; a test measures their pass rate and
-the recall. The edit distance of the best window of each stretch is then computed exactly,
-with both ends free where asked for (Myers' bit-parallel rows).
+A sound filter says where to look: an item cut into floor(0.2 L) + 1 pieces keeps a piece
+intact under that many edits, so only the stretch of L words and the budget on either side,
+laid around an intact piece, can match, and only if L + budget words of it hold enough of
+the item's. Every window of L words of a stretch is embedded by CGK's random walk (a symbol's
+random bit says whether the walk moves on), which turns edit distance into Hamming distance.
+TABLES walks are read at SAMPLED places each, among the first REACH * L steps, where a walk
+hasn't ended yet. What is read is the key of a bucket; the items of L words in the buckets of
+a stretch's windows are its candidates. A test measures the tables' recall (over 0.99 for
+passages at the edge of the budget) and how many unrelated stretches find an item in them
+(under 0.1). The edit distance of the best window of each candidate's stretch is then computed
+exactly, with both ends free where asked for (Myers' bit-parallel rows).
 
 The items are the query set: blocks of BLOCK of them come to the driver in turn and
 go with the code to the tasks; documents are streamed once a block and never shuffled.
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import map_text, spread, word_spans
 
 SHARE = 5  # an edit for each so many words
-TABLES = 32
-SAMPLED = 2
+TABLES = 48
+SAMPLED = 3
+REACH = 1.25
 BLOCK = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
@@ -77,9 +78,9 @@ class Items:
         self.free_ends = free_ends
         rng = np.random.default_rng(seed)
         self.items = [(i, w) for i, t in rows if (w := words((t or "").encode()))]
-        most = max([1, *(len(w) for _, w in self.items)])
-        self.turn = rng.integers(1, 1 << 63, (TABLES, 3 * most), dtype=np.uint64) | np.uint64(1)
-        self.shift = rng.integers(0, 1 << 63, (TABLES, 3 * most), dtype=np.uint64)
+        most = int(REACH * max([1, *(len(w) for _, w in self.items)])) + 1
+        self.turn = rng.integers(1, 1 << 63, (TABLES, most), dtype=np.uint64) | np.uint64(1)
+        self.shift = rng.integers(0, 1 << 63, (TABLES, most), dtype=np.uint64)
         self.place = rng.random((TABLES, SAMPLED))
         vocabulary = sorted({w for _, ws in self.items for w in ws})
         self.hashes = np.sort(np.concatenate([np.zeros(0, np.uint64), *(word_spans(w, INSIDE)[2] for w in vocabulary)]))
@@ -94,7 +95,14 @@ class Items:
             for k in range(budget + 1):
                 pieces[size][int(keys[k * size])].append((n, k * size))
         self.pieces = {s: (np.array(sorted(p), np.uint64), dict(p)) for s, p in pieces.items()}
-        self.embedded = self.embed(symbols([ws for _, ws in self.items], most), np.array([len(ws) for _, ws in self.items], np.int64))
+        self.buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: keys in order, and the items they belong to
+        for size in sorted({len(ws) for _, ws in self.items}):
+            which = np.array([n for n, (_, ws) in enumerate(self.items) if len(ws) == size])
+            h = np.concatenate([word_spans(b" ".join(self.items[n][1]), INSIDE)[2] for n in which])
+            first = np.arange(len(which)) * size
+            keys = self.embed(h, first, first + size, size).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.buckets[size] = keys[order], np.repeat(which, TABLES)[order]
 
     @staticmethod
     def keys(coded: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,18 +117,33 @@ class Items:
             out = out * MIX + coded[at + k]
         return at, out
 
-    def embed(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Keys (a row's by table) of windows, from the sampled places of their CGK walks of 3 * size steps. x: symbols, padded with zeros."""
-        n = len(x)
-        x = np.concatenate([x, np.zeros((n, 1), np.uint64)], 1)
-        at, out, row = np.zeros((n, TABLES), np.int64), np.zeros((n, TABLES), np.uint64), np.arange(n)[:, None]
-        place = (self.place * 3 * size[:, None, None]).astype(np.int64)
-        for j in range(3 * int(size.max(initial=0))):
+    def embed(self, h: np.ndarray, first: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+        """Bucket keys (a row's by table) of the windows of `size` words that begin at `first`: what their CGK walks read at the sampled places. h: words' hashes; words from `end` on are blank."""
+        at = first[:, None] + np.arange(size + 1)
+        x = np.where((at < end[:, None]) & (np.arange(size + 1) < size), h[np.minimum(at, len(h) - 1)], np.uint64(0))
+        at, row = np.zeros((len(x), TABLES), np.int64), np.arange(len(x))[:, None]
+        out = np.tile(np.arange(1, TABLES + 1, dtype=np.uint64), (len(x), 1))
+        place = (self.place * REACH * size).astype(np.int64)
+        for j in range(int(place.max()) + 1):
             s = x[row, at]
-            read = (place == j).any(2)
-            out[read] = out[read] * MIX + s[read] + np.uint64(1)
+            read = (place == j).any(1)
+            out[:, read] = (out[:, read] ^ (out[:, read] >> np.uint64(31))) * MIX + s[:, read] + np.uint64(1)
             turn = ((s * self.turn[:, j] + self.shift[:, j]) >> np.uint64(63)).astype(np.int64)
-            at = np.minimum(at + turn, size[:, None])  # the walk stays on the pad after the end
+            at = np.minimum(at + turn, size)  # the walk stays on the blank after the end
+        return out
+
+    def candidates(self, h: np.ndarray, spans: np.ndarray, size: int) -> set[tuple[int, int]]:
+        """(number of the stretch, item) of the items of `size` words that share a bucket with a window of the stretch. spans: first word and end of each."""
+        windows = np.maximum(1, spans[:, 1] - spans[:, 0] - size + 1)
+        of = np.repeat(np.arange(len(spans)), windows)
+        first = spans[of, 0] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        known, item = self.buckets[size]
+        out: set[tuple[int, int]] = set()
+        for lo in range(0, len(of), 1 << 13):
+            keys = self.embed(h, first[lo : lo + (1 << 13)], spans[of[lo : lo + (1 << 13)], 1], size)
+            a, b = np.searchsorted(known, keys), np.searchsorted(known, keys, "right")
+            for w, t in zip(*np.nonzero(b > a), strict=True):
+                out.update((int(of[lo + w]), int(n)) for n in item[a[w, t] : b[w, t]])
         return out
 
     def stretches(self, coded: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int, int]]:
@@ -157,12 +180,6 @@ class Items:
         from_ = distances(back, size, ws[end::-1], False)
         return to[end], end - max(k for k, d in enumerate(from_) if d == to[end]) if to[end] < size else 0
 
-    def agree(self, n: int, ws: list[bytes]) -> list[bool]:
-        """Whether each window of the item's length agrees with the item in a table; fewer words are one window."""
-        size = len(self.items[n][1])
-        windows = [ws[k : k + size] for k in range(max(1, len(ws) - size + 1))]
-        return (self.embed(symbols(windows, size), np.full(len(windows), size)) == self.embedded[n]).any(1).tolist()
-
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """Text's index, item id, first word, edit distance and item length of the best window of each leaked item."""
         if not self.items:
@@ -172,24 +189,20 @@ class Items:
         first, end, h = word_spans(low, INSIDE)
         bounds = np.append(np.searchsorted(first, np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])), len(first))
         slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found = sorted(self.stretches(np.where(self.hashes[slot] == h, slot + 1, 0).astype(np.uint64), bounds))
+        found = self.stretches(np.where(self.hashes[slot] == h, slot + 1, 0).astype(np.uint64), bounds)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k, n, lo, hi in found:
-            ws = [low[a:b] for a, b in zip(first[lo:hi], end[lo:hi], strict=True)]
-            if any(self.agree(n, ws)):
-                d, s = self.best_window(n, ws)
-                if d <= len(self.items[n][1]) // SHARE:
+        for size in self.buckets:
+            spans = sorted({(lo, hi, k) for k, n, lo, hi in found if len(self.items[n][1]) == size})
+            if not spans:
+                continue
+            for place, n in sorted(self.candidates(h, np.array(spans)[:, :2], size)):
+                lo, hi, k = spans[place]
+                d, s = self.best_window(n, [low[a:b] for a, b in zip(first[lo:hi], end[lo:hi], strict=True)])
+                if d <= size // SHARE:
                     best[k, n] = min(best.get((k, n), (d, lo + s)), (d, lo + s))
         return [(k, self.items[n][0], s - int(bounds[k]), d, len(self.items[n][1])) for (k, n), (d, s) in sorted(best.items())]
 
 
-def symbols(windows: list[list[bytes]], wide: int) -> np.ndarray:
-    out = np.zeros((len(windows), wide), np.uint64)
-    for row, ws in zip(out, windows, strict=True):
-        row[: len(ws)] = [crc32(w) + 1 for w in ws]
-    return out
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", free_ends: bool = False) -> DataFrame:
     """doc_id, item_id, first_word, edits, item_words: the best window of each leaked item, a row for each document and item.
 

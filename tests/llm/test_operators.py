@@ -551,7 +551,7 @@ def test_decontaminate_net_edits(spark):
         return min(row)  # and end anywhere
 
     items = [(k, rng.choices(vocab, k=length)) for k, length in enumerate([5, 15, 20, 30, 40] * 8)]
-    docs, agreed = [], []
+    docs = []
     for n in range(240):
         k, item = items[n % len(items)]
         copy, budget = list(item), len(item) // 5
@@ -568,10 +568,31 @@ def test_decontaminate_net_edits(spark):
         rest = dict(docs)[r["doc_id"]].split()[r["first_word"] :]
         item = items[r["item_id"]][1]
         assert min(least(item, rest[:m]) for m in range(1, len(rest) + 1)) == r["edits"]
+
+
+def test_bucket_recall():
+    """The CGK tables alone: passages at the edge of the budget find their item in a bucket, unrelated stretches seldom find any."""
+    from corpusloom.llm import decontaminate as D
+    from corpusloom.llm.common import word_spans
+
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(600)]
+    items = [(k, rng.choices(vocab, k=length)) for k, length in enumerate([10, 15, 20, 30, 45, 59] * 10)]
     block = D.Items([(k, " ".join(ws)) for k, ws in items])
-    for n in range(1, len(items), 5):  # windows of 15 words that have nothing to do with the item
-        agreed += block.agree(n, [w.encode() for w in rng.choices(["x", "y", *vocab], k=60)])
-    assert 0.8 < sum(agreed) / len(agreed) <= 1  # the tables select next to nothing: the pieces do
+    found, far, n = 0, 0, 0
+    for k, item in items:
+        for _ in range(5):
+            copy, budget = list(item), len(item) // 5
+            for _ in range(budget):
+                p, kind = rng.randrange(1, len(copy) - 1), rng.randrange(3)
+                copy[p : p + (kind != 1)] = [] if kind == 0 else [rng.choice(vocab)]
+            for ws, own in ((rng.choices(vocab, k=budget) + copy + rng.choices(vocab, k=budget), True), (rng.choices(vocab, k=len(item) + 2 * budget), False)):
+                h = word_spans(" ".join(ws).encode(), D.INSIDE)[2]
+                got = {x for _, x in block.candidates(h, np.array([[0, len(h)]]), len(item))}
+                found += own and k in got
+                far += not own and bool(got)
+            n += 1
+    assert found >= 0.99 * n and far <= 0.1 * n
 
 
 def test_pipeline_repeated_ids(spark):
