@@ -7,13 +7,19 @@ the one with the largest id is a response and the others are revisit records. A
 is a record and Spark's text writer ends each with the blank lines that WARC asks
 for, so the part files are archives (gzip), of RECORDS_A_FILE records at most.
 
-Reading: files are parsed as streams by their content lengths. Whole records are
-decoded where they are read; the segments of the others are grouped by origin id,
-put in order, checked (numbers without a gap, total length, CRLF framing) and decoded.
+Reading: files (gzip, whole or a member a record, or plain) are parsed as streams by their
+content lengths; a file is a task's unit and is held compressed, so it should have at most some
+hundred megabytes. Whole records are decoded where they are read; the segments of the others
+are grouped by origin id, put in order, checked (numbers without a gap, total length, CRLF
+framing) and decoded. Archives of other writers are read too: any WARC version, folded header
+lines, response and resource records with or without a digest (SHA-1, in base32 or hex, is
+checked; other digests and truncated records aren't), and revisits with the standard fields
+only. Other kinds of records (warcinfo, request, metadata, conversion) give no row.
 
 Defined cases: null html is an empty payload; null ids are responses and refer to
 nothing; rows with the same id and payload are each a response where that id is the
-largest; an empty table writes no record and reads as none.
+largest; an empty table writes no record and reads as none; a file that breaks the format or
+segments that aren't whole raise ArchiveError.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, join_known, shared_dir
 
 SEGMENT = 1 << 16
 CHUNK = 1 << 13
 RECORDS_A_FILE = 4000
 LEAST = 1000
 END = "\r\n\r\n"
+_CHUNKED = re.compile(rb"(?im)^transfer-encoding:[ \t]*chunked")
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)")
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 9562's namespace for URLs
 
 
@@ -66,7 +75,18 @@ def unchunked(body: bytes) -> bytes:
 
 def http_payload(block: bytes) -> bytes:
     head, _, body = block.partition(b"\r\n\r\n")
-    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    return unchunked(body) if _CHUNKED.search(head) else body
+
+
+def sha1_of(field: str | None) -> bytes | None:
+    """The SHA-1 that a digest field states, in base32 or hex; None for other algorithms or none."""
+    name, _, value = (field or "").partition(":")
+    if name.lower() != "sha1":
+        return None
+    try:
+        return bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError as e:
+        raise ArchiveError(f"digest {field!r}") from e
 
 
 def header(fields: dict) -> bytes:
@@ -82,7 +102,7 @@ def records(name: str, page_id, url, payload: bytes, refers=None, refers_url=Non
     if refers is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
         other = (refers_url or "").replace("\r", "%0D").replace("\n", "%0A")
-        yield header({"WARC-Type": "revisit", "WARC-Record-ID": one(1), **base, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Page-ID": refers, "WARC-Refers-To-Target-URI": other, "Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}) + block
+        yield header({"WARC-Type": "revisit", "WARC-Record-ID": one(1), **base, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Page-ID": refers, "WARC-Refers-To-Target-URI": other, "WARC-Refers-To-Date": base["WARC-Date"], "Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}) + block
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[k : k + SEGMENT] for k in range(0, len(block), SEGMENT)]
@@ -98,12 +118,18 @@ def records(name: str, page_id, url, payload: bytes, refers=None, refers_url=Non
 def parse(stream) -> Iterator[tuple[dict, bytes]]:
     """Header fields (names in lower case) and block of each record of a binary stream."""
     while line := stream.readline():
-        if line != b"WARC/1.1\r\n":
+        if not line.startswith(b"WARC/"):
             raise ArchiveError(f"no record starts with {line[:40]!r}")
-        fields = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode().partition(":")
-            fields[name.strip().lower()] = value.strip()
+        fields, name = {}, ""
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            if line[:1] in b" \t" and name:  # a folded line goes on with the field before
+                fields[name] += " " + line.decode("utf-8", "replace").strip()
+                continue
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+        if not fields.get("content-length", "").isdigit():
+            raise ArchiveError("a record without a content length")
         size = int(fields["content-length"])
         block = stream.read(size)
         if len(block) != size or stream.read(4) != b"\r\n\r\n":
@@ -124,8 +150,8 @@ def decisions(pages: DataFrame) -> DataFrame:
     """page_id, digest, refers, refers_url of the pages that revisit another: small columns alone are shuffled."""
     heads = pages.select("page_id", "url", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length("html").alias("n"))
     heads = heads.filter(f"n >= {LEAST} and page_id is not null").select("page_id", "url", "digest")
-    last = heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).filter("n > 1")
-    found = heads.join(last, "digest").filter("page_id < last.page_id")
+    last = heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("size")).filter("size > 1")
+    found = join_known(heads, last, "digest").filter("page_id < last.page_id")
     return found.select("page_id", "digest", F.col("last.page_id").alias("refers"), F.col("last.url").alias("refers_url")).distinct()
 
 
@@ -151,36 +177,39 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest (hex; as stated for revisits).
+    """page_id, record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest (hex; as stated for revisits), record_id, target_uri, refers_to_uri.
 
-    The parsed records are cut into the shared folder, as whole ones and segments go
-    separate ways; without payloads only the segments' bytes are kept there.
+    page_id and refers_to are private fields of write_archives; they are null for archives of other
+    writers, whose revisits name the original by refers_to_uri. The parsed records are cut into the shared
+    folder, as whole ones and segments go separate ways; without payloads only the segments' bytes are kept there.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
-    shape = "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, origin string, number int, total long"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
+    shape = "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, record_id string, target_uri string, refers_to_uri string, origin string, number int, total long"
     names = [x.split()[0] for x in shape.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.int64()]
 
     def number(x):
         return None if x in (None, "") else int(x)
 
-    def response(fields, block):
-        payload = http_payload(block)
-        digest = hashlib.sha1(payload).digest()
-        if fields["warc-payload-digest"] != "sha1:" + base64.b32encode(digest).decode():
+    def named(fields):
+        return fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to-target-uri")
+
+    def response(fields, block, kind):
+        payload = http_payload(block) if block.startswith(b"HTTP/") and kind == "response" else block
+        digest, stated = hashlib.sha1(payload).digest(), sha1_of(fields.get("warc-payload-digest"))
+        if stated not in (None, digest) and "warc-truncated" not in fields:
             raise ArchiveError("payload and digest differ")
-        return number(fields.get("warc-page-id")), "response", None, payload if payloads else None, len(payload), digest.hex(), None, None, None
+        return number(fields.get("warc-page-id")), kind, None, payload if payloads else None, len(payload), digest.hex(), *named(fields), None, None, None
 
     def row(fields, block):
-        kind, page = fields["warc-type"], number(fields.get("warc-page-id"))
+        kind, page = fields.get("warc-type", ""), number(fields.get("warc-page-id"))
         if kind == "revisit":
-            size = next(int(x.split(b":")[1]) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-            digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-            return page, kind, int(fields["warc-refers-to-page-id"]), None, size, digest, None, None, None
-        if "warc-segment-number" in fields:
-            origin = fields.get("warc-segment-origin-id") or fields["warc-record-id"]
-            return page, kind, None, block, None, fields.get("warc-payload-digest"), origin, int(fields["warc-segment-number"]), number(fields.get("warc-segment-total-length"))
-        return response(fields, block)
+            size, digest = _LENGTH.search(block.partition(b"\r\n\r\n")[0]), sha1_of(fields.get("warc-payload-digest"))
+            return page, kind, number(fields.get("warc-refers-to-page-id")), None, size and int(size[1]), digest and digest.hex(), *named(fields), None, None, None
+        if "warc-segment-number" in fields and kind in ("response", "resource", "continuation"):
+            origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
+            return page, kind, None, block, None, fields.get("warc-payload-digest"), *named(fields), origin, int(fields["warc-segment-number"]), number(fields.get("warc-segment-total-length"))
+        return response(fields, block, kind) if kind in ("response", "resource") else None
 
     def batch(rows):
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -188,10 +217,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                stream = io.BufferedReader(Inflated(content.as_py()), 1 << 16)
+                raw = content.as_py()
+                stream = io.BufferedReader(Inflated(raw), 1 << 16) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
                 rows, held = [], 0
                 for fields, block in parse(stream):
-                    rows.append(row(fields, block))
+                    if (found := row(fields, block)) is None:
+                        continue
+                    rows.append(found)
                     held += len(block)
                     if held > 1 << 24:
                         yield batch(rows)
@@ -203,7 +235,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         rows = t.to_pylist()
         block = reassemble([(r["number"], r["total"], r["payload"]) for r in rows])
         first = next(r for r in rows if r["number"] == 1)
-        return pa.Table.from_batches([batch([response({"warc-page-id": first["page_id"], "warc-payload-digest": first["payload_digest"]}, block)])])
+        fields = {"warc-page-id": first["page_id"], "warc-payload-digest": first["payload_digest"], "warc-record-id": first["record_id"], "warc-target-uri": first["target_uri"]}
+        return pa.Table.from_batches([batch([response(fields, block, first["record_type"])])])
 
     found = cut(files.mapInArrow(run, shape))
     whole = found.filter("origin is null")

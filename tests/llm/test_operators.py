@@ -230,7 +230,7 @@ def test_warc(spark, tmp_path):
     rng = random.Random(2)
     big = "".join(rng.choice("abc\r\nWARC/1.1 é") for _ in range(200_000))
     pages = [(1, "http://a/1", "x" * 1500), (2, "http://a/2", "x" * 1500), (3, "http://a/3", "x" * 999), (4, "http://a/4", "x" * 999), (5, None, None), (6, "http://b/\r\n", big), (7, "u", "x" * 1500), (None, "n", "x" * 1500), (8, "http://c", big)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as digest", "1 as refers", "2 as payload_bytes").repartition(3)
     got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.warc_round_trip(df).collect()}
     digest = lambda s: hashlib.sha1((s or "").encode()).hexdigest()
     refers = {1: 7, 2: 7, 6: 8}
@@ -245,6 +245,51 @@ def test_warc(spark, tmp_path):
     assert warc.warc_round_trip(df.filter("page_id < 0")).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Records of every kind, of either version, whole files or members compressed, standard revisits, segments."""
+    import base64
+    import gzip
+
+    from corpusloom.llm import warc
+
+    def record(version="1.0", block=b"", **fields):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/{version}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"some page\r\n" * 20
+    sha = hashlib.sha1(body).digest()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(body)
+    pieces = b"HTTP/1.1 200 OK\r\nTransfer-Encoding:  Chunked\r\n\r\n" + warc.chunked(body)
+    first = [
+        record(block=b"software: x\r\n", WARC_Type="warcinfo", WARC_Record_ID="<i>"),
+        record(block=b"GET / HTTP/1.1\r\n\r\n", WARC_Type="request", WARC_Record_ID="<q>"),
+        record(block=http + body, WARC_Type="response", WARC_Record_ID="<r1>", WARC_Target_URI="http://x/1"),
+        record("1.1", http + body, WARC_Type="response", WARC_Record_ID="<r2>", WARC_Target_URI="http://x/2", WARC_Payload_Digest="sha1:" + base64.b32encode(sha).decode()),
+        record(block=pieces, WARC_Type="response", WARC_Record_ID="<r3>", WARC_Payload_Digest="sha1:" + sha.hex()),
+        record(block=body, WARC_Type="resource", WARC_Record_ID="<r4>", WARC_Payload_Digest="md5:00", X_Folded="a\r\n  b"),
+        record(block=b"", WARC_Type="metadata", WARC_Record_ID="<m>"),
+    ]
+    second = [
+        record(block=http, WARC_Type="revisit", WARC_Record_ID="<v1>", WARC_Target_URI="http://x/3", WARC_Refers_To="<r1>", WARC_Refers_To_Target_URI="http://x/1", WARC_Payload_Digest="sha1:" + base64.b32encode(sha).decode()),
+        record(block=b"", WARC_Type="revisit", WARC_Record_ID="<v2>"),
+        record(block=pieces[:50], WARC_Type="response", WARC_Record_ID="<s>", WARC_Segment_Number="1"),
+        record(block=pieces[50:], WARC_Type="continuation", WARC_Record_ID="<s2>", WARC_Segment_Number="2", WARC_Segment_Origin_ID="<s>", WARC_Segment_Total_Length=str(len(pieces))),
+        record(block=http + body[:7], WARC_Type="response", WARC_Record_ID="<t>", WARC_Truncated="length", WARC_Payload_Digest="sha1:" + sha.hex()),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, first)))
+    (tmp_path / "b.warc").write_bytes(b"".join(second))
+    got = {r["record_id"]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert {k: r["record_type"] for k, r in got.items()} == {**dict.fromkeys(["<r1>", "<r2>", "<r3>", "<s>", "<t>"], "response"), "<r4>": "resource", "<v1>": "revisit", "<v2>": "revisit"}
+    assert all(bytes(got[k]["payload"]) == body and got[k]["payload_digest"] == sha.hex() and got[k]["payload_bytes"] == len(body) for k in ("<r1>", "<r2>", "<r3>", "<r4>", "<s>"))
+    assert bytes(got["<t>"]["payload"]) == body[:7] and got["<r1>"]["page_id"] is None and got["<r2>"]["target_uri"] == "http://x/2"
+    assert (got["<v1>"]["refers_to_uri"], got["<v1>"]["payload_bytes"], got["<v1>"]["payload_digest"], got["<v1>"]["payload"]) == ("http://x/1", len(body), sha.hex(), None)
+    assert got["<v2>"]["payload_bytes"] is None and got["<v2>"]["refers_to"] is None
+    for bad in (b"HTTP/1.1 200\r\n", record(block=http + b"other", WARC_Type="response", WARC_Payload_Digest="sha1:" + sha.hex()), record(block=body, WARC_Type="response")[:-9]):
+        (tmp_path / "c.warc").write_bytes(bad)
+        with pytest.raises(Exception, match="ArchiveError"):
+            warc.read_archives(spark, str(tmp_path)).count()
+
+
 def test_decontaminate(spark):
     from corpusloom.llm import decontaminate as D
 
