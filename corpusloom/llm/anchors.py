@@ -27,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, powers, spread, word_spans
+from .common import as_bytes, cut, discard, powers, spread, word_spans
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 NOT_SPACE = np.array([bytes([b]).strip() != b"" for b in range(256)])
 PIECE = 1 << 19  # units of a document that are windowed at a time
+LONGEST = 256  # windows of a segment
 CROWD = 2000  # segments of an anchor, beyond which it is cut into windows
 SEGMENTS = "a long, h long, g long, doc_id long, tid long, s int, n int, many boolean"
 KEY = ["a", "h", "g"]
@@ -105,7 +106,12 @@ def segments(x: np.ndarray, bounds: np.ndarray, width: int, k: int) -> tuple[np.
     if not len(first):
         return empty
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
-    return text[first], first - bounds[text[first]], stop - first, anchor[first], at[first] != at[stop - 1]
+    # a run is longer than width - k + 1 only if its anchor recurs in it; such a run is cut into pieces
+    size = -(-(stop - first) // LONGEST)
+    piece = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    first, stop, many = (np.repeat(x, size) for x in (first, stop, at[first] != at[stop - 1]))
+    first = first + piece * LONGEST
+    return text[first], first - bounds[text[first]], np.minimum(stop - first, LONGEST), anchor[first], many
 
 
 def row_name(doc: int | None, raw: bytes) -> tuple[int, int]:
@@ -265,25 +271,27 @@ def windows_of(classes: DataFrame, docs: DataFrame, words: bool, width: int) ->
     return texts_of(wanted, docs, words, width).mapInArrow(run, shape)
 
 
-def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, useful: Column, shard_size: int, index: Callable[[pa.Table], pa.Table], crowd: int = CROWD) -> DataFrame:
+def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, shared: str, useful: str, shard_size: int, index: Callable[[pa.Table], pa.Table], crowd: int = CROWD) -> DataFrame:
     """doc_id, tid, first, last, least: ranges of windows that the index reports for document rows.
 
-    useful: whether a class is worth indexing, over copies, least, high, many and crowd
-    (it is a window of a crowded anchor). index: takes a shard's table (a, h, g, copies, least,
+    shared: whether an anchor can be in a repeated window, over segments (how many it has), low
+    and high (least and largest document) and many (a segment's windows can repeat each other).
+    useful: whether a class is worth indexing, over copies, least, high, many and crowd (it is a
+    window of a crowded anchor). index: takes a shard's table (a, h, g, copies, least,
     high, n, text) and gives a, h, g, first, last, least: ranges of windows of a class, from 0 on.
     """
     found = cut(find_segments(docs, words, width, k, nulls))
-    twice = cut(found.groupBy("a").agg(F.count("*").alias("segments")).filter("segments > 1"))
-    rows = found.join(twice, "a", "left").filter("segments > 1 or many")
-    rows = cut(rows.select(*KEY, "doc_id", "tid", "s", "n", "many", (F.coalesce("segments", F.lit(1)) > crowd).alias("crowd")))
+    anchors = cut(found.groupBy("a").agg(F.count("*").alias("segments"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("many").alias("many")).filter(shared).select("a", "segments"))
+    rows = cut(found.join(anchors, "a").select(*KEY, "doc_id", "tid", "s", "n", "many", (F.col("segments") > crowd).alias("crowd")))
+    discard(found, anchors)
     first = class_of(rows.select(*KEY, F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("least"), F.col("doc_id").alias("high"), "many", "n", "crowd", F.col("doc_id").alias("doc"), "tid", "s"))
     classes = cut(first)
-    wanted = classes.filter(~F.col("crowd") & useful)
+    wanted = classes.filter(~F.col("crowd") & F.expr(useful))
     crowded = classes.filter("crowd")
     crowds = not crowded.isEmpty()
     if crowds:
         windows = cut(windows_of(crowded, docs, words, width))
-        wanted = wanted.unionByName(class_of(windows.drop("ca", "ch", "cg", "w")).filter(useful))
+        wanted = wanted.unionByName(class_of(windows.drop("ca", "ch", "cg", "w")).filter(F.expr(useful)))
     wanted = wanted.select(*KEY, "copies", "least", "high", "n", "doc", "tid", "s")
     total = wanted.agg(F.sum(F.col("n") + F.lit(width - 1))).first()[0] or 0
     shards = max(1, -(-total // shard_size))

@@ -41,7 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that no unfinished result reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,8 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(mins, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut(small.filter("u <> v").distinct())
+        before, edges = edges, cut(small.filter("u <> v").distinct())
         last, now = now, state(edges)
+        discard(before)
         if now == last:
             break
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .anchors import CROWD, KEY, covered, named, repeated, with_ranges
 
@@ -153,7 +152,7 @@ def shard_ranges(width: int):
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, tid, first, last: ranges of windows (by first word) that also start in a smaller document."""
-    found = repeated(docs, True, width, min(K, width), False, F.expr(USEFUL), SHARD_WORDS, shard_ranges(width), crowd)
+    found = repeated(docs, True, width, min(K, width), False, "low < high", USEFUL, SHARD_WORDS, shard_ranges(width), crowd)
     return found.filter("least < doc_id").drop("least")
 
 

@@ -20,7 +20,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .anchors import CROWD, KEY, covered, named, repeated, runs_of, with_ranges
 
@@ -103,7 +102,7 @@ def shard_ranges(width: int):
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id (0 for null), tid, first, last: ranges of windows (by first byte) that also start elsewhere."""
-    return repeated(docs, False, width, min(K, width), True, F.expr(USEFUL), SHARD_BYTES, shard_ranges(width), crowd).drop("least")
+    return repeated(docs, False, width, min(K, width), True, "segments > 1 or many", USEFUL, SHARD_BYTES, shard_ranges(width), crowd).drop("least")
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
