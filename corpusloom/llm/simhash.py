@@ -21,8 +21,8 @@ Two uses:
   bits, so each text gets TABLES independent fingerprints of BITS bits, each in a trie of its
   own, joined at 2 bits (an expected recall of 0.98 at 0.8 and more above). A candidate stays if
   at most FAR of all bits differ and is then checked exactly, on whole shingle sets: first
-  each text with the least text of its candidate component, then all candidates of the
-  texts for which that failed.
+  each text with the root of its tree of candidates, then every pair of candidates that
+  don't both agree with the same root.
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lowered; null texts
 count as empty; a text of fewer words than the width is one shingle; texts without words
@@ -304,13 +304,17 @@ def candidates(docs: DataFrame, width: int, budget: int = 2, cell: int = 1 << 17
 
 
 def near_links(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """u, v: verified links of docs(node, text), enough to join what the candidates bring together."""
+    """u, v: verified links of docs(node, text), enough to join what the candidates bring together.
+
+    Each node is joined to its least candidate, the trees' nodes are compared with their root, and
+    then every pair is checked whose nodes don't both agree with one root.
+    """
     pairs = cut(candidates(docs, width))
-    roots = cut(components(pairs))
+    roots = cut(components(pairs.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("v"))))  # a pair has u < v
     first = cut(verified(roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), docs, width, least))
-    left = roots.filter("node <> root").join(first, F.col("node") == F.col("v"), "left_anti").select(F.col("node").alias("open"))
-    # a pair within those that agree with their root adds nothing
-    rest = pairs.join(left, F.col("u") == F.col("open"), "left_semi").unionByName(pairs.join(left, F.col("v") == F.col("open"), "left_semi")).distinct()
+    agreed = cut(first.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(first.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()))
+    of = lambda side: agreed.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("not coalesce(u_root = v_root, false)").select("u", "v")
     return first.unionByName(verified(rest, docs, width, least))
 
 
