@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,8 +64,19 @@ def symbol_ratio(c: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.translate(c, SYMBOLS, ""))) / n)
 
 
+def literal_of(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern holds: classes, groups and optional letters cut runs."""
+    plain = re.sub(r"\[[^\]]*\]|\([^)]*\)|\\s[+*]?|.\?", "\0", pattern)
+    return max(re.findall("[a-z]+", plain), key=len)
+
+
 def ai_noise(c: Column) -> Column:
-    return F.lower(F.substring(c, 1, 3000)).rlike("|".join(NOISE))
+    """Whether one of the phrases is in the first 3000 characters; the patterns are only tried where a literal part of one occurs."""
+    head = F.lower(F.substring(c, 1, 3000))
+    some = F.lit(False)
+    for word in sorted({literal_of(p) for p in NOISE}):
+        some = some | F.contains(head, F.lit(word))
+    return F.when(some, head.rlike("|".join(NOISE))).otherwise(F.when(c.isNotNull(), F.lit(False)))
 
 
 def quality_reason(c: Column) -> Column:
@@ -88,11 +101,25 @@ def ttr(c: Column) -> Column:
 
 
 def repetition(words: Column) -> Column:
-    """struct(words, adjacent, distinct, bigrams, repeated_bigrams) of an array of words."""
-    n = F.size(words)
-    pairs = F.when(n >= 2, F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    adjacent = F.when(n >= 2, F.size(F.filter(F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))).otherwise(0)
-    return F.struct(n.alias("words"), adjacent.alias("adjacent"), F.size(F.array_distinct(words)).alias("distinct"), F.size(pairs).alias("bigrams"), (F.size(pairs) - F.size(F.array_distinct(pairs))).alias("repeated_bigrams"))
+    """struct(words, adjacent, distinct, bigrams, repeated_bigrams) of an array of words.
+
+    The words are found once: the array is bound by a transform over a single element.
+    """
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        rest = F.greatest(n - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+        def counts(p: Column) -> Column:
+            return F.struct(
+                n.alias("words"), F.size(F.filter(p, lambda x: x["a"] == x["b"])).alias("adjacent"), F.size(F.array_distinct(w)).alias("distinct"),
+                F.size(p).alias("bigrams"), (F.size(p) - F.size(F.array_distinct(F.transform(p, lambda x: F.concat_ws(" ", x["a"], x["b"]))))).alias("repeated_bigrams"),
+            )
+
+        return F.transform(F.array(pairs), counts)[0]
+
+    return F.when(words.isNotNull(), F.transform(F.array(words), of)[0])
 
 
 def cut_lines(c: Column) -> Column:

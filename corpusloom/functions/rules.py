@@ -217,8 +217,3 @@ def question_from_title(c: Column) -> Column:
 def length_class(c: Column) -> Column:
     n = Q.n_words(c)
     return F.when(n < 500, "short").when(n < 1200, "long").otherwise("complete")
-
-
-def single_letters_merged(c: Column) -> Column:
-    """lowerUpper and letter-digit seams get a space."""
-    return F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2")

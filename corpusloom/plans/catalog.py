@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import conversation as C
 from ..operators import dedup as D
 from ..sources.sinks import written
-from .light_clean import light_clean, sanitize
+from .light_clean import light_status, sanitize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -65,12 +65,12 @@ s AS (SELECT doc_id, CASE WHEN early IS NOT NULL THEN early WHEN doc_id > min(do
 
 @query("light_clean", "documents", sql=STATUS + " SELECT doc_id, status FROM s")
 def _(docs):
-    return light_clean(docs).select("doc_id", "status")
+    return light_status(docs, cut=written)
 
 
 @query("light_clean_status", "documents", sql=STATUS + " SELECT status, count(*) AS n FROM s GROUP BY status")
 def _(docs):
-    return light_clean(docs).groupBy("status").agg(F.count("*").alias("n"))
+    return light_status(docs, cut=written).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("clean_text", "documents", sql=f"SELECT doc_id, md5({CLEAN}) AS h FROM documents")

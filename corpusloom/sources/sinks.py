@@ -85,3 +85,38 @@ def manifest(df: DataFrame, size: str, order: str, budget: int) -> DataFrame:
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum").filter(F.col("_before") < budget)
     running = F.col("_before") + F.sum(size).over(Window.partitionBy("_range").orderBy(order))
     return ranged.join(before, "_range").withColumn("_running", running).filter(F.col("_running") <= budget).drop("_range", "_before", "_running")
+
+
+def _numbered(spark: SparkSession, path: str) -> int:
+    """The largest shard number below a path (folders shard=N), or 0. Folder names are all that is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard=*")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    return max((int(f.getPath().getName().removeprefix("shard=")) for f in found or ()), default=0)
+
+
+def append_shards(df: DataFrame, path: str, order: str, rows: int = 5000) -> None:
+    """JSON lines in shards of `rows` rows, numbered on from the largest shard that is there (from 1 on)."""
+    start = _numbered(df.sparkSession, path) + 1
+    placed_rows = placed(df.withColumn("_all", F.lit(0)), "_all", order).drop("_all")
+    shards = placed_rows.withColumn("shard", (F.floor(F.col("place") / rows) + start).cast("int")).drop("place")
+    shards.repartition("shard").sortWithinPartitions("shard", order).write.mode("append").partitionBy("shard").json(path)
+
+
+def append_lots(pairs: DataFrame, path: str, file: str, order: str, rows: int = 500) -> None:
+    """Pairs of files that no earlier run has handled, as further shards of `rows` below path/lots.
+
+    What has been handled is read from the lots themselves, so a run that stops before its
+    commit leaves nothing half done.
+    """
+    spark = pairs.sparkSession
+    if _numbered(spark, f"{path}/lots"):
+        done = spark.read.json(f"{path}/lots").select(F.col(file).cast(pairs.schema[file].dataType)).distinct()
+        pairs = pairs.join(done, file, "left_anti")
+    if not pairs.isEmpty():
+        append_shards(pairs, f"{path}/lots", order, rows)
+
+
+def exploded(df: DataFrame, group: str, order: str, text: str, big: int = 30_000_000, rows: int = 10) -> DataFrame:
+    """df with part: groups (files) of more than `big` bytes are cut into parts of `rows` rows, others are part 0."""
+    sizes = df.groupBy(group).agg(F.sum(F.octet_length(text)).alias("_bytes"))
+    return placed(df, group, order).join(sizes, group).withColumn("part", F.when(F.col("_bytes") > big, F.floor(F.col("place") / rows)).otherwise(0)).drop("_bytes", "place")
