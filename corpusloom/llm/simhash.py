@@ -7,9 +7,10 @@ when the error exceeds the budget.
 
 The top of the walk is a table of node pairs with the number of fingerprints below them,
 expanded a few bits a round until a pair holds at most 2 * CELL fingerprints, whatever the
-size of the corpus; crowded pairs just go deeper. Each such pair is a task that gets the
-fingerprints of its two nodes and walks the rest of the trie over arrays, at most FRONTIER
-node pairs at a time. Only counts come to the driver.
+size of the corpus; crowded pairs just go deeper. A node's task gets its own fingerprints and
+those of the nodes that it is paired with (at depth d some 1 + (d + d^2 / 2) / 2 of them, so
+some hundred thousand numbers at 10^11 documents) and walks the rest of the trie over arrays,
+at most FRONTIER node pairs at a time. Only counts come to the driver.
 
 Two uses:
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, join_known, map_text, spread, word_spans
 
 SEED = 42
-CELL = 1 << 14
+CELL = 1 << 11
 FRONTIER = 1 << 20
 TABLES, BITS, FAR = 32, 32, 0.22
 INSIDE = np.array([bytes([b]).strip() != b"" for b in range(256)])
@@ -187,27 +188,28 @@ def links(fps: DataFrame, budget: int, bits: int = 64, cell: int = CELL, every:
     """t, u, v: links between distinct fingerprints (t, fp) of the same t within the budget: each of them, or forests that keep every component."""
 
     def dealt(depth: int, pairs: DataFrame) -> DataFrame:
+        """Each fingerprint once to its own node, if that is the second of a pair, and once to each node that its own is the first of."""
         rows = fps.select("t", "fp", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("node"))
-        sides = [rows.join(pairs.withColumn("node", F.col(side)), ["t", "node"]) for side in ("p", "q")]
-        both = sides[0].unionByName(sides[1].filter("p <> q"))
-        return both.select("t", F.lit(depth).alias("depth"), "p", "q", "fp")
+        homes = pairs.groupBy("t", "q").agg(F.when(F.bool_or(F.col("p") == F.col("q")), 2).otherwise(1).alias("side"))
+        own = rows.join(homes.withColumn("node", F.col("q")), ["t", "node"]).select("t", "q", "side", "fp")
+        near = rows.join(pairs.filter("p <> q").withColumnRenamed("p", "node"), ["t", "node"]).select("t", "q", F.lit(0).alias("side"), "fp")
+        return own.unionByName(near).withColumn("depth", F.lit(depth))
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        table, depth, p, q = (k.as_py() for k in key)
-        x = np.sort(t.column("fp").to_numpy().view(np.uint64))
-        if p == q:
-            i, j = walk(x, None, budget, bits)
-        else:
-            own = (x >> np.uint64(bits - depth)) == np.uint64(p % (1 << 64))
-            x = np.concatenate([x[own], x[~own]])
-            i, j = walk(x[: own.sum()], x[own.sum() :], budget, bits)
-            j = j + own.sum()
+        side, x = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        a, b = np.sort(x[side > 0]), np.sort(x[side == 0])
+        x = np.concatenate([a, b])
+        i, j = walk(a, b, budget, bits) if len(b) else (np.zeros(0, np.int64),) * 2
+        j = j + len(a)
+        if side.max() == 2:
+            p, q = walk(a, None, budget, bits)
+            i, j = np.concatenate([i, p]), np.concatenate([j, q])
         if not every:
             kept = forest(len(x), i, j)
             i, j = i[kept], j[kept]
-        return pa.table({"t": pa.array([table] * len(i), pa.int32()), "u": x[i].view(np.int64), "v": x[j].view(np.int64)})
+        return pa.table({"t": pa.array([key[0].as_py()] * len(i), pa.int32()), "u": x[i].view(np.int64), "v": x[j].view(np.int64)})
 
-    found = [dealt(*x).groupBy("t", "depth", "p", "q").applyInArrow(join, "t int, u long, v long") for x in node_pairs(fps, budget, bits, cell) if not x[1].isEmpty()]
+    found = [dealt(*x).groupBy("t", "depth", "q").applyInArrow(join, "t int, u long, v long") for x in node_pairs(fps, budget, bits, cell) if not x[1].isEmpty()]
     return reduce(DataFrame.unionByName, found) if found else fps.selectExpr("t", "fp as u", "fp as v").filter("false")
 
 
