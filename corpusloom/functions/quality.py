@@ -179,3 +179,25 @@ def site_score(c: Column, title: Column, lang: Column) -> Column:
     score += F.when(F.coalesce(title, F.lit("")) != "", 15).otherwise(0) + F.when(lang == "pt", 25).when(lang == "en", 10).otherwise(0)
     score -= F.when((n > 0) & (n / n_sentences(c) > 200), 20).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(100), score))
+
+
+def words_a_sentence(c: Column) -> Column:
+    return F.round(n_words(c) / n_sentences(c), 1)
+
+
+def blacklisted(c: Column, listed: list[str], limit: int = 200) -> Column:
+    """Whether a text holds at least `limit` of the distinct listed phrases (substrings, in lower case)."""
+    low = F.lower(c)
+    phrases = F.array(*[F.lit(w) for w in sorted({w.lower() for w in listed if w})]) if listed else F.array().cast("array<string>")
+    return F.size(F.filter(phrases, lambda w: F.contains(low, w))) >= limit
+
+
+def request_cost(tokens: Column, price_in: float, price_out: float, answered: Column | None = None) -> Column:
+    """Price of a request, by prices a million tokens; an unknown answer counts as 30 % of the request."""
+    out = F.coalesce(answered, F.floor(tokens * 0.3)) if answered is not None else F.floor(tokens * 0.3)
+    return F.round(tokens / 1e6 * price_in + out / 1e6 * price_out, 8)
+
+
+def digests(prompt: Column, answer: Column) -> Column:
+    """struct: md5 of the trimmed lower-case prompt, md5 of both sides, and 16 digits of an md5 of both sides for file names."""
+    return F.struct(F.md5(F.lower(F.trim(prompt))).alias("prompt"), F.md5(F.concat(prompt, F.lit("\x01"), answer)).alias("both"), F.substring(F.md5(F.concat(prompt, F.lit("|"), answer)), 1, 16).alias("short"))

@@ -43,3 +43,13 @@ def valid(messages: Column) -> Column:
 
 def pretrain_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: m["content"]), "\n\n")
+
+
+def lookahead_pairs(turns: DataFrame, least: int = 5) -> DataFrame:
+    """User turns with the next assistant turn before another user turn (system turns in between don't count); answers of `least` words or more."""
+    role = F.lower(F.trim("role"))
+    side = F.when(role == "user", "user").when(role.isin("assistant", "bot"), "assistant")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    said = turns.select("conv_id", "turn", "text", side.alias("r")).filter("r is not null")
+    rows = said.select("conv_id", "turn", "r", F.trim("text").alias("question"), F.lead("r").over(w).alias("nr"), F.trim(F.lead("text").over(w)).alias("answer"))
+    return rows.filter("r = 'user' and nr = 'assistant' and question <> ''").filter(F.regexp_count("answer", F.lit(r"\S+")) >= least).select("conv_id", "turn", "question", "answer")

@@ -76,10 +76,15 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
 
 
 def overlap(df: DataFrame, group: str, key: Column) -> DataFrame:
-    """Pairs of groups with the number of distinct keys they share, and their share of the second's keys."""
-    keys = df.select(F.col(group).alias("g"), F.md5(key).alias("k")).distinct()
+    """Pairs of groups with the number of distinct keys they share, and their share of the second's keys.
+
+    Keys are first counted by the set of groups that have them, so a pair is emitted once a
+    distinct set of groups, not once a key. A key's set has at most as many elements as there are groups.
+    """
+    keys = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), key_digest(key).alias("k")).distinct()
     sizes = keys.groupBy("g").agg(F.count("*").alias("n"))
-    both = keys.alias("a").join(keys.alias("b"), "k").filter("a.g <> b.g").groupBy(F.col("a.g").alias("a"), F.col("b.g").alias("b")).agg(F.count("*").alias("shared"))
+    sets = keys.groupBy("k").agg(F.array_sort(F.collect_set("g")).alias("s")).filter("size(s) > 1").groupBy("s").agg(F.count("*").alias("c"))
+    both = sets.select("s", "c", F.explode("s").alias("a")).select("c", "a", F.explode("s").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.sum("c").alias("shared"))
     return both.join(sizes.withColumnRenamed("g", "b"), "b").select("a", "b", "shared", (F.col("shared") / F.col("n")).alias("share"))
 
 

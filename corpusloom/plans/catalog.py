@@ -11,7 +11,8 @@ from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import conversation as C
 from ..operators import dedup as D
-from ..sources.sinks import written
+from ..operators.ranking import best
+from ..sources.sinks import letters, placed, written
 from .light_clean import light_status, sanitize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,21 +326,19 @@ TTR = f"CASE WHEN len({TOKENS}) < 30 THEN 0.0 ELSE CAST(len(list_distinct({TOKEN
 def _(docs):
     rows = docs.select(ID(), Q.ttr(X()).alias("ttr"), F.size(Q.tokens(X())).alias("n"))
     most = max(1, round(0.05 * docs.count()))
-    return rows.orderBy(F.desc("ttr"), F.desc("n"), "doc_id").limit(most).select("doc_id")
+    return best(rows, "ttr", [F.desc("n"), "doc_id"], most).select("doc_id")
 
 
 @query("shard_assignment", "documents", sql="SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS shard FROM documents")
 def _(docs):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select("source", "doc_id", F.floor((F.row_number().over(w) - 1) / 20).alias("shard"))
+    return placed(docs.select("source", "doc_id"), "source", "doc_id").select("source", "doc_id", F.floor(F.col("place") / 20).alias("shard"))
 
 
 @query("folder_split", "documents", sql="WITH s AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS part FROM documents) SELECT source || CASE WHEN part = 0 THEN '' ELSE '_' || chr(CAST(96 + part AS INT)) END AS folder, count(*) AS files FROM s GROUP BY 1")
 def _(docs):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    part = F.floor((F.row_number().over(w) - 1) / 20)
-    rows = docs.select("source", part.alias("part"))
-    return rows.groupBy(F.concat("source", F.when(F.col("part") == 0, "").otherwise(F.concat(F.lit("_"), F.char(F.lit(96) + F.col("part"))))).alias("folder")).agg(F.count("*").alias("files"))
+    rows = placed(docs.select("source", "doc_id"), "source", "doc_id").select("source", F.floor(F.col("place") / 20).alias("part"))
+    suffix = F.when(F.col("part") == 0, "").otherwise(F.concat(F.lit("_"), letters(F.col("part"))))
+    return rows.groupBy(F.concat("source", suffix).alias("folder")).agg(F.count("*").alias("files"))
 
 
 @query("train_val_split", "documents", sql="SELECT doc_id, CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 = 0 THEN 'val' ELSE 'train' END AS part FROM documents")

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import conversation as C
 from ..operators import lookups as L
 from ..operators import pairs as P
+from ..operators.ranking import best
 from ..sources import corpora, sinks
 from .catalog import WORDS, query
 from .catalog_records import CONTACTS, PAIRS, job, pair_texts
@@ -258,6 +259,50 @@ def _(spark, sf_dir):
     return sinks.exploded(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source", "doc_id", "text", 100_000, 10).select("source", "doc_id", "part")
 
 
+# more of texts and turns
+
+
+@query("lookahead_pairs", "conversations", sql="WITH s AS (SELECT conv_id, turn, text, CASE WHEN lower(trim(role)) = 'user' THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'bot') THEN 'assistant' END AS r FROM conversations), p AS (SELECT conv_id, turn, r, trim(text) AS q, lead(r) OVER w AS nr, trim(lead(text) OVER w) AS a FROM s WHERE r IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, md5(q) AS q, md5(a) AS a FROM p WHERE r = 'user' AND nr = 'assistant' AND q <> '' AND len(regexp_extract_all(a, '\\S+')) >= 5")
+def _(turns):
+    return C.lookahead_pairs(turns).select("conv_id", "turn", F.md5("question").alias("q"), F.md5("answer").alias("a"))
+
+
+@query("sentence_means", "documents", sql=f"SELECT doc_id, round({WORDS} / greatest(1, len(regexp_extract_all(text, '[.!?…](\\s|$)'))), 1) AS mean FROM documents")
+def _(docs):
+    return docs.select(ID(), Q.words_a_sentence(X()).alias("mean"))
+
+
+LISTED = ["the", "and", "que", "und", "les", "der", "ing", "tion", "ment", "xyz", "zzz", "sch"]
+
+
+@query("blacklisted", "documents", sql="SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in LISTED) + " >= 6 AS listed FROM documents")
+def _(docs):
+    return docs.select(ID(), Q.blacklisted(X(), LISTED, 6).alias("listed"))
+
+
+@query("request_prices", "conversations", sql=f"WITH t AS (SELECT conv_id, turn, {WORDS} AS n FROM conversations) SELECT conv_id, turn, round(n / 1e6 * 0.14 + floor(n * 0.3) / 1e6 * 0.28, 8) AS price FROM t")
+def _(turns):
+    return turns.select("conv_id", "turn", Q.request_cost(Q.n_words(X()), 0.14, 0.28).alias("price"))
+
+
+@query("pair_digests", "conversations", sql=f"WITH {PAIRS} SELECT conv_id, turn, md5(lower(trim(q))) AS prompt, md5(q || chr(1) || a) AS both, substr(md5(q || '|' || a), 1, 16) AS short FROM t")
+def _(turns):
+    return C.adjacent_pairs(turns).select("conv_id", "turn", Q.digests(F.col("question"), F.col("answer")).alias("d")).select("conv_id", "turn", "d.*")
+
+
+@query("page_context", "documents", sql="WITH d AS (SELECT doc_id // 4 AS g, doc_id, text, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS k FROM documents), c AS (SELECT g, string_agg(substr(text, 1, 2000), ' ' ORDER BY doc_id) FILTER (k <= 3 AND length(text) > 200) AS t FROM d GROUP BY g) SELECT g, md5(array_to_string(regexp_extract_all(coalesce(t, ''), '\\S+')[1:500], ' ')) AS h FROM c")
+def _(docs):
+    some = docs.groupBy(F.floor(ID() / 4).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct(ID(), X()))), lambda x: x["text"]).alias("p"))
+    return some.select("g", F.md5(T.context_of(F.col("p"))).alias("h"))
+
+
+@query("elite_folders", "documents", sql="WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-záéíóúâêôãõàüçñ]+') AS w FROM documents), s AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) < 30 THEN 0.0 ELSE CAST(len(list_distinct(w)) AS DOUBLE) / len(w) END AS ttr FROM t), r AS (SELECT doc_id, row_number() OVER (ORDER BY ttr DESC, n DESC, doc_id) - 1 AS place FROM s) SELECT doc_id, place, place // 30 AS folder FROM r WHERE place < (SELECT greatest(1, CAST(round_even(count(*) * 0.4, 0) AS BIGINT)) FROM documents)")
+def _(docs):
+    rows = docs.select(ID(), Q.ttr(X()).alias("ttr"), F.size(Q.tokens(X())).alias("n"))
+    kept = best(rows, "ttr", [F.desc("n"), "doc_id"], max(1, round(0.4 * docs.count())))
+    return kept.select(ID(), "place", F.floor(F.col("place") / 30).alias("folder"))
+
+
 # the flagship with all stages
 
 

@@ -7,20 +7,23 @@ within a range, so that a hot group is spread over as many tasks as it has range
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import conversation as C
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary folder only where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, a temporary folder in a local run and an error on a cluster."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -52,6 +55,13 @@ def folder_name(group, folder):
     return F.when(folder == 0, group).otherwise(F.concat(group, F.lit("_"), F.lpad((folder + 1).cast("string"), 3, "0")))
 
 
+def letters(n) -> Column:
+    """1, 2, .. 26, 27, .. as a, b, .. z, aa, ..: numbers up to 26 + 26^2 + 26^3."""
+    digit = lambda x: F.char(F.lit(97) + F.pmod(x - 1, F.lit(26)))
+    second, third = F.floor((n - 1) / 26), F.floor((F.floor((n - 1) / 26) - 1) / 26)
+    return F.concat(F.when(third > 0, digit(third)).otherwise(""), F.when(second > 0, digit(second)).otherwise(""), digit(n))
+
+
 def write_shards(df: DataFrame, path: str, group: str, order: str, rows: int = 1000) -> None:
     """JSON lines, one folder a group and shard with exactly `rows` rows but for the last."""
     named = sharded(df, group, order, rows).withColumn("folder", folder_name(F.col(group), F.col("folder")))
