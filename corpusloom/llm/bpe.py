@@ -1,16 +1,20 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The vocabulary's whole words, the words frequent enough to have been merged in
-full, are compiled with their ids into a minimal acyclic automaton (Daciuk's
-incremental construction: common suffixes are shared). Each arc carries the number
-of words it skips, so a walk yields a word's number and that its ids. The automaton
-is a flat byte string, shipped once, written to an unlinked local file and
-memory-mapped by each worker. A word that isn't in it is merged exactly, lowest
-rank first and leftmost among equals.
-
-Text is cut as the tokenizer file says: special tokens literally, then NFC, white
-space, lower case, the split pattern. A chunk between white space always encodes
-alike, so a worker keeps a bounded table of the chunks it has met.
+The corpus's frequent words (chunks between white space, counted over all rows, at most
+FREQUENT) and the vocabulary's whole words are compiled with their ids into a minimal acyclic
+automaton (Daciuk's incremental construction: common suffixes are shared). Each arc carries
+the number of words it skips, so a walk yields a word's number and that its ids. The automaton
+and the ids are one flat file in the shared folder, which Spark hands to each executor once and
+all its workers memory-map. A word that isn't in it is split by the tokenizer's pattern and
+merged exactly, lowest rank first and leftmost among equals.
+
+Text is cut as the tokenizer file says: special tokens literally, then NFC, white space, lower
+case, the split pattern. A chunk between white space always encodes alike, so within a
+batch of rows each distinct chunk is looked up once; nothing is kept across batches.
+
+Normal forms, lower case and classes of characters come from Python's and regex's Unicode
+tables, the library's from its own: around characters that are newer than the older of the two
+tables (recent combining marks and unassigned code points) results may differ.
 
 Defined cases: null texts count as empty and encode to nothing; null ids keep their
 row; words of any length are merged (long ones on a heap, in n log n).
@@ -22,18 +26,20 @@ import hashlib
 import heapq
 import json
 import mmap
+import os
 import pickle
-import tempfile
 import unicodedata
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_text, spread
+from .common import cut, discard, map_text, shared_dir, spread
 
 NONE = 1 << 62
-KEPT = 700_000
+FREQUENT = 50_000
 #: Unicode white space, a fixed set.
 BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
@@ -48,23 +54,17 @@ def byte_letters() -> dict[int, str]:
 class Automaton:
     """A minimal acyclic automaton over byte strings that numbers its words in sorted order."""
 
-    def __init__(self, raw):
+    def __init__(self, raw, at: int = 0):
+        """raw: a buffer (bytes or a memory map) that holds the automaton from `at` on, a multiple of four."""
         self.raw = raw
-        states, arcs, self.root = (int.from_bytes(raw[k : k + 4], "little") for k in (0, 4, 8))
-        view, at = memoryview(raw), 12
+        states, arcs, self.root = (int.from_bytes(raw[at + k : at + k + 4], "little") for k in (0, 4, 8))
+        view, at = memoryview(raw), at + 12
         self.first, at = view[at : at + 4 * (states + 1)].cast("I"), at + 4 * (states + 1)
         self.target, at = view[at : at + 4 * arcs].cast("I"), at + 4 * arcs
         self.skip, at = view[at : at + 4 * arcs].cast("I"), at + 4 * arcs
         self.final, at = view[at : at + states], at + states
         self.labels = at
 
-    @classmethod
-    def mapped(cls, raw: bytes) -> Automaton:
-        with tempfile.TemporaryFile() as f:  # has no name: nothing stays behind
-            f.write(raw)
-            f.flush()
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-
     def find(self, word: bytes) -> int:
         """The word's number, or -1."""
         state, n, first, base = self.root, 0, self.first, self.labels
@@ -178,50 +178,79 @@ def merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
 
 
 class Bpe:
-    """Made by Bpe.load on the driver; ships as plain data, and each worker builds it once."""
+    """A tokenizer with its lexicon. Bpe.load makes the parts on the driver, `packed` one byte string of them, which workers map."""
 
-    def __init__(self, data: dict):
+    def __init__(self, data: dict, raw=b"", at: int = 0):
         self.data = data
         self.tokens, self.pattern = data["tokens"], regex.compile(data["pattern"])
         self.pairs = dict(zip(data["left_right"].tolist(), data["rank_merged"].tolist(), strict=True))
         self.plain, self.last = data["plain"], data["last"]
         self.special = {self.tokens[k]: k for k in data["special"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Automaton.mapped(data["automaton"]) if data["automaton"] else None
-        self.ends, self.ids = data["ends"], data["ids"]
-        self.kept: dict[str, tuple[int, str, str]] = {}
+        self.words = None
+        if raw:
+            n, m = (int.from_bytes(raw[at + k : at + k + 4], "little") for k in (0, 4))
+            view, at = memoryview(raw), at + 8
+            self.ends, at = view[at : at + 4 * n].cast("I"), at + 4 * n
+            self.ids, at = view[at : at + 4 * m].cast("I"), at + 4 * m
+            self.words = Automaton(raw, at)
 
     @classmethod
     def load(cls, path: str, lexicon: list[str] | None = None) -> Bpe:
-        """From a tokenizer file. lexicon: words to compile beside the vocabulary's whole words."""
+        """From a tokenizer file. lexicon: chunks to compile beside the vocabulary's whole words."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
         vocab, letter = model["vocab"], byte_letters()
         tokens = {k: t for t, k in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        data = {
+        made = cls({
             "tokens": tokens, "special": [t["id"] for t in spec["added_tokens"]],
             "pattern": next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"),
             "left_right": np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.int64),
             "rank_merged": np.array([rank << 16 | vocab[a + b] for rank, (a, b) in enumerate(merges)], np.int64),
             "plain": [vocab[letter[b]] for b in range(256)], "last": [vocab[letter[b] + end] for b in range(256)],
-            "automaton": b"", "ends": [0], "ids": [],
-        }
+        })
         byte = {c: b for b, c in letter.items()}
-        words = {bytes(byte[c] for c in t[: -len(end)]) for t in vocab if t.endswith(end) and len(t) > len(end) + 1}
-        words |= {w.encode() for w in lexicon or () if w}
-        made = cls(dict(data))
-        ids = [made.merged(w) for w in sorted(words)]
-        return cls(data | {"automaton": compile_words(sorted(words)), "ends": np.cumsum([0, *map(len, ids)]).tolist(), "ids": [x for w in ids for x in w]})
+        whole = {bytes(byte[c] for c in t[: -len(end)]) for t in vocab if t.endswith(end) and len(t) > len(end) + 1}
+        ids = {w: made.merged(w) for w in whole}
+        for chunk in lexicon or ():
+            for c, special in made.chunks(chunk):  # in the form in which texts give it
+                if not special:
+                    ids[c.encode()] = made.split(c)
+        words = sorted(ids)
+        listed = [ids[w] for w in words]
+        flat = np.array([x for w in listed for x in w], "<u4")
+        ends = np.cumsum([0, *map(len, listed)]).astype("<u4")
+        raw = np.array([len(ends), len(flat)], "<u4").tobytes() + ends.tobytes() + flat.tobytes() + compile_words(words)
+        return cls(made.data, raw)
+
+    def packed(self) -> bytes:
+        """The plain data, pickled, and the lexicon from a multiple of four on."""
+        data = pickle.dumps(self.data)
+        data += b"\0" * (-len(data) % 4)
+        return len(data).to_bytes(4, "little") + data + bytes(self.words.raw)
+
+    @classmethod
+    def unpacked(cls, raw) -> Bpe:
+        n = int.from_bytes(raw[:4], "little")
+        return cls(pickle.loads(raw[4 : 4 + n]), raw, 4 + n)
 
     def merged(self, word: bytes) -> list[int]:
         plain = self.plain
         return merge([plain[b] for b in word[:-1]] + [self.last[word[-1]]], self.pairs)
 
     def word(self, word: bytes) -> list[int]:
-        k = self.words.find(word)
-        return self.merged(word) if k < 0 else self.ids[self.ends[k] : self.ends[k + 1]]
+        k = self.words.find(word) if self.words else -1
+        return self.merged(word) if k < 0 else list(self.ids[self.ends[k] : self.ends[k + 1]])
+
+    def split(self, chunk: str) -> list[int]:
+        """A chunk's ids by the tokenizer's pattern."""
+        return [x for w in self.pattern.findall(chunk) for x in self.word(w.encode())]
+
+    def chunk(self, chunk: str) -> list[int]:
+        k = self.words.find(chunk.encode())
+        return self.split(chunk) if k < 0 else list(self.ids[self.ends[k] : self.ends[k + 1]])
 
     def chunks(self, text: str):
         """Special tokens and the normalised chunks between white space."""
@@ -236,70 +265,89 @@ class Bpe:
                     yield chunk, None
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for chunk, special in self.chunks(text):
-            if special:
-                out.append(self.special[special])
-            else:
-                for w in self.pattern.findall(chunk):
-                    out += self.word(w.encode())
-        return out
+        return [x for c, special in self.chunks(text) for x in ([self.special[special]] if special else self.chunk(c))]
 
     def decode(self, ids) -> str:
         """Tokens joined by a space, special ones included."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
-    def rendered(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal, and the decoded text."""
-        kept, parts = self.kept, []
-        if self.cut and "<|" in text:
-            chunks = [c if c else (s,) for c, s in self.chunks(text)]
-        else:
-            chunks = [c for c, _ in self.chunks(text)]
-        for c in chunks:
-            if (x := kept.get(c)) is None:
-                ids = [self.special[c[0]]] if isinstance(c, tuple) else [i for w in self.pattern.findall(c) for i in self.word(w.encode())]
-                if len(kept) >= KEPT:
-                    kept.clear()
-                x = kept[c] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            parts.append(x)
-        return sum(x[0] for x in parts), " ".join(x[1] for x in parts if x[0]), " ".join(x[2] for x in parts if x[0])
+    def rendered(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
+        """Number of ids, the ids in decimal, and the decoded text, of each text. Each distinct chunk is encoded once."""
+        known: dict[str, tuple[int, str, str]] = {}
+        out = []
+        for raw in texts:
+            parts = []
+            for c, special in self.chunks(raw.decode("utf-8", "replace")):
+                c = c or special  # no chunk between white space holds a special token
+                if (x := known.get(c)) is None:
+                    ids = [self.special[special]] if special else self.chunk(c)
+                    x = known[c] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                if x[0]:
+                    parts.append(x)
+            out.append((sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])))
+        return out
+
+
+def frequent_chunks(docs: DataFrame, text_col: str = "text", most: int = FREQUENT, longest: int = 64) -> list[str]:
+    """At most about `most` chunks between white space, in lower case and of at most `longest` characters, that occur most often in all texts.
+
+    Counted with map-side sums; the driver gets the numbers of words by order of magnitude of
+    their counts (eight a doubling, so some hundred), and then the words above the bound that follows.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"\s+")).alias("w")).filter("w <> ''").filter(F.length("w") <= longest)
+    counts = cut(words.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w", F.floor(F.log2("n") * 8).alias("size")))
+    total, bound = 0, None
+    for r in sorted(counts.groupBy("size").count().collect(), reverse=True):
+        if total + r["count"] > most:
+            break
+        total, bound = total + r["count"], r["size"]
+    found = [] if bound is None else sorted(r[0] for r in counts.filter(F.col("size") >= bound).select("w").collect())
+    discard(counts)
+    return found
 
 
 _LOADED: dict[str, Bpe] = {}
 
 
-def _worker(key: str, blob: bytes) -> Bpe:
-    if key not in _LOADED:
+def _worker(name: str) -> Bpe:
+    """The tokenizer from the file that Spark gave this executor: mapped once a worker, its pages shared by all."""
+    if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Bpe(pickle.loads(blob))
-    return _LOADED[key]
+        with open(SparkFiles.get(name), "rb") as f:
+            _LOADED[name] = Bpe.unpacked(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    return _LOADED[name]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>, decoded string."""
-    blob = pickle.dumps(Bpe.load(tokenizer).data)
-    key = hashlib.sha256(blob).hexdigest()
+def shipped(spark: SparkSession, bpe: Bpe) -> str:
+    """Write the tokenizer to the shared folder and let Spark hand it to the executors; the file's name."""
+    raw = bpe.packed()
+    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:32]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(raw))
+    out.close()
+    if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(fs.makeQualified(path).toString())
+    return name
 
-    def fn(ids, texts):
-        bpe = _worker(key, blob)
-        found = [bpe.rendered(t.decode("utf-8", "replace")) for t in texts]
-        return {"doc_id": ids, "ids": [np.array(x[1].split(), np.int32) for x in found], "decoded": [x[2] for x in found]}
 
-    return map_text(spread(docs), id_col, text_col, fn, "doc_id long, ids array<int>, decoded string")
+def _rendered(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns, schema: str) -> DataFrame:
+    name = shipped(docs.sparkSession, Bpe.load(tokenizer, frequent_chunks(docs, text_col)))
+    return map_text(spread(docs), id_col, text_col, lambda ids, texts: {"doc_id": ids, **columns(_worker(name).rendered(texts))}, schema, rows=4096)
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids array<int>, decoded string. Odd rows: as the module says; an empty table gives no rows."""
+    columns = lambda found: {"ids": [np.array(x[1].split(), np.int32) for x in found], "decoded": [x[2] for x in found]}
+    return _rendered(docs, tokenizer, id_col, text_col, columns, "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode_documents gives, without moving it."""
-    blob = pickle.dumps(Bpe.load(tokenizer).data)
-    key = hashlib.sha256(blob).hexdigest()
 
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def fn(ids, texts):
-        bpe = _worker(key, blob)
-        found = [bpe.rendered(t.decode("utf-8", "replace")) for t in texts]
-        return {"doc_id": ids, "n_tokens": [x[0] for x in found], "ids_sha256": [sha(x[1]) for x in found], "decoded_sha256": [sha(x[2]) for x in found]}
-
-    return map_text(spread(docs), id_col, text_col, fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = lambda found: {"n_tokens": [x[0] for x in found], "ids_sha256": [sha(x[1]) for x in found], "decoded_sha256": [sha(x[2]) for x in found]}
+    return _rendered(docs, tokenizer, id_col, text_col, columns, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -71,8 +71,8 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_text(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> DataFrame:
-    """mapInArrow over (id, text) alone: fn(ids, texts as bytes) gives a dict of columns a batch."""
+def map_text(docs: DataFrame, id_col: str, text_col: str, fn, schema: str, rows: int = 512) -> DataFrame:
+    """mapInArrow over (id, text) alone: fn(ids, texts as bytes), with at most `rows` texts, gives a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -81,8 +81,8 @@ def map_text(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
                 out = fn(part.column(0).to_pylist(), as_bytes(part.column(1)))
                 yield pa.record_batch([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

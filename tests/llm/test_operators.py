@@ -219,9 +219,20 @@ def test_bpe(spark, corpus):
     want.sort(key=lambda r: (r[0] is None, r))
     assert by_id(bpe.encode_digests(frame(spark, rows), tokenizer_path()), "n_tokens", "ids_sha256", "decoded_sha256") == want
     words = sorted({bytes(random.Random(k).choices(b"abc", k=1 + k % 5)) for k in range(200)})
-    auto = bpe.Automaton.mapped(bpe.compile_words(words))
+    auto = bpe.Automaton(bpe.compile_words(words))
     assert [auto.find(w) for w in words] == list(range(len(words))) and auto.find(b"abcabcabc") == -1
     assert bpe.encode_digests(empty(spark), tokenizer_path()).count() == 0
+    got = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, rows), tokenizer_path()).collect() if r["doc_id"] is not None}
+    assert all(got[i]["ids"] == (ids := lib.encode(t or "", add_special_tokens=False).ids) and got[i]["decoded"] == lib.decode(ids, skip_special_tokens=False) for i, t in rows if i is not None)
+    counts = Counter(w for _, t in corpus for w in (t or "").lower().split())
+    frequent = bpe.frequent_chunks(frame(spark, corpus), most=40)
+    least = min(counts[w] for w in frequent)
+    assert 0 < len(frequent) <= 40 and all(w in frequent for w, n in counts.items() if n > least * 1.2)
+    lexicon = ["don't!!", "Ünï", "x<|endoftext|>y", "hello", "zzzzqqq-1"]
+    loaded = bpe.Bpe.unpacked(bpe.Bpe.load(tokenizer_path(), lexicon).packed())
+    assert loaded.words.find("don't!!".encode()) >= 0 and loaded.words.find("ünï".encode()) >= 0
+    for t in ("don't!! Ünï hello zzzzqqq-1 x<|endoftext|>y", "zzzzqqq-1zzzzqqq-1"):
+        assert loaded.encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_warc(spark, tmp_path):
