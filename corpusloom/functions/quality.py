@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,18 +66,18 @@ def symbol_ratio(c: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.translate(c, SYMBOLS, ""))) / n)
 
 
-def literal_of(pattern: str) -> str:
-    """The longest run of letters that every match of a pattern holds: classes, groups and optional letters cut runs."""
+def literals_of(pattern: str) -> list[str]:
+    """Runs of letters that every match of a pattern holds, the longest first: classes, groups and optional letters cut runs."""
     plain = re.sub(r"\[[^\]]*\]|\([^)]*\)|\\s[+*]?|.\?", "\0", pattern)
-    return max(re.findall("[a-z]+", plain), key=len)
+    return sorted(set(re.findall("[a-z]{2,}", plain)), key=lambda x: (-len(x), x))
 
 
 def ai_noise(c: Column) -> Column:
-    """Whether one of the phrases is in the first 3000 characters; the patterns are only tried where a literal part of one occurs."""
+    """Whether one of the phrases is in the first 3000 characters; the patterns are only tried where all literal parts of one occur."""
     head = F.lower(F.substring(c, 1, 3000))
     some = F.lit(False)
-    for word in sorted({literal_of(p) for p in NOISE}):
-        some = some | F.contains(head, F.lit(word))
+    for pattern in NOISE:
+        some = some | reduce(and_, (F.contains(head, F.lit(w)) for w in literals_of(pattern)))
     return F.when(some, head.rlike("|".join(NOISE))).otherwise(F.when(c.isNotNull(), F.lit(False)))
 
 
