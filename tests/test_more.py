@@ -69,7 +69,15 @@ def test_text_rules(spark):
     assert T.rejoin_cut_lines("ele se\nse foi") == "ele se foi" and T.rejoin_cut_lines("no\nno dia") == " no dia"
     assert T.rejoin_cut_lines("e\neconomia") == "e\neconomia" and T.rejoin_cut_lines("uma só") == "uma só" and T.rejoin_cut_lines("") == ""
     assert T.rejoin_cut_lines("cas\n casa da\ndama") == " casa dama" and T.rejoin_cut_lines("a b\n\nc") == "a b\n\nc"
-    assert column(spark, T.insert_spaces, ["sistemaOperacional", "aquelecomputador", None]) == ["sistema Operacional", "aquelecomputador", None]
+
+    def spaced(x):
+        x = re.sub("([a-záéíóúàèìòùâêîôûäëïöü])([A-ZÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ])", r"\1 \2", x)
+        for w in T.INFIXES:
+            x = re.sub(f"([a-záéíóú])({w})([a-záéíóú])", r"\1 \2 \3", x, flags=re.I)
+        return " ".join(x.split())
+
+    joined = ["sistemaOperacional", "aquelecomputador", "Ocasodeumlivro É assim", "cãoquelate", ""]
+    assert column(spark, T.insert_spaces, [*joined, None]) == [*map(spaced, joined), None]
     assert column(spark, T.decode_entities, ["a &amp; b &#233;&#xE9; &nbsp;x &bogus; &lt;p&gt; &#0; &#55296; &", "none", None, "&amp;lt;"]) == ["a & b éé  x &bogus; <p> &#0; &#55296; &", "none", None, "&lt;"]
     assert column(spark, T.clean_text, ["<p>caf&eacute; &amp; ch&aacute;</p> http://x.y z"]) == ["café & chá z"]
     assert column(spark, T.page_title, ["<title> A </title><h1>B</h1>", "<h1>B <b>c</b></h1>", ""]) == ["A", "B c", ""]
