@@ -187,6 +187,37 @@ def test_bytes_dedup(spark, corpus):
     assert suffix_dedup(empty(spark)).count() == 0
 
 
+def test_suffix_family(spark, corpus, tmp_path):
+    """Batches added one after another: ranges add up to those of all documents at once, and levels merge geometrically."""
+    from corpusloom.llm.suffix_levels import SuffixFamily, repeated_ranges
+
+    rows = [(i, t) for i, t in corpus if i is not None] + crowded_rows(12)[:6]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    family, got = SuffixFamily(spark, str(tmp_path / "family"), shards=3, width=60), Counter()
+
+    def windows(ranges):
+        return {(r["doc_id"], k) for r in ranges.collect() for k in range(r["first"], r["last"] + 1)}
+
+    from corpusloom.llm.anchors import named
+
+    upto = 0
+    for size in (9, 3, 20, 1, 2, len(rows)):
+        batch, upto = rows[upto : upto + size], upto + size
+        if not batch:
+            continue
+        found = family.add(frame(spark, batch))
+        new = {r["doc_id"] for r in found.filter("fresh").collect()}
+        assert new <= {i for i, _ in batch}
+        got.update(windows(found))
+        assert set(got) == windows(repeated_ranges(named(frame(spark, rows[:upto])), 60))
+        sizes = [n for _, n in family.levels()]
+        assert all(2 * b <= a for a, b in zip(sizes, sizes[1:], strict=False))
+    before = family.levels()
+    assert family.add(empty(spark)).count() == 0 and sum(n for _, n in family.levels()) == sum(n for _, n in before)
+
+
 def test_pieces(spark):
     """Texts longer than a piece, whose windows are found piece by piece, with the anchors of the whole text."""
     from corpusloom.llm.anchors import find_segments
