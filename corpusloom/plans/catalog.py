@@ -433,7 +433,10 @@ def _(docs, items):
     return D.contained(docs, items)
 
 
-@query("space_joined", "documents")
+UPPER, LOWER = "A-ZÁÉÍÓÚÂÊÔÀÃÕÇ", "a-záéíóúâêôàãõç"
+
+
+@query("space_joined", "documents", sql=f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([.!?]+)([{UPPER}])', '\\1 \\2', 'g'), '([>\\]}}])([A-Za-z{UPPER[3:]}{LOWER[3:]}])', '\\1 \\2', 'g'), '([{LOWER}])([{UPPER}])', '\\1 \\2', 'g'), ' {{2,}}', ' ', 'g'))) AS h FROM documents")
 def _(docs):
     return docs.select(ID(), F.md5(T.space_joined(X())).alias("h"))
 

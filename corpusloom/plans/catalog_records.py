@@ -137,7 +137,7 @@ def _(docs):
     return docs.select(ID(), R.length_class(X()).alias("class"))
 
 
-@query("fact_claims", "documents")
+@query("fact_claims", "documents", sql="WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) BETWEEN 40 AND 400 AND regexp_matches(x, '\\d|(?i)\\b(the|de|der)\\b')) AS s FROM documents), h AS (SELECT doc_id, s, list_transform(s, lambda x: lower(substr(x, 1, 80))) AS h FROM s), f AS (SELECT doc_id, list_filter(s, lambda x, i: list_position(h, h[i]) = i)[1:3] AS f FROM h) SELECT doc_id, CAST(unnest(generate_series(0, len(f) - 1)) AS INT) AS rank, unnest(f) AS claim FROM f WHERE len(f) > 0")
 def _(docs):
     return docs.select(ID(), F.posexplode(R.fact_sentences(X(), r"\d|(?i)\b(the|de|der)\b")).alias("rank", "claim"))
 
@@ -150,7 +150,13 @@ def _(docs):
 # text functions
 
 
-@query("mojibake_table", "documents")
+def _replaced(c):
+    for wrong, right in T.MOJIBAKE.items():
+        c = f"replace({c}, '{wrong}', '{right.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+@query("mojibake_table", "documents", sql=f"SELECT doc_id, md5(trim(regexp_replace({_replaced('text')}, '\\s+', ' ', 'g'))) AS h FROM documents")
 def _(docs):
     return docs.select(ID(), F.md5(T.fix_mojibake_table(X())).alias("h"))
 
@@ -170,13 +176,25 @@ def _(turns):
     return pair_texts(turns).select("conv_id", "turn", F.md5(T.answer_part(X())).alias("h"))
 
 
-@query("trimmed_article", "documents")
+def _body(listed):
+    return f"list_transform(r, lambda x: NOT regexp_matches(lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '^$|^({'|'.join(listed)})'))"
+
+
+@query("trimmed_article", "documents", sql=f"WITH r AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS r FROM documents), p AS (SELECT doc_id, r, coalesce(list_position({_body(R.OPENINGS)}, true), 0) AS a, len(r) + 1 - coalesce(nullif(list_position(list_reverse({_body(R.CLOSINGS)}), true), 0), len(r) + 1) AS b FROM r), t AS (SELECT doc_id, CASE WHEN a > 0 AND b >= a THEN regexp_replace(array_to_string(r[a:b], chr(10)), '^\\s+|\\s+$', '', 'g') ELSE '' END AS t FROM p) SELECT doc_id, length(t) AS chars, md5(t) AS h, nullif(regexp_extract(t, '(?m)^#\\s+(.+)$', 1), '') AS topic FROM t")
 def _(docs):
     body = R.trimmed_article(X())
     return docs.select(ID(), F.length(body).alias("chars"), F.md5(body).alias("h"), R.article_topic(body).alias("topic"))
 
 
-@query("book_text", "documents")
+STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+HEADS = "(?i)[a-zà-úç](?:[ ]+[a-zà-úç]){2,}[^|]*\\|[a-zà-úç](?:[ ]+[a-zà-úç])+"
+BOOK = f"""WITH r AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda s: {STRIPPED.format("s")}), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)sol\\.indd|bb\\s+preto|^\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}}$|^www\\.|^http')
+ AND NOT regexp_matches(s, '(?i)^\\d{{1,4}}\\s*$|^[ivxlcdm]{{1,4}}\\s*$') AND NOT (regexp_matches(s, '\\|[a-zçáéíóúâêôãõ]') AND length(s) - length(replace(s, ' ', '')) > length(s) / 3)) AS r FROM documents),
+ c AS (SELECT doc_id, list_transform(r, lambda s: {STRIPPED.format("regexp_replace(" + STRIPPED.format("regexp_replace(s, '" + HEADS + "', ' ', 'g')") + ", '\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\s+\\d{1,2}:\\d{2}\\b', '', 'g')")}) AS r FROM r)
+SELECT doc_id, md5(array_to_string(list_filter(r, lambda s: s <> ''), ' ')) AS h FROM c"""
+
+
+@query("book_text", "documents", sql=BOOK)
 def _(docs):
     return docs.select(ID(), F.md5(R.book_text(X())).alias("h"))
 
