@@ -566,6 +566,111 @@ def test_pipeline(spark):
     duckdb.connect().close()
 
 
+def best_edits(item, ws):
+    """Least edit distance of the item to a window of ws of any length."""
+    row = [0] * (len(ws) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(ws, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage, and run(), against plain code on a small table with copies, leaks, null and repeated rows."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from corpusloom.llm import quality
+    from corpusloom.llm.registry import tokenizer_path
+
+    rng = random.Random(21)
+    source, bench, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark", "labels"))
+    items = [(r["item_id"], r["text"]) for r in bench.orderBy("item_id").limit(12).collect()]
+    rows = [tuple(r) for r in source.filter("length(text) < 3000").orderBy("doc_id").limit(110).collect()]
+    texts = [r[1] for r in rows if len(r[1].split()) > 60]
+    new = iter(range(5000, 6000))
+    for t in texts[:12]:
+        ws = t.split()
+        near, far = list(ws), list(ws)
+        near[len(ws) // 2] = "changed"
+        for k in rng.sample(range(len(ws)), len(ws) // 5):
+            far[k] = f"other{k}"
+        for copy in (t, "  ".join(ws), " ".join(near), " ".join(far)):
+            rows.append((next(new), copy, "en", "copies", len(copy)))
+    for _, leak in items[:6]:
+        ws = leak.split()
+        ws[len(ws) // 2] = "edited"
+        text = " ".join([*texts[20].split()[:40], *ws, *texts[21].split()[:40]])
+        rows.append((next(new), text, "en", "leaks", len(text)))
+    rows += [(None, texts[30] + " more", None, None, None), (7000, None, "en", "odd", 0), (7001, "", "en", "odd", 0), (7002, " ", "en", "odd", 1), rows[3], rows[3], (rows[4][0], texts[31] + " with another end", "en", "odd", 5)]
+    rng.shuffle(rows)
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, source.schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    keyed = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    # quality
+    model = quality.train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = Counter((r[0], r[1]) for r in rows if model.scores([(r[1] or "").encode()])[0] >= 0.5)
+    kept = P.cut(P.STAGES[0][1](spark, docs, sf))
+    assert keyed(kept) == want and 0 < sum(want.values())
+    # the other stages get all rows, so that each has work to do
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    first = {}
+    for r in rows:
+        k = norm(r[1])
+        first[k] = r[0] if first.get(k) is None else min(first[k], r[0] if r[0] is not None else first[k])
+    want = Counter({(r[0], r[1]) for r in rows if first[norm(r[1])] == r[0]})
+    exact = P.cut(P.STAGES[1][1](spark, docs, sf))
+    got = keyed(exact)
+    assert {(i, norm(t)) for i, t in got} == {(i, norm(t)) for i, t in want} and sum(got.values()) == len({(i, norm(t)) for i, t in want})
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    nodes = sorted({(i, t or "") for i, t in got if i is not None})
+    sets, root = [grams(t) for _, t in nodes], list(range(len(nodes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(nodes)):
+        for b in range(a):
+            if not sets[a] and not sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    gone = {nodes[k] for k in range(len(nodes)) if find(k) != k}
+    near = P.cut(P.STAGES[2][1](spark, exact, sf))
+    left = {(i, t or "") for i, t in keyed(near)}
+    assert {(i, t or "") for i, t in got} - left <= gone and len(gone - left) >= 0.95 * len(gone) > 5
+
+    word = lambda t: re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+", (t or "").lower())
+    leaking = {(i, t) for i, t in keyed(docs) if any(best_edits(word(s), word(t)) <= len(word(s)) // 5 for _, s in items)}
+    clean = keyed(P.cut(P.STAGES[3][1](spark, docs, sf)))
+    assert set(clean) == set(keyed(docs)) - leaking and len(leaking) >= 6
+
+    lib = Tokenizer.from_file(tokenizer_path())
+    tokens = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in P.STAGES[4][1](spark, docs, sf).collect()}
+    assert tokens == {(r[0], len(ids := lib.encode(r[1] or "", add_special_tokens=False).ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for r in rows}
+
+    out = docs
+    for _, stage in P.STAGES[:-1]:
+        out = P.cut(stage(spark, out, sf))
+        assert out.columns == docs.columns
+    assert sorted(map(str, P.run(spark, sf).collect())) == sorted(map(str, P.STAGES[-1][1](spark, out, sf).collect()))
+    for t in ("documents",):
+        docs.filter("false").write.parquet(f"{sf}/none/{t}.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{sf}/none/{t}.parquet")
+    assert P.run(spark, f"{sf}/none").count() == 0
+
+
 def test_least_hashed(spark):
     from pyspark.sql import functions as F
 
