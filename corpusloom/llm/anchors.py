@@ -281,7 +281,9 @@ def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, shar
     high, n, text) and gives a, h, g, first, last, least: ranges of windows of a class, from 0 on.
     """
     found = cut(find_segments(docs, words, width, k, nulls))
-    anchors = cut(found.groupBy("a").agg(F.count("*").alias("segments"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("many").alias("many")).filter(shared).select("a", "segments"))
+    # only what `shared` reads is aggregated, as Catalyst prunes the rest
+    facts = found.groupBy("a").agg(F.count("*").alias("segments"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("many").alias("many"))
+    anchors = cut(facts.filter(shared).select("a", "segments"))
     rows = cut(found.join(anchors, "a").select(*KEY, "doc_id", "tid", "s", "n", "many", (F.col("segments") > crowd).alias("crowd")))
     discard(found, anchors)
     first = class_of(rows.select(*KEY, F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("least"), F.col("doc_id").alias("high"), "many", "n", "crowd", F.col("doc_id").alias("doc"), "tid", "s"))
@@ -297,6 +299,7 @@ def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, shar
     shards = max(1, -(-total // shard_size))
     texts = texts_of(wanted.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))), docs, words, width)
     told = cut(texts.groupBy("shard").applyInArrow(index, "a long, h long, g long, first int, last int, least long"))
+    discard(classes)
     if crowds:  # what is told of a window holds for that window of its classes
         back = windows.select(*KEY, "ca", "ch", "cg", "w").join(told.select(*KEY, F.col("least").alias("low")), KEY).select(F.col("ca").alias("a"), F.col("ch").alias("h"), F.col("cg").alias("g"), "w", "low")
         neighbours = Window.partitionBy(*KEY, "low").orderBy("w")
