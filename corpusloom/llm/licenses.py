@@ -9,7 +9,7 @@ unknown gives probabilities. The training set is made from the templates below (
 names, comment marks, dropped words and joined notices) and, for unknown, from near-miss
 sentences and at most MOST_OTHER distinct lines of the corpus, half of them lines that name
 words of licences without having a template's wording (two bounded samples, picked by hash
-among the lines of 20 to 400 letters). Probabilities are calibrated by a temperature that
+among the lines of 20 to 400 letters; of the plain lines one in 64, by hash, is looked at). Probabilities are calibrated by a temperature that
 is fit across three folds, each of which holds out whole templates and lines, not copies.
 A prediction stands if the probability of unknown is at most 1 - LEAST and the closest
 template of one of the three likeliest families confirms it: the weighted share of the

@@ -146,7 +146,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """doc_id, start, stop (bytes), probability, sentence of every sentence at or above `least`."""
+    """doc_id, start, stop (bytes), probability, sentence of every sentence at or above `least`.
+
+    Null and empty texts and an empty table give no rows; null ids keep theirs; repeated rows give theirs each.
+    """
 
     def fn(ids, texts):
         out = {"doc_id": [], "start": [], "stop": [], "probability": [], "sentence": []}
