@@ -13,6 +13,7 @@ from ..operators import lookups as L
 from ..operators import pairs as P
 from ..operators.ranking import best
 from ..sources import corpora, sinks
+from ..streaming import pickup
 from .catalog import WORDS, query
 from .catalog_records import CONTACTS, PAIRS, job, pair_texts
 from .light_clean import chain_clean, light_clean_full
@@ -303,6 +304,33 @@ def _(docs):
     return kept.select(ID(), "place", F.floor(F.col("place") / 30).alias("folder"))
 
 
+# streams, run over what is there
+
+
+def event_stream(spark, sf_dir, files: int = 3):
+    """The events as a stream of several files, a batch each; ts as a timestamp."""
+    path = sinks.scratch(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events.repartitionByRange(files, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@job("stream_first_seen", "SELECT DISTINCT event_type || '/' || (user_id % 50) AS key FROM events")
+def _(spark, sf_dir):
+    keyed = event_stream(spark, sf_dir).withColumn("key", F.concat_ws("/", "event_type", F.col("user_id") % 50))
+    target = sinks.scratch(spark)
+    pickup.drain(pickup.first_seen(keyed, "key", "ts", "3650 days").select("key"), target, sinks.scratch(spark))
+    return spark.read.schema("key string").parquet(target)
+
+
+@job("stream_counts", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    target = sinks.scratch(spark)
+    counts = pickup.counts_by_window(event_stream(spark, sf_dir), "ts", "event_type", "1 day", "3650 days").select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    pickup.drain(counts, target, sinks.scratch(spark), "complete")
+    return spark.read.schema("start long, event_type string, n long").parquet(target)
+
+
 # the flagship with all stages
 
 

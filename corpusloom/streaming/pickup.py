@@ -26,3 +26,13 @@ def first_seen(rows: DataFrame, key: str, time: str, horizon: str = "1 day") ->
 def counts_by_window(rows: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows by time window and a column; windows close when the watermark has passed."""
     return rows.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+
+
+def drain(rows: DataFrame, target: str, state: str, mode: str = "append") -> None:
+    """Run a stream over what is there now and stop. mode 'append' adds finished rows to target; 'complete' replaces target by the whole result after each batch."""
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", target).start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).start()
+    query.awaitTermination()
