@@ -330,3 +330,43 @@ def test_queries_without_sql_keep_every_row(spark, name):
     sf = "/root/testdata/sf0.001"
     table = "pages" if name == "page_articles" else "documents"
     assert catalog.queries()[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
+def test_small_readers(spark, tmp_path):
+    from corpusloom.functions import text as T
+    from corpusloom.sources import readers as R
+
+    assert T.whole_repair("VocÃª vem") == "Você vem" and T.whole_repair("mães") == "mães" and T.whole_repair("Ã soltoĀ") == "Ã soltoĀ" and T.whole_repair("") == ""
+    assert column(spark, T.drop_ansi, ["\x1b[31mred\x1b[0m  text\x07", "\x1b]0;title\x1b\\x", None, ""]) == ["red text", "x", None, ""]
+    assert column(spark, lambda c: R.pdf_ok(c.cast("binary"), 10), ["%PDF-1.4 and more", "%PDF-1.4", "no pdf at all here", None]) == [True, False, False, None]
+    assert column(spark, R.xml_text, ["<a>x <b>y</b><!-- no --> &lt;z&gt; &amp;</a>", None]) == ["x y <z> &", None]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/a.csv").write_text('one,"two, three"\n"a ""q""",\n')
+    assert sorted(r["text"] for r in R.read_csv_text(spark, str(tmp_path / "c")).collect()) == ['a "q"', "one two, three"]
+    lines = spark.createDataFrame([("d", 1, 5.0, 100.0, "head"), ("d", 1, 50.0, 100.0, "b" * 300), ("d", 1, 20.0, 100.0, "a" * 300), ("d", 1, 60.0, 100.0, "ab"), ("e", 1, 50.0, 100.0, "short")], "doc string, page int, y double, height double, line string")
+    assert [(r["doc"], r["text"]) for r in R.body_lines(lines).collect()] == [("d", "a" * 300 + "\n" + "b" * 300)]
+    for kind, want in (("csv", {'{"k":"1"}'}), ("json", {'{"k": 2}'}), ("parquet", {'{"k":3}'})):
+        if kind == "csv":
+            (tmp_path / "p").mkdir()
+            (tmp_path / "p/x.csv").write_text("k\n1\n")
+        elif kind == "json":
+            (tmp_path / "p/y.json").write_text('{"k": 2}\n')
+        else:
+            spark.createDataFrame([(3,)], "k int").coalesce(1).write.parquet(str(tmp_path / "p/z"))
+        assert {r["record"] for r in R.read_preferred(spark, str(tmp_path / "p")).collect()} == want
+    (tmp_path / "none").mkdir()
+
+
+def test_streams_resume(spark, tmp_path):
+    """A second run takes only what is new, and a key seen by the first run isn't first again."""
+    from corpusloom.streaming import pickup
+
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    shape = "k string, ts timestamp"
+    batches = [[("a", 1), ("a", 2), ("b", 1)], [("a", 3), ("c", 3)], []]
+    for rows in batches:
+        if rows:
+            spark.createDataFrame(rows, "k string, d int").selectExpr("k", "timestamp '2024-01-01' + make_dt_interval(d) as ts").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(shape).parquet(source)
+        pickup.drain(pickup.first_seen(stream, "k", "ts", "30 days").select("k"), target, state)
+    assert sorted(r["k"] for r in spark.read.schema("k string").parquet(target).collect()) == ["a", "b", "c"]
