@@ -10,7 +10,7 @@ merged exactly, lowest rank first and leftmost among equals.
 
 Text is cut as the tokenizer file says: special tokens literally, then NFC, white space, lower
 case, the split pattern. A chunk between white space always encodes alike, so within a
-batch of rows each distinct chunk is looked up once; nothing is kept across batches.
+batch of rows each distinct chunk is looked up once.
 
 Normal forms, lower case and classes of characters come from Python's and regex's Unicode
 tables, the library's from its own: around characters that are newer than the older of the two
@@ -22,6 +22,7 @@ row; words of any length are merged (long ones on a heap, in n log n).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -40,6 +41,8 @@ from .common import cut, discard, map_text, shared_dir, spread
 
 NONE = 1 << 62
 FREQUENT = 50_000
+KEPT = 1 << 18  # unseen chunks of at most 32 characters that a worker keeps: some 150 MB if all are as long as can be
+_SEPARATORS = regex.compile("[\x1c-\x1f]")  # Python's split() takes these for white space
 #: Unicode white space, a fixed set.
 BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
@@ -177,6 +180,38 @@ def merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def merge_all(ids: np.ndarray, size: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+    """merge() of many words at once, in place: a row a word, its ids padded on the right; size: how many each has. keys (in order), values: as pairs in merge()."""
+
+    def found(a, b):
+        key = a << 16 | b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], NONE)
+
+    wide = ids.shape[1]
+    col = np.arange(wide)
+    rank = np.full(ids.shape, NONE, np.int64)  # of each id with the one after it
+    rank[:, :-1] = np.where(col[1:] < size[:, None], found(ids[:, :-1], ids[:, 1:]), NONE)
+    live = np.arange(len(ids))
+    while len(live):
+        r = rank[live]
+        best = r.argmin(1)  # the first among equals
+        v = r[np.arange(len(live)), best]
+        go = v < NONE
+        live, best, v, r = live[go], best[go], v[go], r[go]
+        row = np.arange(len(live))
+        x = np.take_along_axis(ids[live], np.minimum(col + (col > best[:, None]), wide - 1), 1)
+        r = np.take_along_axis(r, np.minimum(col + (col >= best[:, None]), wide - 1), 1)
+        x[row, best] = v & 0xFFFF
+        size[live] -= 1
+        k = np.flatnonzero(best > 0)
+        r[k, best[k] - 1] = found(x[k, best[k] - 1], x[k, best[k]])
+        r[row, best] = NONE
+        k = np.flatnonzero(best + 1 < size[live])
+        r[k, best[k]] = found(x[k, best[k]], x[k, best[k] + 1])
+        ids[live], rank[live] = x, r
+
+
 class Bpe:
     """A tokenizer with its lexicon. Bpe.load makes the parts on the driver, `packed` one byte string of them, which workers map."""
 
@@ -185,8 +220,12 @@ class Bpe:
         self.tokens, self.pattern = data["tokens"], regex.compile(data["pattern"])
         self.pairs = dict(zip(data["left_right"].tolist(), data["rank_merged"].tolist(), strict=True))
         self.plain, self.last = data["plain"], data["last"]
+        order = np.argsort(data["left_right"])
+        self.keys, self.values = data["left_right"][order], data["rank_merged"][order]
         self.special = {self.tokens[k]: k for k in data["special"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.names = list(map(str, range(max(self.tokens, default=0) + 1)))
+        self.kept: dict[str, tuple[int, str, str]] = {}
         self.words = None
         if raw:
             n, m = (int.from_bytes(raw[at + k : at + k + 4], "little") for k in (0, 4))
@@ -240,17 +279,46 @@ class Bpe:
         plain = self.plain
         return merge([plain[b] for b in word[:-1]] + [self.last[word[-1]]], self.pairs)
 
-    def word(self, word: bytes) -> list[int]:
+    def merged_all(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """merged() of each of the words, of the short ones by the batch."""
+        out: dict[bytes, list[int]] = {}
+        plain, last = np.array(self.plain, np.int64), np.array(self.last, np.int64)
+        low = 0
+        for wide in (8, 16, 32):
+            some = [w for w in words if low < len(w) <= wide]
+            low = wide
+            for lo in range(0, len(some), 1 << 15):
+                part = some[lo : lo + (1 << 15)]
+                raw = np.frombuffer(b"".join([w.ljust(wide, b"\0") for w in part]), np.uint8).reshape(-1, wide)
+                size = np.array([len(w) for w in part])
+                ids, row = plain[raw], np.arange(len(part))
+                ids[row, size - 1] = last[raw[row, size - 1]]
+                merge_all(ids, size, self.keys, self.values)
+                out.update((w, x[:n]) for w, x, n in zip(part, ids.tolist(), size.tolist(), strict=True))
+        out.update((w, self.merged(w)) for w in words if len(w) > low)
+        return out
+
+    def known(self, word: bytes) -> list[int] | None:
         k = self.words.find(word) if self.words else -1
-        return self.merged(word) if k < 0 else list(self.ids[self.ends[k] : self.ends[k + 1]])
+        return None if k < 0 else list(self.ids[self.ends[k] : self.ends[k + 1]])
+
+    def word(self, word: bytes) -> list[int]:
+        return self.merged(word) if (ids := self.known(word)) is None else ids
 
     def split(self, chunk: str) -> list[int]:
         """A chunk's ids by the tokenizer's pattern."""
         return [x for w in self.pattern.findall(chunk) for x in self.word(w.encode())]
 
+    def split_all(self, chunks: list[str]) -> list[list[int]]:
+        """split() of chunks that aren't in the lexicon; each distinct word is looked up and, if need be, merged once."""
+        parts = [[w.encode() for w in self.pattern.findall(c)] for c in chunks]
+        whole = {c.encode() for c in chunks}
+        ids = {w: None if w in whole else self.known(w) for w in {w for p in parts for w in p}}
+        ids.update(self.merged_all([w for w, x in ids.items() if x is None]))
+        return [ids[p[0]] if len(p) == 1 else [x for w in p for x in ids[w]] for p in parts]
+
     def chunk(self, chunk: str) -> list[int]:
-        k = self.words.find(chunk.encode())
-        return self.split(chunk) if k < 0 else list(self.ids[self.ends[k] : self.ends[k + 1]])
+        return self.split(chunk) if (ids := self.known(chunk.encode())) is None else ids
 
     def chunks(self, text: str):
         """Special tokens and the normalised chunks between white space."""
@@ -271,21 +339,54 @@ class Bpe:
         """Tokens joined by a space, special ones included."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
+    def pieces(self, text: str) -> list[str]:
+        """The chunks and special tokens of a text, in order."""
+        if self.cut and "<|" in text or not text.isascii():
+            return [c or special for c, special in self.chunks(text)]
+        low = text.lower()
+        return BLANK.split(low) if _SEPARATORS.search(low) else low.split()
+
     def rendered(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
-        """Number of ids, the ids in decimal, and the decoded text, of each text. Each distinct chunk is encoded once."""
-        known: dict[str, tuple[int, str, str]] = {}
-        out = []
-        for raw in texts:
-            parts = []
-            for c, special in self.chunks(raw.decode("utf-8", "replace")):
-                c = c or special  # no chunk between white space holds a special token
-                if (x := known.get(c)) is None:
-                    ids = [self.special[special]] if special else self.chunk(c)
-                    x = known[c] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-                if x[0]:
-                    parts.append(x)
-            out.append((sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])))
-        return out
+        """Number of ids, the ids in decimal, and the decoded text, of each text.
+
+        Each distinct chunk is looked up in the lexicon once; those that aren't there are encoded
+        together. Of these the short ones are kept for further batches, KEPT at most: what is in
+        the lexicon is always found there.
+        """
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived strings, no cycles
+        try:
+            cut = [self.pieces(raw.decode("utf-8", "replace")) for raw in texts]
+            said = dict.fromkeys(c for t in cut for c in t)
+            said.pop("", None)
+            unseen, kept, special = [], self.kept, self.special
+            for c in said:
+                ids = [special[c]] if c in special else self.known(c.encode())
+                if ids is not None:
+                    said[c] = self.said(ids)
+                elif (x := kept.get(c)) is not None:
+                    said[c] = x
+                else:
+                    unseen.append(c)
+            if len(kept) + len(unseen) > KEPT:
+                kept.clear()
+            for c, ids in zip(unseen, self.split_all(unseen), strict=True):
+                said[c] = x = self.said(ids)
+                if len(c) <= 32 and len(kept) < KEPT:
+                    kept[c] = x
+            empty = {c for c, x in said.items() if not x[0]} | {""}
+            out = []
+            for t in cut:
+                parts = [said[c] for c in t] if empty.isdisjoint(t) else [said[c] for c in t if c not in empty]
+                out.append((sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])))
+            return out
+        finally:
+            if collects:
+                gc.enable()
+
+    def said(self, ids: list[int]) -> tuple[int, str, str]:
+        name, token = self.names, self.tokens
+        return len(ids), " ".join([name[k] for k in ids]), " ".join([token[k] for k in ids])
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", most: int = FREQUENT, longest: int = 64) -> list[str]:
