@@ -22,8 +22,8 @@ Two uses:
   bits, so each text gets TABLES independent fingerprints of BITS bits, each in a trie of its
   own, joined at 2 bits (an expected recall of 0.98 at 0.8 and more above). A candidate stays if
   at most FAR of all bits differ and is then checked exactly, on whole shingle sets: first
-  each text with the root of its tree of candidates, then every pair of candidates that
-  don't both agree with the same root.
+  each text with the root of its tree of candidates, then the candidates that don't agree
+  with one root.
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lowered; null texts
 count as empty; a text of fewer words than the width is one shingle; texts without words
@@ -148,9 +148,9 @@ def walk(a: np.ndarray, b: np.ndarray | None, budget: int, bits: int = 64, front
     return i.astype(np.int64), j.astype(np.int64)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Places of the links, of those i-j among n nodes, of a spanning forest."""
-    parent, out = list(range(n)), []
+def forest(x: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links i-j among the numbers x to keep: a spanning forest."""
+    parent, out = list(range(len(x))), []
 
     def find(x):
         while parent[x] != x:
@@ -165,6 +165,19 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def to_least(x: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Each number's link to the least number that it is linked with, if that is less than itself."""
+    low, high = np.where(x[i] < x[j], i, j), np.where(x[i] < x[j], j, i)
+    least = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, high, x[low])
+    return np.flatnonzero(x[low] == least[high])
+
+
+def between(x: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The links between different groups g; 0 is a group of its own each time."""
+    return np.flatnonzero((g[i] != g[j]) | (g[i] == 0))
+
+
 def node_pairs(fps: DataFrame, budget: int, bits: int, cell: int) -> list[tuple[int, DataFrame]]:
     """(depth, table of t, p, q): pairs of trie nodes within the budget, each of at most 2 * cell fingerprints (or of two single ones)."""
     live = fps.groupBy("t").agg(F.count("*").alias("n")).select("t", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "n")
@@ -184,30 +197,31 @@ def node_pairs(fps: DataFrame, budget: int, bits: int, cell: int) -> list[tuple[
         live = cut(pairs.select("t", F.col("p_node").alias("p"), F.col("q_node").alias("q"), F.expr("p_n + if(p_node = q_node, 0, q_n)").alias("n")))
 
 
-def links(fps: DataFrame, budget: int, bits: int = 64, cell: int = CELL, every: bool = False) -> DataFrame:
-    """t, u, v: links between distinct fingerprints (t, fp) of the same t within the budget: each of them, or forests that keep every component."""
+def links(fps: DataFrame, budget: int, bits: int = 64, cell: int = CELL, keep=forest) -> DataFrame:
+    """t, u, v: links between distinct fingerprints (t, fp, and g if there are groups) of the same t within the budget, those that `keep` picks in each task."""
+    if "g" not in fps.columns:
+        fps = fps.withColumn("g", F.lit(0).cast("long"))
 
     def dealt(depth: int, pairs: DataFrame) -> DataFrame:
         """Each fingerprint once to its own node, if that is the second of a pair, and once to each node that its own is the first of."""
-        rows = fps.select("t", "fp", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("node"))
+        rows = fps.select("t", "fp", "g", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("node"))
         homes = pairs.groupBy("t", "q").agg(F.when(F.bool_or(F.col("p") == F.col("q")), 2).otherwise(1).alias("side"))
-        own = rows.join(homes.withColumn("node", F.col("q")), ["t", "node"]).select("t", "q", "side", "fp")
-        near = rows.join(pairs.filter("p <> q").withColumnRenamed("p", "node"), ["t", "node"]).select("t", "q", F.lit(0).alias("side"), "fp")
+        own = rows.join(homes.withColumn("node", F.col("q")), ["t", "node"]).select("t", "q", "side", "fp", "g")
+        near = rows.join(pairs.filter("p <> q").withColumnRenamed("p", "node"), ["t", "node"]).select("t", "q", F.lit(0).alias("side"), "fp", "g")
         return own.unionByName(near).withColumn("depth", F.lit(depth))
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        side, x = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-        a, b = np.sort(x[side > 0]), np.sort(x[side == 0])
-        x = np.concatenate([a, b])
+        side, x, g = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("g").to_numpy()
+        order = np.lexsort((x, side == 0))  # own ones first
+        own, x, g = int((side > 0).sum()), x[order], g[order]
+        a, b = x[:own], x[own:]
         i, j = walk(a, b, budget, bits) if len(b) else (np.zeros(0, np.int64),) * 2
-        j = j + len(a)
+        j = j + own
         if side.max() == 2:
             p, q = walk(a, None, budget, bits)
             i, j = np.concatenate([i, p]), np.concatenate([j, q])
-        if not every:
-            kept = forest(len(x), i, j)
-            i, j = i[kept], j[kept]
-        return pa.table({"t": pa.array([key[0].as_py()] * len(i), pa.int32()), "u": x[i].view(np.int64), "v": x[j].view(np.int64)})
+        kept = keep(x, g, i, j)
+        return pa.table({"t": pa.array([key[0].as_py()] * len(kept), pa.int32()), "u": x[i[kept]].view(np.int64), "v": x[j[kept]].view(np.int64)})
 
     found = [dealt(*x).groupBy("t", "depth", "q").applyInArrow(join, "t int, u long, v long") for x in node_pairs(fps, budget, bits, cell) if not x[1].isEmpty()]
     return reduce(DataFrame.unionByName, found) if found else fps.selectExpr("t", "fp as u", "fp as v").filter("false")
@@ -274,12 +288,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return both.select("u", "v", "p", "q").mapInArrow(fn, "u long, v long")
 
 
-def candidates(docs: DataFrame, width: int, budget: int = 2, cell: int = 1 << 17, far: float = FAR) -> DataFrame:
-    """u, v: pairs of docs(node, text) with fingerprints near in some table and signatures near in all.
-
-    Of nodes with an equal fingerprint in a table, the least stands for the others: each of them
-    is paired with it, and it with the least nodes of the fingerprints near it.
-    """
+def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """node, sig of docs(node, text); and a row (t, fp, node) for each table."""
 
     def fn(ids, texts):
         return {"node": ids, "sig": [signature(shingle_set(t, width)) for t in texts]}
@@ -287,36 +297,52 @@ def candidates(docs: DataFrame, width: int, budget: int = 2, cell: int = 1 << 17
     marked = cut(map_text(spread(docs), "node", "text", fn, "node long, sig binary"))
     size = BITS // 8
     pieces = F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: F.conv(F.hex(F.reverse(F.substr(F.col("sig"), t * size + 1, F.lit(size)))), 16, 10).cast("long"))
-    rows = marked.select("node", F.posexplode(pieces).alias("t", "fp"))
-    fps = cut(rows.groupBy("t", "fp").agg(F.min("node").alias("least"), F.count("*").alias("size")))
-    groups = fps.filter("size > 1").select("t", "fp", "least")
-    star = rows.join(groups, ["t", "fp"]).filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    near = links(fps.select("t", "fp"), budget, BITS, cell, every=True)
-    of = lambda side: fps.select("t", F.col("fp").alias(side), F.col("least").alias(f"{side}_node"))
-    across = near.join(of("u"), ["t", "u"]).join(of("v"), ["t", "v"]).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    pairs = star.unionByName(across).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sides = pairs.join(marked.select(F.col("node").alias("u"), F.col("sig").alias("p")), "u").join(marked.select(F.col("node").alias("v"), F.col("sig").alias("q")), "v")
-
-    def close(batches):
+    return marked, marked.select("node", F.posexplode(pieces).alias("t", "fp"))
+
+
+def close(pairs: DataFrame, marked: DataFrame, far: float = FAR) -> DataFrame:
+    """u, v (u < v, each pair once) of the pairs of nodes whose signatures differ in at most a share `far` of their bits."""
+
+    def fn(batches):
         for b in batches:
             p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in b.columns[2:])
             yield b.select(["u", "v"]).filter(pa.array(np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= far * TABLES * BITS))
 
-    return sides.select("u", "v", "p", "q").mapInArrow(close, "u long, v long")
+    each = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sides = each.join(marked.select(F.col("node").alias("u"), F.col("sig").alias("p")), "u").join(marked.select(F.col("node").alias("v"), F.col("sig").alias("q")), "v")
+    return sides.select("u", "v", "p", "q").mapInArrow(fn, "u long, v long")
+
+
+def across(near: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """u, v: nodes of both ends of links between fingerprints. left, right: t, fp, node."""
+    of = lambda rows, side: rows.select("t", F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
+    return near.join(of(left, "u"), ["t", "u"]).join(of(right, "v"), ["t", "v"]).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
 
 
-def near_links(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """u, v: verified links of docs(node, text), enough to join what the candidates bring together.
+def near_links(docs: DataFrame, width: int, least: float, budget: int = 2, cell: int = 1 << 17) -> DataFrame:
+    """u, v: verified links of docs(node, text), enough to join all that the tables bring together.
 
-    Each node is joined to its least candidate, the trees' nodes are compared with their root, and
-    then every pair is checked whose nodes don't both agree with one root.
+    First pass: of nodes with an equal fingerprint the least stands for the others; it is paired with
+    each of them, and with the least that its fingerprint's least neighbour stands for. Each
+    node is joined to its least candidate, and the nodes of a tree are compared with its root. So a
+    group of copies costs a few pairs a node, however large it is. Second pass: all links between
+    fingerprints whose nodes don't all agree with one root, which are few.
     """
-    pairs = cut(candidates(docs, width))
-    roots = cut(components(pairs.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("v"))))  # a pair has u < v
+    marked, rows = signatures(docs, width)
+    fps = cut(rows.groupBy("t", "fp").agg(F.min("node").alias("node"), F.count("*").alias("size")))
+    firsts = fps.filter("size > 1").select("t", "fp", F.col("node").alias("u"))
+    star = rows.join(firsts, ["t", "fp"]).select("u", F.col("node").alias("v"))
+    near = links(fps.select("t", "fp"), budget, BITS, cell, to_least)
+    pairs = close(star.unionByName(across(near, fps, fps)), marked)
+    roots = cut(components(pairs.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("v"))))
     first = cut(verified(roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), docs, width, least))
-    agreed = cut(first.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(first.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()))
-    of = lambda side: agreed.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("not coalesce(u_root = v_root, false)").select("u", "v")
+    agreed = first.select(F.col("v").alias("node"), F.col("u").alias("g")).unionByName(first.select(F.col("u").alias("node"), F.col("u").alias("g")).distinct())
+    grouped = rows.join(cut(agreed), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    parts = cut(grouped.groupBy("t", "fp", "g").agg(F.min("node").alias("node")))
+    whole = cut(parts.groupBy("t", "fp").agg(F.min("node").alias("node"), F.when(F.min("g") == F.max("g"), F.min("g")).otherwise(0).alias("g")))
+    near = cut(links(whole.select("t", "fp", "g"), budget, BITS, cell, between))
+    mixed = parts.join(whole.filter("g = 0").select("t", "fp", F.col("node").alias("u")), ["t", "fp"]).select("u", F.col("node").alias("v"))
+    rest = close(mixed.unionByName(across(near, whole, parts)).unionByName(across(near, parts, whole)), marked)
     return first.unionByName(verified(rest, docs, width, least))
 
 
