@@ -30,7 +30,7 @@ from .common import cut
 
 WIDTH = 200
 K = 32
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 600_000
 BATCH = 1 << 17
 
 
