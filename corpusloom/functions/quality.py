@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +42,11 @@ SYMBOLS = "#*_<>{}[]|~^`\\"
 LETTERS = "[a-záéíóúâêôãõàüçñ]+"
 
 
+def once(c: Column, fn) -> Column:
+    """fn(c) where c is computed once, however often fn names it: branches of a CASE or OR would each compute it anew."""
+    return F.transform(F.array(c), fn)[0]
+
+
 def n_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+"))
 
@@ -56,9 +61,11 @@ def lines(c: Column) -> Column:
 
 
 def dup_line_ratio(c: Column) -> Column:
-    found = lines(c)
-    n = F.size(found)
-    return F.when(n <= 1, F.lit(0.0)).otherwise((n - F.size(F.array_distinct(found))) / n)
+    def share(found: Column) -> Column:
+        n = F.size(found)
+        return F.when(n <= 1, F.lit(0.0)).otherwise((n - F.size(F.array_distinct(found))) / n)
+
+    return once(lines(c), share)
 
 
 def symbol_ratio(c: Column) -> Column:
@@ -66,19 +73,22 @@ def symbol_ratio(c: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.translate(c, SYMBOLS, ""))) / n)
 
 
-def literals_of(pattern: str) -> list[str]:
-    """Runs of letters that every match of a pattern holds, the longest first: classes, groups and optional letters cut runs."""
-    plain = re.sub(r"\[[^\]]*\]|\([^)]*\)|\\s[+*]?|.\?", "\0", pattern)
-    return sorted(set(re.findall("[a-z]{2,}", plain)), key=lambda x: (-len(x), x))
+def literal_of(pattern: str) -> str:
+    """The longest run of letters and spaces that every match of a pattern holds, with a space for white space: classes, groups and optional parts cut runs."""
+    plain = re.sub(r"\[[^\]]*\]|\([^)]*\)|\\s\*|.\?", "\0", pattern.replace(r"\s+", " "))
+    return max(re.findall("[a-z ]+", plain), key=len)
 
 
 def ai_noise(c: Column) -> Column:
-    """Whether one of the phrases is in the first 3000 characters; the patterns are only tried where all literal parts of one occur."""
-    head = F.lower(F.substring(c, 1, 3000))
-    some = F.lit(False)
-    for pattern in NOISE:
-        some = some | reduce(and_, (F.contains(head, F.lit(w)) for w in literals_of(pattern)))
-    return F.when(some, head.rlike("|".join(NOISE))).otherwise(F.when(c.isNotNull(), F.lit(False)))
+    """Whether one of the phrases is in the first 3000 characters; the patterns are only tried where a literal part of one occurs."""
+
+    def noisy(head: Column) -> Column:
+        def some(plain: Column) -> Column:
+            return reduce(or_, (F.contains(plain, F.lit(literal_of(p))) for p in NOISE))
+
+        return F.when(once(F.regexp_replace(head, r"\s+", " "), some), head.rlike("|".join(NOISE))).otherwise(F.when(head.isNotNull(), F.lit(False)))
+
+    return once(F.lower(F.substring(c, 1, 3000)), noisy)
 
 
 def quality_reason(c: Column) -> Column:
@@ -105,7 +115,7 @@ def ttr(c: Column) -> Column:
 def repetition(words: Column) -> Column:
     """struct(words, adjacent, distinct, bigrams, repeated_bigrams) of an array of words.
 
-    The words are found once: the array is bound by a transform over a single element.
+    The words and the pairs are found once.
     """
 
     def of(w: Column) -> Column:
@@ -119,9 +129,9 @@ def repetition(words: Column) -> Column:
                 F.size(p).alias("bigrams"), (F.size(p) - F.size(F.array_distinct(F.transform(p, lambda x: F.concat_ws(" ", x["a"], x["b"]))))).alias("repeated_bigrams"),
             )
 
-        return F.transform(F.array(pairs), counts)[0]
+        return once(pairs, counts)
 
-    return F.when(words.isNotNull(), F.transform(F.array(words), of)[0])
+    return F.when(words.isNotNull(), once(words, of))
 
 
 def cut_lines(c: Column) -> Column:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import spread
+
 
 def key_digest(key: Column) -> Column:
     """128 bits of a key; a null key has a digest that no text has."""
@@ -111,9 +113,10 @@ def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows
     vain go on to the next round. cut ends the lineage of a round. Rows without words or
     with a null order are never duplicates.
     """
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))))
-    keyed = df.select(F.col(order).alias("o"), words.alias("w")).filter("size(w) > 0 and o is not null").withColumn("set", F.md5(F.array_join("w", " ")))
-    keyed = cut(keyed)
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"(?U)\w+"), F.lit(0))))
+    found = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.md5(F.array_join(w, " ")).alias("set")))[0]  # the words are found once
+    keyed = spread(df.select(F.col(order).alias("o"), text.alias("_text")).filter("o is not null")).select("o", found.alias("x")).select("o", "x.w", "x.set")
+    keyed = cut(keyed).filter("size(w) > 0")
     sets = cut(keyed.groupBy("set").agg(F.min("o").alias("o"), F.first("w").alias("w")))
 
     odd = np.random.default_rng(11).integers(1, 1 << 62, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,9 +136,7 @@ def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows
 
         return joined.map(keys)
 
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    dealt = sets.repartition(2 * cores) if sets.rdd.getNumPartitions() < cores else sets
-    banded = cut(dealt.select("o", F.explode(bands(F.array_join("w", " "))).alias("k")))
+    banded = cut(spread(sets).select("o", F.explode(bands(F.array_join("w", " "))).alias("k")))
     live = cut(banded.join(banded.groupBy("k").count().filter("count > 1").select("k"), "k", "left_semi"))
     found = []
     while not live.isEmpty():

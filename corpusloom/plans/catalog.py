@@ -11,6 +11,7 @@ from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import conversation as C
 from ..operators import dedup as D
+from ..operators.layout import spread
 from ..operators.ranking import best
 from ..sources.sinks import letters, placed, written
 from .light_clean import light_status, sanitize
@@ -28,11 +29,15 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def query(name: str, *tables: str, sql: str | None = None):
-    """Register a function of the named tables."""
+def query(name: str, *tables: str, sql: str | None = None, heavy: bool = False):
+    """Register a function of the named tables. heavy: a row takes long, so a table of few splits is spread over the cores first."""
 
     def add(fn):
-        _QUERIES[name] = lambda spark, sf_dir: fn(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+        def run(spark, sf_dir):
+            read = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables)
+            return fn(*map(spread, read) if heavy else read)
+
+        _QUERIES[name] = run
         if sql:
             _SQL[name] = sql
         return fn
@@ -64,12 +69,12 @@ STATUS = f"""WITH r AS (SELECT doc_id, lower({CLEAN}) AS k,
 s AS (SELECT doc_id, CASE WHEN early IS NOT NULL THEN early WHEN doc_id > min(doc_id) OVER (PARTITION BY k, early IS NULL) THEN 'duplicate' ELSE 'kept' END AS status FROM r)"""
 
 
-@query("light_clean", "documents", sql=STATUS + " SELECT doc_id, status FROM s")
+@query("light_clean", "documents", heavy=True, sql=STATUS + " SELECT doc_id, status FROM s")
 def _(docs):
     return light_status(docs, cut=written)
 
 
-@query("light_clean_status", "documents", sql=STATUS + " SELECT status, count(*) AS n FROM s GROUP BY status")
+@query("light_clean_status", "documents", heavy=True, sql=STATUS + " SELECT status, count(*) AS n FROM s GROUP BY status")
 def _(docs):
     return light_status(docs, cut=written).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -84,7 +89,7 @@ def _(docs):
     return docs.select(ID(), F.md5(T.clean_contacts(X())).alias("h"))
 
 
-@query("text_stats", "documents", sql=f"SELECT doc_id, {WORDS} AS words, greatest(1, len(regexp_extract_all(text, '[.!?…](\\s|$)'))) AS sentences, length(text) AS chars FROM documents")
+@query("text_stats", "documents", heavy=True, sql=f"SELECT doc_id, {WORDS} AS words, greatest(1, len(regexp_extract_all(text, '[.!?…](\\s|$)'))) AS sentences, length(text) AS chars FROM documents")
 def _(docs):
     return docs.select(ID(), Q.n_words(X()).cast("long").alias("words"), Q.n_sentences(X()).cast("long").alias("sentences"), F.length(X()).cast("long").alias("chars"))
 
@@ -109,12 +114,12 @@ def _(docs):
     return docs.select(ID(), Q.symbol_ratio(X()).alias("ratio"))
 
 
-@query("ai_noise", "documents", sql=f"SELECT doc_id, {NOISE} AS noise FROM documents")
+@query("ai_noise", "documents", heavy=True, sql=f"SELECT doc_id, {NOISE} AS noise FROM documents")
 def _(docs):
     return docs.select(ID(), Q.ai_noise(X()).alias("noise"))
 
 
-@query("quality_reason", "documents", sql=f"SELECT doc_id, {REASON} AS reason FROM documents")
+@query("quality_reason", "documents", heavy=True, sql=f"SELECT doc_id, {REASON} AS reason FROM documents")
 def _(docs):
     return docs.select(ID(), Q.quality_reason(X()).alias("reason"))
 
@@ -157,13 +162,13 @@ REP = f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), m AS (SELECT
  greatest(len(w) - 1, 0) - len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS repeated_bigrams FROM t)"""
 
 
-@query("repetition_metrics", "documents", sql=REP + " SELECT * FROM m")
+@query("repetition_metrics", "documents", heavy=True, sql=REP + " SELECT * FROM m")
 def _(docs):
     m = docs.select(ID(), Q.repetition(Q.tokens(X())).alias("m"))
     return m.select(ID(), F.col("m.words").cast("long").alias("words"), F.col("m.adjacent").cast("long").alias("adjacent"), F.col("m.distinct").cast("long").alias("distinct_words"), F.col("m.repeated_bigrams").cast("long").alias("repeated_bigrams"))
 
 
-@query("quality_class", "documents", sql=REP + """, p AS (SELECT doc_id, CASE WHEN adjacent / greatest(words, 1) >= 0.03 THEN 2 WHEN adjacent > 0 THEN 1 ELSE 0 END
+@query("quality_class", "documents", heavy=True, sql=REP + """, p AS (SELECT doc_id, CASE WHEN adjacent / greatest(words, 1) >= 0.03 THEN 2 WHEN adjacent > 0 THEN 1 ELSE 0 END
  + CASE WHEN distinct_words / greatest(words, 1) < 0.4 THEN 1 ELSE 0 END + CASE WHEN repeated_bigrams / greatest(words - 1, 1) >= 0.1 THEN 1 ELSE 0 END + CASE WHEN words < 30 THEN 1 ELSE 0 END AS points FROM m)
  SELECT doc_id, points, CASE WHEN points >= 5 THEN 'trash' WHEN points >= 2 THEN 'suspect' ELSE 'approved' END AS class FROM p""")
 def _(docs):
@@ -222,7 +227,7 @@ def _(docs, labels):
     return D.minus(docs, labels, "doc_id").select("doc_id")
 
 
-@query("label_agreement", "documents", "labels", sql=f"SELECT quality, {REASON} IS NULL AS accepted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+@query("label_agreement", "documents", "labels", heavy=True, sql=f"SELECT quality, {REASON} IS NULL AS accepted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
 def _(docs, labels):
     rows = docs.select(ID(), Q.quality_reason(X()).isNull().alias("accepted")).join(labels.select("doc_id", "quality"), "doc_id")
     return rows.groupBy("quality", "accepted").agg(F.count("*").alias("n"))
@@ -362,7 +367,7 @@ def _(docs):
     return docs.select(ID(), F.posexplode(T.chunks_udf(X())).alias("piece", "chunk"))
 
 
-@query("char_histogram", "documents", sql="WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents) SELECT ch, count(*) AS n FROM c WHERE NOT regexp_matches(ch, '[" + T.ABNT2.replace("'", "''") + "]') AND ch <> '' GROUP BY ch")
+@query("char_histogram", "documents", heavy=True, sql="WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents) SELECT ch, count(*) AS n FROM c WHERE NOT regexp_matches(ch, '[" + T.ABNT2.replace("'", "''") + "]') AND ch <> '' GROUP BY ch")
 def _(docs):
     return docs.select(F.explode(F.regexp_extract_all(X(), F.lit(f"[^{T.ABNT2}]"), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
 
@@ -372,7 +377,7 @@ def _(docs):
     return docs.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.length(X()) - F.length(F.replace(X(), F.lit("�"), F.lit("")))).alias("replacement"), F.sum(F.regexp_count(X(), F.lit(r"Ã[\x{80}-\x{BF}]|â€"))).alias("mojibake"))
 
 
-@query("quality_audit", "documents", sql=f"SELECT source, count(*) AS n, count(*) FILTER ({REASON} IS NULL) AS passed, CAST(sum({WORDS}) AS BIGINT) AS words FROM documents GROUP BY GROUPING SETS ((source), ())")
+@query("quality_audit", "documents", heavy=True, sql=f"SELECT source, count(*) AS n, count(*) FILTER ({REASON} IS NULL) AS passed, CAST(sum({WORDS}) AS BIGINT) AS words FROM documents GROUP BY GROUPING SETS ((source), ())")
 def _(docs):
     rows = docs.select("source", Q.quality_reason(X()).isNull().alias("ok"), Q.n_words(X()).alias("w"))
     return rows.rollup("source").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"), F.sum("w").alias("words"))
@@ -428,7 +433,7 @@ def _(events):
     return events.select("event_id", F.when(path("$.messages").isNotNull(), "messages").when(path("$.k").isNotNull(), "record").otherwise("unknown").alias("format"))
 
 
-@query("benchmark_contamination", "documents", "benchmark", sql="SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("benchmark_contamination", "documents", "benchmark", heavy=True, sql="SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def _(docs, items):
     return D.contained(docs, items)
 

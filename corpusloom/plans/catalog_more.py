@@ -50,7 +50,7 @@ SELECT {ids}, CASE WHEN c = '' THEN 'empty' WHEN ends_with(c, '...') OR length(c
  WHEN len(regexp_extract_all(k, '\\S+')) < {least} THEN 'short' WHEN len(regexp_extract_all(k, '\\S+')) > {most} THEN 'long' ELSE 'ok' END AS reason FROM k"""
 
 
-@query("answer_reason", "documents", sql=answer_sql("doc_id", "documents", 50, 1000))
+@query("answer_reason", "documents", heavy=True, sql=answer_sql("doc_id", "documents", 50, 1000))
 def _(docs):
     return docs.select(ID(), G.answer_reason(X(), "artigo").alias("reason"))
 
@@ -85,7 +85,7 @@ def _spaced(c):
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
-@query("insert_spaces", "documents", sql=f"SELECT doc_id, md5({_spaced('text')}) AS h FROM documents")
+@query("insert_spaces", "documents", heavy=True, sql=f"SELECT doc_id, md5({_spaced('text')}) AS h FROM documents")
 def _(docs):
     return docs.select(ID(), F.md5(T.insert_spaces(X())).alias("h"))
 
@@ -100,7 +100,7 @@ def _(docs):
     return docs.select(ID(), F.md5(T.rejoin_cut_column(X())).alias("h"))
 
 
-@query("chain_clean", "documents")
+@query("chain_clean", "documents", heavy=True)
 def _(docs):
     done = chain_clean(docs.select(ID(), "text"))
     return done.select(ID(), F.md5("text").alias("h"), "flags.*")
@@ -334,6 +334,6 @@ def _(spark, sf_dir):
 # the flagship with all stages
 
 
-@query("light_clean_full", "documents")
+@query("light_clean_full", "documents", heavy=True)
 def _(docs):
     return light_clean_full(docs, ["en", "fr"], cut=sinks.written).groupBy("status").agg(F.count("*").alias("n"))

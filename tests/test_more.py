@@ -271,8 +271,8 @@ def test_ranking_and_overlap(spark):
 def test_noise_literals(spark):
     from corpusloom.functions import quality as Q
 
-    assert Q.literals_of(r"as\s+an\s+ai\s+(language\s+model|assistant)") == ["ai", "an", "as"] and Q.literals_of(r"let'?s\s+craft\s+an?\s+article") == ["article", "craft", "let"]
-    assert all(Q.literals_of(p) for p in Q.NOISE)
+    assert Q.literal_of(r"as\s+an\s+ai\s+(language\s+model|assistant)") == "as an ai " and Q.literal_of(r"let'?s\s+craft\s+an?\s+article") == "s craft a"
+    assert all(len(Q.literal_of(p)) >= 5 for p in Q.NOISE)
     said = ["I'll write an article", "as an AI  assistant", "Não há mais conversa", "i cant browse", "The conversation : system gave", None, "", "plain words about an article"]
     assert column(spark, Q.ai_noise, said) == [s and bool(re.search("|".join(Q.NOISE), s.lower())) if s is not None else None for s in said[:6]] + [False, False]
 
