@@ -25,6 +25,19 @@ LENGTHS = {"dicionario": (3, 80), "saudacao": (3, 80), "conversa": (40, None), *
 #: Verbs of headlines, and topics that are refused.
 HEADLINE_VERBS = "diz dizem afirma afirmam anuncia anunciam revela revelam confirma confirmam critica criticam defende defendem aponta apontam mostra mostram ganha conquista conquistou nega negam pede pedem explica explicam adverte alerta alertam comemora lamenta supera atinge atingiu morre morreu vence venceu manda ordena recorre recorreu classifica classificou oficializa oficializou rejeita rejeitou aprova aprovou lança lançou cria criou investe investiu compra comprou vende vendeu abre abriu fecha fechou inicia iniciou conclui concluiu publica publicou divulga divulgou registra registrou proíbe proibiu autoriza autorizou libera liberou prorroga prorrogou elege elegeu derrota derrotou domina dominou avança avançou cresce cresceu cai caiu sobe subiu centraliza centralizou faz fez recomenda recomendou causa causou aborda abordam discute discutem analisa analisam avalia avaliam prevê antecipa antecipou prepara preparou investiga investigou apresenta apresentam sugere".split()
 BLOCKED = ["como fabricar bomba", "como fazer bomba", "receita de droga", "como produzir droga", "como fabricar droga", "metanfetamina", "como cometer suicídio", "como matar alguém", "como sequestrar", "explosivos caseiros", "como hackear", "pedofilia", "violência doméstica"]
+#: The second set of lengths, and of instructions by kind and questions by topic.
+LENGTHS_LONG = {
+    "dicionario": (8, 100), "resumo": (60, 400), "conversa": (100, None), "poema": (30, 200), "carta": (80, 500), "receita": (50, 300), "dica": (30, 150),
+    **dict.fromkeys(["pergunta_resposta", "artigo", "conto", "dialogo_profundo", "explicacao", "entrevista", "debate", "tutorial", "resenha", "relatorio", "ensaio"], (120, 1200)),
+}
+INSTRUCTIONS = {
+    "pergunta_resposta": "Responda à pergunta sobre {t}.", "dicionario": "Explique o significado de {t}.", "iteracao": "Explique {t} em detalhes.", "artigo": "Escreva um artigo informativo e completo sobre {t}.",
+    "conto": "Escreva um conto envolvente sobre {t}.", "dialogo_profundo": "Tenha uma conversa profunda sobre {t}.", "explicacao": "Explique o conceito de {t} com clareza.", "resumo": "Resuma o tema {t} de forma objetiva.",
+    "poema": "Escreva um poema sobre {t}.", "carta": "Escreva uma carta sobre {t}.", "entrevista": "Conduza uma entrevista sobre {t}.", "debate": "Promova um debate sobre {t}.", "tutorial": "Escreva um tutorial sobre {t}.",
+    "resenha": "Escreva uma resenha sobre {t}.", "relatorio": "Escreva um relatório sobre {t}.", "ensaio": "Escreva um ensaio sobre {t}.", "cronica": "Escreva uma crônica sobre {t}.", "receita": "Escreva uma receita de {t}.",
+    "dica": "Dê dicas sobre {t}.", "conversa": "Converse naturalmente sobre {t}.",
+}
+QUESTIONS = ["Fale sobre {t}", "Explique {t}", "O que você sabe sobre {t}?", "Conte-me sobre {t}", "Qual a importância de {t}?", "Como funciona {t}?", "Qual a origem de {t}?"]
 QUESTION_STARTS = ["o que ", "quem ", "como ", "por que ", "onde ", "quando "]
 LIST_LINE = r"^([-*•]\s+|\d+[.)]\s+)"
 
@@ -43,8 +56,8 @@ def list_share(c: Column) -> Column:
     return F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.filter(found, lambda x: x.rlike(LIST_LINE))) / F.size(found))
 
 
-def answer_reason(c: Column, kind: str = "artigo", finish: Column | None = None) -> Column:
-    """Why a generated text is rejected, the first rule that holds, or 'ok'. finish: why the generation ended."""
+def answer_reason(c: Column, kind: str = "artigo", finish: Column | None = None, long: bool = False) -> Column:
+    """Why a generated text is rejected, the first rule that holds, or 'ok'. finish: why the generation ended. long: the second set of rules, with repeated sentences and other lengths."""
     text = T.clean_contacts(c)
     key = T.lookup_key(text)
     words, n = R.split_words(text), F.regexp_count(key, F.lit(r"\S+"))
@@ -52,12 +65,14 @@ def answer_reason(c: Column, kind: str = "artigo", finish: Column | None = None)
     if finish is not None:
         cut = cut | F.coalesce(finish.isin("length", "max_tokens"), F.lit(False))
     low = F.lower(text)
-    least, most = LENGTHS.get(kind, (None, None))
+    least, most = (LENGTHS_LONG if long else LENGTHS).get(kind, (None, None))
     out = (
         F.when(F.coalesce(text, F.lit("")) == "", "empty").when(cut, "truncated").when(key.isin(VAGUE_WHOLE), "vague").when(any_phrase(key, WEAK), "weak")
         .when(F.contains(text, F.lit("��")), "strange").when(text.rlike("(?is)" + "|".join(MARKUP)), "markup").when(list_share(text) > 0.5, "list")
         .when((F.size(words) >= 10) & (R.most_common(words) > 0.4 * F.size(words)), "repeated").when(any_phrase(low, EVASIVE), "generic").when(any_phrase(low, CRUTCHES), "crutch")
     )
+    if long:
+        out = out.when(R.repeats_itself(text), "repeated_sentences")
     if least is not None:
         out = out.when(n < least, "short")
     if most is not None:
@@ -84,3 +99,27 @@ def topic(c: Column, longest: int = 90) -> Column:
         | (F.size(words) < 2) | F.contains(low, F.lit(", segundo")) | headline
     )
     return F.when((t != "") & ~bad, t)
+
+
+def instruction(kind: Column, theme: Column) -> Column:
+    """What a user would have asked for a text of a kind on a theme; 'este tema' stands for none."""
+    table = F.create_map(*[F.lit(x) for pair in INSTRUCTIONS.items() for x in pair])
+    pattern = F.coalesce(F.try_element_at(table, kind), F.lit("Fale sobre {t}."))
+    return F.replace(pattern, F.lit("{t}"), F.coalesce(F.nullif(theme, F.lit("")), F.lit("este tema")))
+
+
+def topic_question(subject: Column, number: Column) -> Column:
+    """The question of a number (from 0, modulo the number of questions) on a topic, whose article at the front is lowered, with one question mark."""
+    lowered = F.when(subject.rlike(r"(?i)^(a|o|as|os|uma|um)\s+\S"), F.concat(F.lower(F.regexp_extract(subject, r"^(\S+)", 1)), F.lit(" "), F.regexp_replace(subject, r"^\S+\s+", ""))).otherwise(subject)
+    pattern = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.pmod(number, F.lit(len(QUESTIONS))) + 1).cast("int"))
+    asked = F.trim(F.replace(pattern, F.lit("{t}"), lowered))
+    return F.when(F.endswith(asked, F.lit("?")), asked).otherwise(F.concat(asked, F.lit("?")))
+
+
+def marked_pair(c: Column) -> Column:
+    """struct(question, answer) by the marks alone: what stands between the first two, what follows the first answer mark, else the whole text as the answer."""
+    text = F.coalesce(c, F.lit(""))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    after = F.when(F.contains(text, F.lit("Resposta:")), F.regexp_extract(text, r"(?s)Resposta:(.*)", 1)).otherwise(text)
+    between = F.when(R.both_marks(text), F.substring_index(F.regexp_extract(text, r"(?s)Pergunta:(.*)", 1), "Resposta:", 1)).otherwise("")
+    return F.struct(strip(between).alias("question"), strip(after).alias("answer"))

@@ -95,10 +95,11 @@ def minus(df: DataFrame, done: DataFrame, on: str) -> DataFrame:
     return df.join(done.select(on).distinct(), on, "left_anti")
 
 
-def recent_duplicates(df: DataFrame, group: str, order: str, key: str, last: int) -> DataFrame:
-    """Whether the key occurred among the group's last rows."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(-last, -1)
-    return df.withColumn("seen", F.array_contains(F.collect_set(key).over(w), F.col(key)))
+def recent_duplicates(df: DataFrame, group: str, order: str, key: str, last: int = 1000) -> DataFrame:
+    """Whether the key occurred among the group's last rows: by the distance to the key's row before, without a window of rows for each row."""
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    before = F.lag("_place").over(Window.partitionBy(group, key).orderBy(order))
+    return placed.withColumn("seen", F.coalesce(F.col("_place") - before <= last, F.lit(False))).drop("_place")
 
 
 def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows: int = 8, threshold: float = 0.8, cut=lambda t: t.checkpoint()) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import pages as H
 from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import conversation as C
+from ..operators import dedup as D
 from ..operators import lookups as L
 from ..operators import pairs as P
 from ..operators.ranking import best
@@ -39,14 +40,18 @@ ITEMS = "list_filter(list_transform(string_split(c, chr(10)), lambda x: trim(x))
 MOST = "coalesce(list_max(map_values(list_aggregate(regexp_extract_all(c, '\\S+'), 'histogram'))), 0)"
 
 
-def answer_sql(ids: str, rows: str, least: int, most: int) -> str:
+SENTENCE_KEYS = "list_transform(list_filter(string_split_regex(c, '[.!?]+'), lambda s: len(regexp_extract_all(s, '\\S+')) > 5), lambda s: trim(regexp_replace(regexp_replace(lower(trim(s)), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', ' ', 'g')))"
+
+
+def answer_sql(ids: str, rows: str, least: int, most: int, long: bool = False) -> str:
+    again = f"WHEN len({SENTENCE_KEYS}) >= 2 AND coalesce(list_max(map_values(list_aggregate({SENTENCE_KEYS}, 'histogram'))), 0) > 0.3 * len({SENTENCE_KEYS}) THEN 'repeated_sentences'" if long else ""
     return f"""WITH s AS (SELECT {ids}, {CLEAN} AS c FROM {rows}), k AS (SELECT *, {KEY} AS k FROM s)
 SELECT {ids}, CASE WHEN c = '' THEN 'empty' WHEN ends_with(c, '...') OR length(c) < 5 THEN 'truncated'
  WHEN k IN ({", ".join(f"'{v}'" for v in G.VAGUE_WHOLE)}) THEN 'vague' WHEN {_any("k", G.WEAK)} THEN 'weak' WHEN contains(c, '��') THEN 'strange'
  WHEN {" OR ".join(f"regexp_matches(c, '(?is){p}')" for p in G.MARKUP)} THEN 'markup'
  WHEN len({ITEMS}) > 0 AND len(list_filter({ITEMS}, lambda x: regexp_matches(x, '{G.LIST_LINE}'))) / len({ITEMS}) > 0.5 THEN 'list'
  WHEN len(regexp_extract_all(c, '\\S+')) >= 10 AND {MOST} > 0.4 * len(regexp_extract_all(c, '\\S+')) THEN 'repeated'
- WHEN {_any("lower(c)", G.EVASIVE)} THEN 'generic' WHEN {_any("lower(c)", G.CRUTCHES)} THEN 'crutch'
+ WHEN {_any("lower(c)", G.EVASIVE)} THEN 'generic' WHEN {_any("lower(c)", G.CRUTCHES)} THEN 'crutch' {again}
  WHEN len(regexp_extract_all(k, '\\S+')) < {least} THEN 'short' WHEN len(regexp_extract_all(k, '\\S+')) > {most} THEN 'long' ELSE 'ok' END AS reason FROM k"""
 
 
@@ -60,6 +65,33 @@ def _(turns):
     return turns.select("conv_id", "turn", G.answer_reason(X(), "dicionario").alias("reason"))
 
 
+@query("answer_reason_long", "documents", heavy=True, sql=answer_sql("doc_id", "documents", 120, 1200, True))
+def _(docs):
+    return docs.select(ID(), G.answer_reason(X(), "artigo", long=True).alias("reason"))
+
+
+@query("instructions", "documents", sql="SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Escreva uma receita de ' || lang || '.' WHEN 1 THEN 'Explique ' || lang || ' em detalhes.' ELSE 'Fale sobre este tema.' END AS instruction FROM documents")
+def _(docs):
+    kind = F.element_at(F.array(F.lit("receita"), F.lit("iteracao"), F.lit("none")), (ID() % 3 + 1).cast("int"))
+    return docs.select(ID(), G.instruction(kind, F.when(ID() % 3 < 2, F.col("lang"))).alias("instruction"))
+
+
+@query("topic_questions", "documents", sql="WITH t AS (SELECT doc_id, regexp_extract(text, '^[^.!?\\n]{1,60}') AS s FROM documents), l AS (SELECT doc_id, CASE WHEN regexp_matches(s, '(?i)^(a|o|as|os|uma|um)\\s+\\S') THEN lower(regexp_extract(s, '^(\\S+)', 1)) || ' ' || regexp_replace(s, '^\\S+\\s+', '') ELSE s END AS s FROM t), q AS (SELECT doc_id, trim(replace([" + ", ".join(f"'{q}'" for q in G.QUESTIONS) + "][CAST(doc_id % 7 + 1 AS INT)], '{t}', s)) AS q FROM l) SELECT doc_id, CASE WHEN ends_with(q, '?') THEN q ELSE q || '?' END AS question FROM q")
+def _(docs):
+    return docs.select(ID(), G.topic_question(F.regexp_extract(X(), r"^[^.!?\n]{1,60}", 0), ID()).alias("question"))
+
+
+@query("marked_pairs", "conversations", sql=f"WITH {PAIRS}, m AS (SELECT conv_id, turn, trim(regexp_replace(string_split(text[instr(text, 'Pergunta:') + 9:], 'Resposta:')[1], '^\\s+|\\s+$', '', 'g')) AS q, regexp_replace(text[instr(text, 'Resposta:') + 9:], '^\\s+|\\s+$', '', 'g') AS a FROM t) SELECT conv_id, turn, md5(q) AS q, md5(a) AS a FROM m")
+def _(turns):
+    found = pair_texts(turns).select("conv_id", "turn", G.marked_pair(X()).alias("p"))
+    return found.select("conv_id", "turn", F.md5("p.question").alias("q"), F.md5("p.answer").alias("a"))
+
+
+@query("recent_keys", "events", sql="WITH p AS (SELECT event_id, event_type, user_id % 20 AS g, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events) SELECT event_id, coalesce(k - lag(k) OVER (PARTITION BY g, event_type ORDER BY event_id) <= 4, false) AS seen FROM p")
+def _(events):
+    return D.recent_duplicates(events.withColumn("g", F.col("user_id") % 20), "g", "event_id", "event_type", 4).select("event_id", "seen")
+
+
 VERBS = "[" + ", ".join(f"'{v}'" for v in G.HEADLINE_VERBS) + "]"
 TOPIC = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM l),
  w AS (SELECT *, regexp_extract_all(t, '\\S+') AS w FROM t)

@@ -370,3 +370,22 @@ def test_streams_resume(spark, tmp_path):
         stream = spark.readStream.schema(shape).parquet(source)
         pickup.drain(pickup.first_seen(stream, "k", "ts", "30 days").select("k"), target, state)
     assert sorted(r["k"] for r in spark.read.schema("k string").parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_instructions_and_questions(spark):
+    from corpusloom.functions import generated as G
+
+    rows = spark.createDataFrame([("poema", "o mar"), ("?", "x"), (None, None), ("conto", "")], "k string, t string")
+    assert [r[0] for r in rows.select(G.instruction(F.col("k"), F.col("t"))).collect()] == ["Escreva um poema sobre o mar.", "Fale sobre x.", "Fale sobre este tema.", "Escreva um conto envolvente sobre este tema."]
+    asked = column(spark, lambda c: G.topic_question(c, F.lit(0)), ["A abolição da escravatura em 1888", "Energia solar", None])
+    assert asked == ["Fale sobre a abolição da escravatura em 1888?", "Fale sobre Energia solar?", None]
+    assert column(spark, lambda c: G.topic_question(c, F.lit(9)), ["Uma lei"]) == ["O que você sabe sobre uma lei?"]
+    texts = ["Pergunta: um\ndois Resposta: três Resposta: quatro", "Resposta: só", "nada", "", None, "Pergunta: sem"]
+    got = [tuple(p) for p in column(spark, G.marked_pair, texts)]
+    assert got == [("um\ndois", "três Resposta: quatro"), ("", "só"), ("", "nada"), ("", ""), ("", ""), ("", "Pergunta: sem")]
+    again = "esta mesma frase tem mais de cinco palavras. " * 3 + " ".join(f"p{k}" for k in range(130)) + "."
+    assert column(spark, lambda c: G.answer_reason(c, "artigo", long=True), [again, again[150:]]) == ["repeated_sentences", "ok"]
+    rows = spark.createDataFrame([(k, "g", t) for k, t in enumerate("abcabbd")] + [(9, None, "a"), (10, None, "a")], "k int, g string, t string")
+    from corpusloom.operators.dedup import recent_duplicates
+
+    assert {r["k"] for r in recent_duplicates(rows, "g", "k", "t", 3).filter("seen").collect()} == {3, 4, 5, 10}
