@@ -213,27 +213,29 @@ def texts_of(wanted: DataFrame, docs: DataFrame, words: bool, width: int) -> Dat
     return grouped.join(packed(docs).drop("doc_id"), ["at", "tid"]).select("at", "tid", "z", "parts").mapInArrow(run, shape)
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame, shape: str, fn: Callable[[int, bytes, list[tuple[int, int]]], tuple]) -> DataFrame:
-    """fn(doc_id, text, ranges of windows [(first, last)]) for every document row, those without ranges too."""
-    grouped = ranges.groupBy(F.col("doc_id").alias("at"), "tid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+def with_ranges(docs: DataFrame, ranges: DataFrame, shape: str, fn: Callable[[int, bytes, np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """fn(doc_id, text, first, last: ranges of windows) for every document row, those without ranges too."""
+    grouped = ranges.groupBy(F.col("doc_id").alias("at"), "tid").agg(F.collect_list(F.struct(F.col("first").cast("int"), F.col("last").cast("int"))).alias("ranges"))
     names = [c.split()[0] for c in shape.split(", ")]
     arrow = arrow_of(shape)
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                rows = [fn(r["doc_id"], unpacked(r["z"]), [(x["first"], x["last"]) for x in r["ranges"] or ()]) for r in b.slice(lo, 64).to_pylist()]
+                part = b.slice(lo, 64)
+                listed = part.column("ranges")
+                flat = listed.flatten()
+                first, last = (flat.field(k).to_numpy() for k in (0, 1))
+                ends = np.cumsum(listed.value_lengths().fill_null(0).to_numpy())
+                rows = [fn(doc, unpacked(z.as_py()), first[a:e], last[a:e]) for doc, z, a, e in zip(part.column("doc_id").to_pylist(), part.column("z"), np.append(0, ends), ends, strict=False)]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
 
     return packed(docs).join(grouped, ["at", "tid"], "left").select("doc_id", "z", "ranges").mapInArrow(run, shape)
 
 
-def covered(n: int, width: int, ranges: list[tuple[int, int]]) -> np.ndarray:
+def covered(n: int, width: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which of n units lie in a window that begins in one of the ranges."""
-    edge = np.zeros(n + 1, np.int64)
-    for first, last in ranges:
-        edge[first] += 1
-        edge[last + width] -= 1
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(last + width, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 

@@ -159,10 +159,10 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) ->
 def substring_dedup(docs: DataFrame, width: int = WIDTH, kept_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text): every row without the words of windows that a smaller document has."""
 
-    def fn(doc, raw, ranges):
+    def fn(doc, raw, first, last):
         words = raw.split()
-        gone = covered(len(words), width, ranges)
-        kept = b" ".join(words if not ranges else [w for w, g in zip(words, gone, strict=True) if not g])
+        gone = covered(len(words), width, first, last)
+        kept = b" ".join(words if not len(first) else [w for w, g in zip(words, gone, strict=True) if not g])
         row = (doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest())
         return row + (kept.decode("utf-8", "replace"),) if kept_text else row
 

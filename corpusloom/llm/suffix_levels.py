@@ -208,9 +208,9 @@ def scan_levels(width: int, number: int, merge: set[int]):
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: every row without the bytes of windows that occur twice."""
 
-    def fn(doc, raw, ranges):
-        gone = covered(len(raw), width, ranges)
-        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if ranges else raw
+    def fn(doc, raw, first, last):
+        gone = covered(len(raw), width, first, last)
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(first) else raw
         return doc, len(raw), int(gone.sum()), len(runs_of(gone)[0]), hashlib.sha256(kept).hexdigest()
 
     docs = named(docs)
