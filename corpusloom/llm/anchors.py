@@ -154,7 +154,7 @@ def find_segments(docs: DataFrame, words: bool, width: int, k: int, nulls: bool,
                         continue
                     held.append((name, 0, len(u.x), u))
                     size += len(raw)
-                    if size > 1 << 19:
+                    if size > 1 << 17:
                         yield batch(held)
                         held, size = [], 0
         if held:
@@ -285,9 +285,9 @@ def repeated(docs: DataFrame, words: bool, width: int, k: int, nulls: bool, shar
     found = cut(find_segments(docs, words, width, k, nulls))
     # only what `shared` reads is aggregated, as Catalyst prunes the rest
     facts = found.groupBy("a").agg(F.count("*").alias("segments"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("many").alias("many"))
-    anchors = cut(facts.filter(shared).select("a", "segments"))
+    anchors = facts.filter(shared).select("a", "segments")
     rows = cut(found.join(anchors, "a").select(*KEY, "doc_id", "tid", "s", "n", "many", (F.col("segments") > crowd).alias("crowd")))
-    discard(found, anchors)
+    discard(found)
     first = class_of(rows.select(*KEY, F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("least"), F.col("doc_id").alias("high"), "many", "n", "crowd", F.col("doc_id").alias("doc"), "tid", "s"))
     classes = cut(first)
     wanted = classes.filter(~F.col("crowd") & F.expr(useful))
