@@ -47,15 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that no unfinished result reads any more.
-
-    The driver is asked for a garbage collection, which is when Spark drops the shuffle files of
-    plans that are done; else they lie on the executors' disks for half an hour.
-    """
+def remove(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that no unfinished result reads any more."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """remove(), and ask the driver for a garbage collection, which is when Spark drops the shuffle files of plans that are done; else they lie on the executors' disks for half an hour."""
+    remove(*tables)
     gc.collect()
     tables[0].sparkSession._jvm.System.gc()
 
@@ -129,8 +130,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(mins, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut(small.filter("u <> v").distinct())
+        before, edges = edges, cut(small.filter("u <> v").distinct())
         last, now = now, state(edges)
+        remove(before)
         if now == last:
             break
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(

@@ -198,22 +198,26 @@ def node_pairs(fps: DataFrame, budget: int, bits: int, cell: int) -> list[tuple[
 
 
 def links(fps: DataFrame, budget: int, bits: int = 64, cell: int = CELL, keep=forest) -> DataFrame:
-    """t, u, v: links between distinct fingerprints (t, fp, and g if there are groups) of the same t within the budget, those that `keep` picks in each task."""
-    if "g" not in fps.columns:
-        fps = fps.withColumn("g", F.lit(0).cast("long"))
+    """t, u, v, u_node, v_node: links between distinct fingerprints of the same t within the budget, those that `keep` picks in each task.
+
+    fps: t, fp and, if wanted, g (the group that `keep` looks at) and node (what stands for the fingerprint).
+    """
+    for c in ("g", "node"):
+        if c not in fps.columns:
+            fps = fps.withColumn(c, F.lit(0).cast("long"))
 
     def dealt(depth: int, pairs: DataFrame) -> DataFrame:
         """Each fingerprint once to its own node, if that is the second of a pair, and once to each node that its own is the first of."""
-        rows = fps.select("t", "fp", "g", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("node"))
+        rows = fps.select("t", "fp", "g", "node", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("place"))
         homes = pairs.groupBy("t", "q").agg(F.when(F.bool_or(F.col("p") == F.col("q")), 2).otherwise(1).alias("side"))
-        own = rows.join(homes.withColumn("node", F.col("q")), ["t", "node"]).select("t", "q", "side", "fp", "g")
-        near = rows.join(pairs.filter("p <> q").withColumnRenamed("p", "node"), ["t", "node"]).select("t", "q", F.lit(0).alias("side"), "fp", "g")
+        own = rows.join(homes.withColumn("place", F.col("q")), ["t", "place"]).select("t", "q", "side", "fp", "g", "node")
+        near = rows.join(pairs.filter("p <> q").withColumnRenamed("p", "place"), ["t", "place"]).select("t", "q", F.lit(0).alias("side"), "fp", "g", "node")
         return own.unionByName(near).withColumn("depth", F.lit(depth))
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        side, x, g = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("g").to_numpy()
+        side, x = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
         order = np.lexsort((x, side == 0))  # own ones first
-        own, x, g = int((side > 0).sum()), x[order], g[order]
+        own, x, g, node = int((side > 0).sum()), x[order], t.column("g").to_numpy()[order], t.column("node").to_numpy()[order]
         a, b = x[:own], x[own:]
         i, j = walk(a, b, budget, bits) if len(b) else (np.zeros(0, np.int64),) * 2
         j = j + own
@@ -221,10 +225,12 @@ def links(fps: DataFrame, budget: int, bits: int = 64, cell: int = CELL, keep=fo
             p, q = walk(a, None, budget, bits)
             i, j = np.concatenate([i, p]), np.concatenate([j, q])
         kept = keep(x, g, i, j)
-        return pa.table({"t": pa.array([key[0].as_py()] * len(kept), pa.int32()), "u": x[i[kept]].view(np.int64), "v": x[j[kept]].view(np.int64)})
+        i, j = i[kept], j[kept]
+        return pa.table({"t": pa.array([key[0].as_py()] * len(kept), pa.int32()), "u": x[i].view(np.int64), "v": x[j].view(np.int64), "u_node": node[i], "v_node": node[j]})
 
-    found = [dealt(*x).groupBy("t", "depth", "q").applyInArrow(join, "t int, u long, v long") for x in node_pairs(fps, budget, bits, cell) if not x[1].isEmpty()]
-    return reduce(DataFrame.unionByName, found) if found else fps.selectExpr("t", "fp as u", "fp as v").filter("false")
+    shape = "t int, u long, v long, u_node long, v_node long"
+    found = [dealt(*x).groupBy("t", "depth", "q").applyInArrow(join, shape) for x in node_pairs(fps, budget, bits, cell) if not x[1].isEmpty()]
+    return reduce(DataFrame.unionByName, found) if found else fps.selectExpr("t", "fp as u", "fp as v", "node as u_node", "node as v_node").filter("false")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, cell: int = CELL) -> DataFrame:
@@ -313,12 +319,6 @@ def close(pairs: DataFrame, marked: DataFrame, far: float = FAR) -> DataFrame:
     return sides.select("u", "v", "p", "q").mapInArrow(fn, "u long, v long")
 
 
-def across(near: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """u, v: nodes of both ends of links between fingerprints. left, right: t, fp, node."""
-    of = lambda rows, side: rows.select("t", F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
-    return near.join(of(left, "u"), ["t", "u"]).join(of(right, "v"), ["t", "v"]).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-
-
 def near_links(docs: DataFrame, width: int, least: float, budget: int = 2, cell: int = 1 << 17) -> DataFrame:
     """u, v: verified links of docs(node, text), enough to join all that the tables bring together.
 
@@ -326,23 +326,25 @@ def near_links(docs: DataFrame, width: int, least: float, budget: int = 2, cell:
     each of them, and with the least that its fingerprint's least neighbour stands for. Each
     node is joined to its least candidate, and the nodes of a tree are compared with its root. So a
     group of copies costs a few pairs a node, however large it is. Second pass: all links between
-    fingerprints whose nodes don't all agree with one root, which are few.
+    fingerprints whose nodes don't all agree with one root, which are few; where such a
+    fingerprint has several nodes, each of them.
     """
     marked, rows = signatures(docs, width)
-    fps = cut(rows.groupBy("t", "fp").agg(F.min("node").alias("node"), F.count("*").alias("size")))
-    firsts = fps.filter("size > 1").select("t", "fp", F.col("node").alias("u"))
-    star = rows.join(firsts, ["t", "fp"]).select("u", F.col("node").alias("v"))
-    near = links(fps.select("t", "fp"), budget, BITS, cell, to_least)
-    pairs = close(star.unionByName(across(near, fps, fps)), marked)
+    key = ["t", "fp"]
+    fps = cut(rows.groupBy(*key).agg(F.min("node").alias("node"), F.count("*").alias("size")))
+    star = cut(rows.withColumnRenamed("node", "v").join(fps.filter("size > 1").select(*key, F.col("node").alias("u")), key).filter("u <> v").select(*key, "u", "v"))
+    ends = lambda near: near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    pairs = close(star.select("u", "v").unionByName(ends(links(fps.select(*key, "node"), budget, BITS, cell, to_least))), marked)
     roots = cut(components(pairs.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("v"))))
     first = cut(verified(roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), docs, width, least))
     agreed = first.select(F.col("v").alias("node"), F.col("u").alias("g")).unionByName(first.select(F.col("u").alias("node"), F.col("u").alias("g")).distinct())
-    grouped = rows.join(cut(agreed), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    parts = cut(grouped.groupBy("t", "fp", "g").agg(F.min("node").alias("node")))
-    whole = cut(parts.groupBy("t", "fp").agg(F.min("node").alias("node"), F.when(F.min("g") == F.max("g"), F.min("g")).otherwise(0).alias("g")))
-    near = cut(links(whole.select("t", "fp", "g"), budget, BITS, cell, between))
-    mixed = parts.join(whole.filter("g = 0").select("t", "fp", F.col("node").alias("u")), ["t", "fp"]).select("u", F.col("node").alias("v"))
-    rest = close(mixed.unionByName(across(near, whole, parts)).unionByName(across(near, parts, whole)), marked)
+    told = rows.join(cut(agreed), "node").groupBy(*key).agg(F.count("*").alias("n"), F.min("g").alias("g"), F.max("g").alias("high"))
+    group = F.when((F.col("n") == F.col("size")) & (F.col("g") == F.col("high")), F.col("g")).when(F.col("size") == 1, F.col("node")).otherwise(0)
+    whole = cut(fps.join(told, key, "left").select(*key, "node", group.alias("g")))
+    near = cut(links(whole, budget, BITS, cell, between))
+    mixed = cut(star.join(whole.filter("g = 0").select(*key), key))
+    others = lambda side, other: near.join(mixed.select("t", F.col("fp").alias(side), F.col("v").alias("node")), ["t", side]).select(F.col("node").alias("u"), F.col(f"{other}_node").alias("v"))
+    rest = close(mixed.select("u", "v").unionByName(ends(near)).unionByName(others("u", "v")).unionByName(others("v", "u")), marked)
     return first.unionByName(verified(rest, docs, width, least))
 
 
