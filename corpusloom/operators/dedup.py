@@ -102,7 +102,7 @@ def recent_duplicates(df: DataFrame, group: str, order: str, key: str, last: int
     return placed.withColumn("seen", F.coalesce(F.col("_place") - before <= last, F.lit(False))).drop("_place")
 
 
-def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows: int = 8, threshold: float = 0.8, cut=lambda t: t.checkpoint()) -> DataFrame:
+def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows: int = 8, threshold: float = 0.8, cut=lambda t: t.checkpoint(), deal: bool = True) -> DataFrame:
     """order column, duplicate_of: rows that repeat an earlier row that is kept.
 
     Rows are taken in order; a row is a duplicate if a kept row before it shares a band
@@ -112,11 +112,13 @@ def minhash_near(df: DataFrame, text: Column, order: str, perms: int = 128, rows
     other rows are compared with its first row alone, so a round compares each row with
     at most as many rows as there are bands, however many share one. Rows compared in
     vain go on to the next round. cut ends the lineage of a round. Rows without words or
-    with a null order are never duplicates.
+    with a null order are never duplicates. deal: spread a table of few splits over the cores
+    first (asking for the splits would run the shuffles of a df that isn't a plain scan).
     """
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"(?U)\w+"), F.lit(0))))
     found = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.md5(F.array_join(w, " ")).alias("set")))[0]  # the words are found once
-    keyed = spread(df.select(F.col(order).alias("o"), text.alias("_text")).filter("o is not null")).select("o", found.alias("x")).select("o", "x.w", "x.set")
+    rows_in = df.select(F.col(order).alias("o"), text.alias("_text")).filter("o is not null")
+    keyed = (spread(rows_in) if deal else rows_in).select("o", found.alias("x")).select("o", "x.w", "x.set")
     keyed = cut(keyed).filter("size(w) > 0")
     sets = cut(keyed.groupBy("set").agg(F.min("o").alias("o"), F.first("w").alias("w")))
 
