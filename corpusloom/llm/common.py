@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -61,6 +62,15 @@ def discard(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept after a task, and with them what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

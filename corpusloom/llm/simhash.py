@@ -20,9 +20,12 @@ Two uses:
 * ``near_groups``: texts with a Jaccard similarity of 0.8 or more of their shingle sets. At
   0.8 some 15 % of the bits of two fingerprints differ, too many for a small budget over 64
   bits, so each text gets TABLES independent fingerprints of BITS bits, each in a trie of its
-  own, joined at 2 bits (an expected recall of 0.98 at 0.8 and more above). A candidate stays if
+  own, joined at 2 bits (an expected recall of 0.98 at 0.8 and more above). A task returns all
+  links of fingerprints that have at most 16 and a spanning forest of the others, so that a group
+  of near copies, whose fingerprints differ from table to table, gives some links a text in each
+  table and not all pairs. A candidate stays if
   at most FAR of all bits differ and is then checked exactly, on whole shingle sets: first
-  each text with the root of its tree of candidates, then the candidates that don't agree
+  each text with the root of its tree of candidates, then the candidates that don't both agree
   with one root.
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lowered; null texts
@@ -42,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_known, map_text, spread, word_spans
+from .common import components, cut, discard, join_known, map_text, release, spread, word_spans
 
 SEED = 42
 CELL = 1 << 11
@@ -148,7 +151,7 @@ def walk(a: np.ndarray, b: np.ndarray | None, budget: int, bits: int = 64, front
     return i.astype(np.int64), j.astype(np.int64)
 
 
-def forest(x: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def forest(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the links i-j among the numbers x to keep: a spanning forest."""
     parent, out = list(range(len(x))), []
 
@@ -165,17 +168,10 @@ def forest(x: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return np.array(out, np.int64)
 
 
-def to_least(x: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Each number's link to the least number that it is linked with, if that is less than itself."""
-    low, high = np.where(x[i] < x[j], i, j), np.where(x[i] < x[j], j, i)
-    least = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, high, x[low])
-    return np.flatnonzero(x[low] == least[high])
-
-
-def between(x: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The links between different groups g; 0 is a group of its own each time."""
-    return np.flatnonzero((g[i] != g[j]) | (g[i] == 0))
+def sparse(x: np.ndarray, i: np.ndarray, j: np.ndarray, few: int = 16) -> np.ndarray:
+    """A spanning forest, and all links of the numbers that have few."""
+    degree = np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
+    return np.union1d(np.flatnonzero(np.minimum(degree[i], degree[j]) <= few), forest(x, i, j))
 
 
 def node_pairs(fps: DataFrame, budget: int, bits: int, cell: int) -> list[tuple[int, DataFrame]]:
@@ -200,32 +196,32 @@ def node_pairs(fps: DataFrame, budget: int, bits: int, cell: int) -> list[tuple[
 def links(fps: DataFrame, budget: int, bits: int = 64, cell: int = CELL, keep=forest) -> DataFrame:
     """t, u, v, u_node, v_node: links between distinct fingerprints of the same t within the budget, those that `keep` picks in each task.
 
-    fps: t, fp and, if wanted, g (the group that `keep` looks at) and node (what stands for the fingerprint).
+    fps: t, fp and, if wanted, node (what stands for the fingerprint).
     """
-    for c in ("g", "node"):
-        if c not in fps.columns:
-            fps = fps.withColumn(c, F.lit(0).cast("long"))
+    if "node" not in fps.columns:
+        fps = fps.withColumn("node", F.lit(0).cast("long"))
 
     def dealt(depth: int, pairs: DataFrame) -> DataFrame:
         """Each fingerprint once to its own node, if that is the second of a pair, and once to each node that its own is the first of."""
-        rows = fps.select("t", "fp", "g", "node", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("place"))
+        rows = fps.select("t", "fp", "node", (F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")).alias("place"))
         homes = pairs.groupBy("t", "q").agg(F.when(F.bool_or(F.col("p") == F.col("q")), 2).otherwise(1).alias("side"))
-        own = rows.join(homes.withColumn("place", F.col("q")), ["t", "place"]).select("t", "q", "side", "fp", "g", "node")
-        near = rows.join(pairs.filter("p <> q").withColumnRenamed("p", "place"), ["t", "place"]).select("t", "q", F.lit(0).alias("side"), "fp", "g", "node")
+        own = rows.join(homes.withColumn("place", F.col("q")), ["t", "place"]).select("t", "q", "side", "fp", "node")
+        near = rows.join(pairs.filter("p <> q").withColumnRenamed("p", "place"), ["t", "place"]).select("t", "q", F.lit(0).alias("side"), "fp", "node")
         return own.unionByName(near).withColumn("depth", F.lit(depth))
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         side, x = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
         order = np.lexsort((x, side == 0))  # own ones first
-        own, x, g, node = int((side > 0).sum()), x[order], t.column("g").to_numpy()[order], t.column("node").to_numpy()[order]
+        own, x, node = int((side > 0).sum()), x[order], t.column("node").to_numpy()[order]
         a, b = x[:own], x[own:]
         i, j = walk(a, b, budget, bits) if len(b) else (np.zeros(0, np.int64),) * 2
         j = j + own
         if side.max() == 2:
             p, q = walk(a, None, budget, bits)
             i, j = np.concatenate([i, p]), np.concatenate([j, q])
-        kept = keep(x, g, i, j)
+        kept = keep(x, i, j)
         i, j = i[kept], j[kept]
+        release()
         return pa.table({"t": pa.array([key[0].as_py()] * len(kept), pa.int32()), "u": x[i].view(np.int64), "v": x[j].view(np.int64), "u_node": node[i], "v_node": node[j]})
 
     shape = "t int, u long, v long, u_node long, v_node long"
@@ -320,31 +316,25 @@ def close(pairs: DataFrame, marked: DataFrame, far: float = FAR) -> DataFrame:
 
 
 def near_links(docs: DataFrame, width: int, least: float, budget: int = 2, cell: int = 1 << 17) -> DataFrame:
-    """u, v: verified links of docs(node, text), enough to join all that the tables bring together.
-
-    First pass: of nodes with an equal fingerprint the least stands for the others; it is paired with
-    each of them, and with the least that its fingerprint's least neighbour stands for. Each
-    node is joined to its least candidate, and the nodes of a tree are compared with its root. So a
-    group of copies costs a few pairs a node, however large it is. Second pass: all links between
-    fingerprints whose nodes don't all agree with one root, which are few; where such a
-    fingerprint has several nodes, each of them.
+    """u, v: verified links of docs(node, text), enough to join what the candidates bring together.
+
+    Of nodes with an equal fingerprint in a table the least stands for the others and is a candidate with
+    each of them; it stands for the fingerprint in the trie. Each node is joined to its least candidate,
+    the nodes of a tree are compared with its root, and then every candidate pair is checked whose
+    nodes don't both agree with one root. So a group of copies gives some links a text, not all pairs.
     """
     marked, rows = signatures(docs, width)
     key = ["t", "fp"]
     fps = cut(rows.groupBy(*key).agg(F.min("node").alias("node"), F.count("*").alias("size")))
-    star = cut(rows.withColumnRenamed("node", "v").join(fps.filter("size > 1").select(*key, F.col("node").alias("u")), key).filter("u <> v").select(*key, "u", "v"))
-    ends = lambda near: near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    pairs = close(star.select("u", "v").unionByName(ends(links(fps.select(*key, "node"), budget, BITS, cell, to_least))), marked)
-    roots = cut(components(pairs.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("v"))))
+    star = rows.withColumnRenamed("node", "v").join(fps.filter("size > 1").select(*key, F.col("node").alias("u")), key).select("u", "v")
+    near = links(fps.select(*key, "node"), budget, BITS, cell, sparse).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    pairs = cut(close(star.unionByName(near), marked))
+    discard(fps)
+    roots = cut(components(pairs.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("v"))))  # a pair has u < v
     first = cut(verified(roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), docs, width, least))
-    agreed = first.select(F.col("v").alias("node"), F.col("u").alias("g")).unionByName(first.select(F.col("u").alias("node"), F.col("u").alias("g")).distinct())
-    told = rows.join(cut(agreed), "node").groupBy(*key).agg(F.count("*").alias("n"), F.min("g").alias("g"), F.max("g").alias("high"))
-    group = F.when((F.col("n") == F.col("size")) & (F.col("g") == F.col("high")), F.col("g")).when(F.col("size") == 1, F.col("node")).otherwise(0)
-    whole = cut(fps.join(told, key, "left").select(*key, "node", group.alias("g")))
-    near = cut(links(whole, budget, BITS, cell, between))
-    mixed = cut(star.join(whole.filter("g = 0").select(*key), key))
-    others = lambda side, other: near.join(mixed.select("t", F.col("fp").alias(side), F.col("v").alias("node")), ["t", side]).select(F.col("node").alias("u"), F.col(f"{other}_node").alias("v"))
-    rest = close(mixed.select("u", "v").unionByName(ends(near)).unionByName(others("u", "v")).unionByName(others("v", "u")), marked)
+    agreed = cut(first.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(first.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()))
+    of = lambda side: agreed.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("not coalesce(u_root = v_root, false)").select("u", "v")
     return first.unionByName(verified(rest, docs, width, least))
 
 

@@ -58,7 +58,7 @@ def test_exact(spark, corpus):
 
 
 def test_simhash(spark, corpus):
-    from corpusloom.llm.simhash import between, links, simhash, simhash_groups, to_least, walk
+    from corpusloom.llm.simhash import links, simhash, simhash_groups, sparse, walk
 
     def plain(t):
         ws = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
@@ -79,15 +79,22 @@ def test_simhash(spark, corpus):
     assert {(a, b + 300) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a, b in want if a < 300 <= b}
     fps = spark.createDataFrame([(t, int(f)) for t in (0, 1) for f in x.view(np.int64)[t::2]], "t int, fp long")
     for cell in (1 << 14, 30, 2):  # one task, node pairs of some depth, crowded nodes
-        found = [(r["t"], *sorted((r["u"], r["v"]))) for r in links(fps, 2, cell=cell, keep=lambda x, g, i, j: np.arange(len(i))).collect()]
+        found = [(r["t"], *sorted((r["u"], r["v"]))) for r in links(fps, 2, cell=cell, keep=lambda x, i, j: np.arange(len(i))).collect()]
         assert len(found) == len(set(found)) and set(found) == {(a % 2, *sorted(map(int, (x[a].view(np.int64), x[b].view(np.int64))))) for a, b in want if a % 2 == b % 2}
     i, j = walk(x, None, 2)
-    kept = to_least(x, None, i, j)
-    near = {k: {a + b - k for a, b in want if k in (a, b)} for k in range(len(x))}
-    assert {tuple(sorted(p)) for p in zip(i[kept].tolist(), j[kept].tolist(), strict=True)} == {(min(n), k) for k, n in near.items() if n and min(n) < k}
-    g = np.array([k % 3 for k in range(len(x))])
-    kept = between(x, g, i, j)
-    assert {tuple(sorted(p)) for p in zip(i[kept].tolist(), j[kept].tolist(), strict=True)} == {(a, b) for a, b in want if a % 3 != b % 3 or a % 3 == 0}
+    for few in (0, 1, 16):
+        kept = sparse(x, i, j, few)
+        degree = Counter(k for p in want for k in p)
+        some = {tuple(sorted(p)) for p in zip(i[kept].tolist(), j[kept].tolist(), strict=True)}
+        assert some <= want and {p for p in want if min(degree[p[0]], degree[p[1]]) <= few} <= some
+        root = list(range(len(x)))
+        for part in (some, want):
+            groups = list(range(len(x)))
+            for _ in range(12):
+                for a, b in part:
+                    groups[a] = groups[b] = min(groups[a], groups[b])
+            root, last = groups, root
+        assert root == last
     got = simhash_groups(frame(spark, short), cell=4).collect()
     fps = {(r["doc_id"]): int(r["fingerprint"], 16) for r in got if r["doc_id"] is not None}
     root = {i: i for i in fps}
