@@ -36,6 +36,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 NOT_SPACE = np.array([bytes([b]).strip() != b"" for b in range(256)])
 PIECE = 1 << 19  # units of a document that are windowed at a time
 LONGEST = 256  # windows of a segment
+FEW_IDS = 1 << 20  # ids that are broadcast (8 MB); more of them aren't used to filter documents
 CROWD = 2000  # segments of an anchor, beyond which it is cut into windows
 SEGMENTS = "a long, h long, g long, doc_id long, tid long, s int, n int, many boolean"
 KEY = ["a", "h", "g"]
@@ -253,6 +254,9 @@ def class_of(rows: DataFrame) -> DataFrame:
 
 def windows_of(classes: DataFrame, docs: DataFrame, words: bool, width: int) -> DataFrame:
     """The classes' windows, keyed by their content: w (number in the class), a, h, g, and the class as ca, ch, cg."""
+    ids = classes.select("doc").distinct()
+    if ids.count() <= FEW_IDS:  # only the documents that stand for a class are shuffled then
+        docs = docs.join(F.broadcast(ids), F.coalesce("doc_id", F.lit(0)) == F.col("doc"), "left_semi")
     wanted = classes.select(F.col("a").alias("ca"), F.col("h").alias("ch"), F.col("g").alias("cg"), "copies", "least", "high", "n", "doc", "tid", "s", F.col("doc").alias("of_doc"), F.col("tid").alias("of_tid"))
     shape = "ca long, ch long, cg long, w int, a long, h long, g long, copies long, least long, high long, many boolean, n int, crowd boolean, doc long, tid long, s int"
     arrow = arrow_of(shape)

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .anchors import CROWD, KEY, covered, named, repeated, with_ranges
+from .common import release
 
 WIDTH = 50
 K = 10
@@ -145,6 +146,7 @@ def shard_ranges(width: int):
         new = np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1) | (low[1:] != low[:-1]))[: len(hit)]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(hit))[: len(first)] - 1
+        release()
         return pa.table({**{c: pa.array(x[text[first]]) for c, x in zip(KEY, key, strict=True)}, "first": pa.array(place[first], pa.int32()), "last": pa.array(place[last], pa.int32()), "least": pa.array(low[first])})
 
     return run

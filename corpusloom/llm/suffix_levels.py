@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import CROWD, KEY, arrow_of, class_of, covered, find_segments, named, repeated, runs_of, texts_of, with_ranges
-from .common import cut
+from .common import cut, release
 
 WIDTH = 200
 K = 32
@@ -101,6 +101,7 @@ def shard_ranges(width: int):
                 held, windows = [], 0
         runs = [(k, a, b) for k in range(len(texts)) for a, b in zip(*runs_of(index.hit[base[k] : base[k] + n[k]]), strict=True)]
         of, first, last = np.array(runs, np.int64).reshape(-1, 3).T
+        release()
         return pa.table({**{c: pa.array(x[of]) for c, x in zip(KEY, key, strict=True)}, "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32()), "least": pa.array(np.zeros(len(of), np.int64))})
 
     return run
