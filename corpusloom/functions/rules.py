@@ -153,9 +153,10 @@ def template_number(c: Column, templates: int = 8) -> Column:
 
 def fact_sentences(c: Column, pattern: str, most: int = 3) -> Column:
     """The first sentences of 40 to 400 characters that match, no two with the same 80 first characters."""
-    hits = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s).between(40, 400) & s.rlike(pattern))
-    heads = F.transform(hits, lambda s: F.lower(F.substring(s, 1, 80)))
-    return F.slice(F.filter(F.transform(F.arrays_zip(hits.alias("s"), heads.alias("h")), lambda x, i: F.when(F.array_position(heads, x["h"]) == i + 1, x["s"])), lambda x: x.isNotNull()), 1, most)
+    hits = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s).between(40, 400) & s.rlike(pattern))
+    head = lambda s: F.lower(F.substring(s, 1, 80))
+    first = lambda found: Q.once(F.transform(found, head), lambda heads: F.filter(found, lambda s, i: F.array_position(heads, head(s)) == i + 1))
+    return F.slice(Q.once(hits, first), 1, most)
 
 
 def repetitive_ids(ids: Column, pad: int, run: int = 8) -> Column:

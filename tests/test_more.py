@@ -395,3 +395,10 @@ def test_digits_at_the_ends_of_lines_stay(spark):
     from corpusloom.functions import quality as Q
 
     assert column(spark, Q.lines, ["\n".join(["0 first 0", " 1 second 1 ", "2", "", "  ", "x 4"])]) == [["0 first 0", "1 second 1", "2", "x 4"]]
+
+
+def test_digits_at_the_ends_of_claims_stay(spark):
+    from corpusloom.functions import rules as R
+
+    claims = [f"{k} claim of the year that is long enough for the rule ends here." for k in range(3)]
+    assert column(spark, lambda c: R.fact_sentences(c, r"\d"), ["  ".join(claims), " ".join([claims[0], claims[0].upper(), *claims[1:]]), "none", None]) == [claims, claims, [], None]
