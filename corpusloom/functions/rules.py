@@ -200,7 +200,7 @@ def chapters(c: Column) -> Column:
 
 def theme(c: Column) -> Column:
     """The first sentence of 20 to 90 characters, else the first 80 characters."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(c, r"[.!?]\s+"), F.trim), lambda s: F.length(s).between(20, 90)), F.lit(0)), F.trim(F.substring(c, 1, 80)))
+    return F.coalesce(F.get(F.filter(F.transform(F.split(c, r"[.!?]\s+"), lambda s: F.trim(s)), lambda s: F.length(s).between(20, 90)), F.lit(0)), F.trim(F.substring(c, 1, 80)))
 
 
 def shortened(c: Column, words: int = 500) -> Column:

@@ -402,3 +402,9 @@ def test_digits_at_the_ends_of_claims_stay(spark):
 
     claims = [f"{k} claim of the year that is long enough for the rule ends here." for k in range(3)]
     assert column(spark, lambda c: R.fact_sentences(c, r"\d"), ["  ".join(claims), " ".join([claims[0], claims[0].upper(), *claims[1:]]), "none", None]) == [claims, claims, [], None]
+
+
+def test_digits_at_the_ends_of_themes_stay(spark):
+    from corpusloom.functions import rules as R
+
+    assert column(spark, R.theme, ["0 is the first sentence here. Next one", "short. 1 is the second sentence.  x"]) == ["0 is the first sentence here", "1 is the second sentence"]
