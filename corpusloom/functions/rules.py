@@ -211,7 +211,7 @@ def shortened(c: Column, words: int = 500) -> Column:
 def question_from_title(c: Column) -> Column:
     """A title without its site name as a capitalised question."""
     bare = F.trim(F.regexp_replace(c, r"\s+[—|–-]\s+[^—|–-]*$", ""))
-    asked = F.concat(F.upper(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)))
+    asked = F.concat(T.upper_letter(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)))
     return F.when(F.endswith(asked, F.lit("?")), asked).otherwise(F.concat(asked, F.lit("?")))
 
 

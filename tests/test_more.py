@@ -408,3 +408,11 @@ def test_digits_at_the_ends_of_themes_stay(spark):
     from corpusloom.functions import rules as R
 
     assert column(spark, R.theme, ["0 is the first sentence here. Next one", "short. 1 is the second sentence.  x"]) == ["0 is the first sentence here", "1 is the second sentence"]
+
+
+def test_upper_letter_is_one_letter(spark):
+    from corpusloom.functions import rules as R
+    from corpusloom.functions import text as T
+
+    assert column(spark, T.upper_letter, ["a", "ß", "ŉ", "ﬁ", "ᾀ", "1", "", None]) == ["A", "ẞ", "ŉ", "ﬁ", "ᾈ", "1", "", None]
+    assert column(spark, R.question_from_title, ["ßie ist", "é assim?", ""]) == ["ẞie ist?", "É assim?", "?"]
