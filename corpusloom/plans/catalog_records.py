@@ -337,8 +337,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     base = sinks.scratch(spark)
     rows = documents(spark, sf_dir)
+    source = f"{sf_dir}/documents.parque[t]"  # a pattern, as a stream's plain path must be a folder: the table is a file or a folder of files
     for _ in range(2):  # the second run finds nothing new
-        pickup.pick_up(spark, sf_dir, f"{base}/out", f"{base}/state", rows.schema, lambda d: d.select("doc_id", Q.quality_reason(X()).alias("reason")), "documents.parquet")
+        pickup.pick_up(spark, source, f"{base}/out", f"{base}/state", rows.schema, lambda d: d.select("doc_id", Q.quality_reason(X()).alias("reason")), "*")
     return spark.read.schema("doc_id long, reason string").parquet(f"{base}/out")
 
 

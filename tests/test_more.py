@@ -436,3 +436,8 @@ def test_folders_beyond_the_alphabet(spark, tmp_path):
     mine, theirs = tables_against_sql(spark, tmp_path, "folder_split", [(k, "a" if k % 10 else "b") for k in range(4000)], "doc_id long, source string")
     assert mine == theirs and len(mine) == 200 and "a_{" in dict(mine)
     assert column(spark, sinks.character, [97, 0xD7FF, 0xD800, 0x1F600, 0x110000], "long") == ["a", "퟿", "55296", "😀", "1114112"]
+
+
+def test_pickup_of_a_table_in_several_files(spark, tmp_path):
+    mine, theirs = tables_against_sql(spark, tmp_path, "picked_up", [(k, f"short {k}") for k in range(50)], "doc_id long, text string")
+    assert mine == theirs and len(mine) == 50
