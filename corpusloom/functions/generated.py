@@ -52,32 +52,38 @@ def any_phrase(c: Column, phrases: list[str]) -> Column:
 
 def list_share(c: Column) -> Column:
     """Share of the lines with text that are items of a list."""
-    found = Q.lines(c)
-    return F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.filter(found, lambda x: x.rlike(LIST_LINE))) / F.size(found))
+    return Q.once(Q.lines(c), lambda found: F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.filter(found, lambda x: x.rlike(LIST_LINE))) / F.size(found)))
+
+
+def has_markup(c: Column) -> Column:
+    """Whether one of the patterns occurs."""
+    return c.rlike("(?is)" + "|".join(MARKUP))
 
 
 def answer_reason(c: Column, kind: str = "artigo", finish: Column | None = None, long: bool = False) -> Column:
     """Why a generated text is rejected, the first rule that holds, or 'ok'. finish: why the generation ended. long: the second set of rules, with repeated sentences and other lengths."""
-    text = T.clean_contacts(c)
-    key = T.lookup_key(text)
-    words, n = R.split_words(text), F.regexp_count(key, F.lit(r"\S+"))
-    cut = F.endswith(text, F.lit("...")) | (F.length(text) < 5)
-    if finish is not None:
-        cut = cut | F.coalesce(finish.isin("length", "max_tokens"), F.lit(False))
-    low = F.lower(text)
     least, most = (LENGTHS_LONG if long else LENGTHS).get(kind, (None, None))
-    out = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty").when(cut, "truncated").when(key.isin(VAGUE_WHOLE), "vague").when(any_phrase(key, WEAK), "weak")
-        .when(F.contains(text, F.lit("��")), "strange").when(text.rlike("(?is)" + "|".join(MARKUP)), "markup").when(list_share(text) > 0.5, "list")
-        .when((F.size(words) >= 10) & (R.most_common(words) > 0.4 * F.size(words)), "repeated").when(any_phrase(low, EVASIVE), "generic").when(any_phrase(low, CRUTCHES), "crutch")
-    )
-    if long:
-        out = out.when(R.repeats_itself(text), "repeated_sentences")
-    if least is not None:
-        out = out.when(n < least, "short")
-    if most is not None:
-        out = out.when(n > most, "long")
-    return out.otherwise("ok")
+
+    def of_text(text: Column) -> Column:
+        cut = F.endswith(text, F.lit("...")) | (F.length(text) < 5)
+        if finish is not None:
+            cut = cut | F.coalesce(finish.isin("length", "max_tokens"), F.lit(False))
+        return F.when(F.coalesce(text, F.lit("")) == "", "empty").when(cut, "truncated").otherwise(Q.once(T.lookup_key(text), lambda key: of_key(text, key)))
+
+    def of_key(text: Column, key: Column) -> Column:
+        out = (
+            F.when(key.isin(VAGUE_WHOLE), "vague").when(any_phrase(key, WEAK), "weak").when(F.contains(text, F.lit("��")), "strange").when(has_markup(text), "markup")
+            .when(list_share(text) > 0.5, "list").when(Q.once(R.split_words(text), lambda w: (F.size(w) >= 10) & R.over_share(w, 0.4)), "repeated")
+        )
+        low = Q.once(F.lower(text), lambda low: F.when(any_phrase(low, EVASIVE), "generic").when(any_phrase(low, CRUTCHES), "crutch"))
+        return F.coalesce(out, low, of_length(text, key))
+
+    def of_length(text: Column, key: Column) -> Column:
+        out = F.when(R.repeats_itself(text), "repeated_sentences") if long else F.when(F.lit(False), "")
+        limits = Q.once(F.regexp_count(key, F.lit(r"\S+")), lambda n: F.when(n < (least or 0), "short").when(n > (most or (1 << 30)), "long").otherwise("ok"))
+        return F.coalesce(out, limits)
+
+    return Q.once(T.clean_contacts(c), of_text)
 
 
 def safe_topic(c: Column) -> Column:

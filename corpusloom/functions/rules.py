@@ -33,6 +33,12 @@ def most_common(words: Column) -> Column:
     return F.aggregate(F.array_sort(words), start, step)["best"]
 
 
+def over_share(words: Column, share: float) -> Column:
+    """Whether one element makes up more than a share of an array: of the sorted elements, two so far apart are equal."""
+    far = F.floor(F.size(words) * share).cast("int")
+    return Q.once(F.sort_array(words), lambda w: F.exists(F.zip_with(F.slice(w, 1, F.size(w) - far), F.slice(w, far + 1, F.size(w) - far), lambda a, b: a == b), lambda x: x))
+
+
 def split_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
 

@@ -441,3 +441,13 @@ def test_folders_beyond_the_alphabet(spark, tmp_path):
 def test_pickup_of_a_table_in_several_files(spark, tmp_path):
     mine, theirs = tables_against_sql(spark, tmp_path, "picked_up", [(k, f"short {k}") for k in range(50)], "doc_id long, text string")
     assert mine == theirs and len(mine) == 50
+
+
+def test_over_share(spark):
+    from corpusloom.functions import rules as R
+
+    rng = random.Random(5)
+    cases = [[rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(300)]
+    for share in (0.3, 0.4):
+        want = [bool(w) and max(map(w.count, w)) > share * len(w) for w in cases]
+        assert column(spark, lambda c: R.over_share(c, share), cases, "array<string>") == want and True in want and False in want  # noqa: B023
