@@ -95,8 +95,7 @@ def sentence_keys(c: Column) -> Column:
 
 def repeats_itself(c: Column, share: float = 0.3) -> Column:
     """Whether one sentence makes up more than a share of two sentences or more."""
-    found = sentence_keys(c)
-    return (F.size(found) >= 2) & (most_common(found) > share * F.size(found))
+    return Q.once(sentence_keys(c), lambda found: (F.size(found) >= 2) & over_share(found, share))
 
 
 def bulk_reason(c: Column) -> Column:
