@@ -60,6 +60,7 @@ def discard(*tables: DataFrame) -> None:
     remove(*tables)
     gc.collect()
     tables[0].sparkSession._jvm.System.gc()
+    release()
 
 
 def release() -> None:
