@@ -30,6 +30,7 @@ import mmap
 import os
 import pickle
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -37,7 +38,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, map_text, shared_dir, spread
+from .common import cut, discard, kept, map_text, shared_dir, spread
 
 NONE = 1 << 62
 FREQUENT = 50_000
@@ -83,6 +84,14 @@ class Automaton:
 _BYTE = [bytes([b]) for b in range(256)]
 
 
+class Numbers(dict):
+    """Distinct things, numbered in the order in which they are asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def compile_words(words: list[bytes]) -> bytes:
     """Flat bytes of the minimal automaton of sorted distinct words."""
     arcs: list[dict[int, int]] = [{}]
@@ -287,8 +296,8 @@ class Bpe:
         for wide in (8, 16, 32):
             some = [w for w in words if low < len(w) <= wide]
             low = wide
-            for lo in range(0, len(some), 1 << 15):
-                part = some[lo : lo + (1 << 15)]
+            for lo in range(0, len(some), 1 << 13):
+                part = some[lo : lo + (1 << 13)]
                 raw = np.frombuffer(b"".join([w.ljust(wide, b"\0") for w in part]), np.uint8).reshape(-1, wide)
                 size = np.array([len(w) for w in part])
                 ids, row = plain[raw], np.arange(len(part))
@@ -346,40 +355,40 @@ class Bpe:
         low = text.lower()
         return BLANK.split(low) if _SEPARATORS.search(low) else low.split()
 
-    def rendered(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
+    def rendered(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, the ids in decimal, and the decoded text, of each text.
 
-        Each distinct chunk is looked up in the lexicon once; those that aren't there are encoded
-        together. Of these the short ones are kept for further batches, KEPT at most: what is in
-        the lexicon is always found there.
+        Texts are held as the numbers of their chunks. Each distinct chunk is looked up in the lexicon
+        once; those that aren't there are encoded together. Of these the short ones are kept for further
+        batches, KEPT at most: what is in the lexicon is always found there.
         """
         collects = gc.isenabled()
         gc.disable()  # millions of short-lived strings, no cycles
         try:
-            cut = [self.pieces(raw.decode("utf-8", "replace")) for raw in texts]
-            said = dict.fromkeys(c for t in cut for c in t)
-            said.pop("", None)
-            unseen, kept, special = [], self.kept, self.special
-            for c in said:
-                ids = [special[c]] if c in special else self.known(c.encode())
-                if ids is not None:
-                    said[c] = self.said(ids)
-                elif (x := kept.get(c)) is not None:
-                    said[c] = x
-                else:
-                    unseen.append(c)
+            number = Numbers()
+            cut = []
+            for raw in texts:
+                pieces = self.pieces(raw.decode("utf-8", "replace"))
+                cut.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
+            said: list[tuple[int, str, str]] = []
+            unseen, kept, special = {}, self.kept, self.special
+            for c, k in number.items():
+                ids = [special[c]] if c in special else self.known(c.encode()) if c else []
+                if ids is None and (x := kept.get(c)) is None:
+                    unseen[c] = k
+                said.append(self.said(ids) if ids is not None else x)
+            del number
             if len(kept) + len(unseen) > KEPT:
                 kept.clear()
-            for c, ids in zip(unseen, self.split_all(unseen), strict=True):
-                said[c] = x = self.said(ids)
+            for (c, k), ids in zip(unseen.items(), self.split_all(list(unseen)), strict=True):
+                said[k] = x = self.said(ids)
                 if len(c) <= 32 and len(kept) < KEPT:
                     kept[c] = x
-            empty = {c for c, x in said.items() if not x[0]} | {""}
-            out = []
+            size = np.array([x[0] for x in said], np.int64)
+            ids, tokens = [x[1] for x in said], [x[2] for x in said]
             for t in cut:
-                parts = [said[c] for c in t] if empty.isdisjoint(t) else [said[c] for c in t if c not in empty]
-                out.append((sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])))
-            return out
+                at = t[size[t] > 0].tolist()
+                yield int(size[t].sum()), " ".join(map(ids.__getitem__, at)), " ".join(map(tokens.__getitem__, at))
         finally:
             if collects:
                 gc.enable()
@@ -407,16 +416,14 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", most: int = FREQUEN
     return found
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def _worker(name: str) -> Bpe:
     """The tokenizer from the file that Spark gave this executor: mapped once a worker, its pages shared by all."""
-    if name not in _LOADED:
-        _LOADED.clear()
+    loaded = kept("bpe")
+    if name not in loaded:
+        loaded.clear()
         with open(SparkFiles.get(name), "rb") as f:
-            _LOADED[name] = Bpe.unpacked(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-    return _LOADED[name]
+            loaded[name] = Bpe.unpacked(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    return loaded[name]
 
 
 def shipped(spark: SparkSession, bpe: Bpe) -> str:
@@ -435,12 +442,19 @@ def shipped(spark: SparkSession, bpe: Bpe) -> str:
 
 def _rendered(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns, schema: str) -> DataFrame:
     name = shipped(docs.sparkSession, Bpe.load(tokenizer, frequent_chunks(docs, text_col)))
-    return map_text(spread(docs), id_col, text_col, lambda ids, texts: {"doc_id": ids, **columns(_worker(name).rendered(texts))}, schema, rows=4096)
+    return map_text(spread(docs), id_col, text_col, lambda ids, texts: {"doc_id": ids, **columns(_worker(name).rendered(texts))}, schema, rows=4096, owner="bpe")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, decoded string. Odd rows: as the module says; an empty table gives no rows."""
-    columns = lambda found: {"ids": [np.array(x[1].split(), np.int32) for x in found], "decoded": [x[2] for x in found]}
+
+    def columns(found) -> dict:
+        ids, decoded = [], []
+        for _, x, y in found:
+            ids.append(np.array(x.split(), np.int32))
+            decoded.append(y)
+        return {"ids": ids, "decoded": decoded}
+
     return _rendered(docs, tokenizer, id_col, text_col, columns, "doc_id long, ids array<int>, decoded string")
 
 
@@ -450,5 +464,8 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    columns = lambda found: {"n_tokens": [x[0] for x in found], "ids_sha256": [sha(x[1]) for x in found], "decoded_sha256": [sha(x[2]) for x in found]}
+    def columns(found) -> dict:
+        rows = [(n, sha(x), sha(y)) for n, x, y in found]
+        return {name: [r[k] for r in rows] for k, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+
     return _rendered(docs, tokenizer, id_col, text_col, columns, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

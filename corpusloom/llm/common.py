@@ -72,6 +72,19 @@ def release() -> None:
         pass
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str = "") -> dict:
+    """What a worker keeps between its tasks for one operator. Workers outlive a query: what they kept for another operator is given back first."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        release()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,8 +103,8 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_text(docs: DataFrame, id_col: str, text_col: str, fn, schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow over (id, text) alone: fn(ids, texts as bytes), with at most `rows` texts, gives a dict of columns."""
+def map_text(docs: DataFrame, id_col: str, text_col: str, fn, schema: str, rows: int = 512, owner: str = "") -> DataFrame:
+    """mapInArrow over (id, text) alone: fn(ids, texts as bytes), with at most `rows` texts, gives a dict of columns. owner: as in kept()."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -99,11 +112,13 @@ def map_text(docs: DataFrame, id_col: str, text_col: str, fn, schema: str, rows:
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(owner)
         for b in batches:
             for lo in range(0, b.num_rows, rows):
                 part = b.slice(lo, rows)
                 out = fn(part.column(0).to_pylist(), as_bytes(part.column(1)))
                 yield pa.record_batch([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, parsed)
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, word_spans
+from .common import as_bytes, kept, release, word_spans
 
 BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -144,9 +144,12 @@ def map_features(docs: DataFrame, sample: DataFrame, features) -> tuple[list, np
     rows = rows.join(F.broadcast(sample), "id")  # as many rows as the sample's bound
 
     def run(batches):
+        kept()
         for b in batches:
             made = [[x.tolist() for x in bags] for _, part in batches_of(as_bytes(b.column(1))) for bags in features(part)]
             yield pa.record_batch({"id": b.column(0), "y": b.column(2), "x": pa.array(made, pa.list_(pa.list_(pa.int32())))})
+            del made
+        release()
 
     found = rows.mapInArrow(run, "id long, y int, x array<array<int>>").toArrow().sort_by("id")
     x = []

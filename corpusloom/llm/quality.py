@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_text, spread
+from .common import as_bytes, kept, map_text, release, spread
 from .labelled import BITS, MARKS, Tokens, batches_of, fold, grams, map_features, platt, sample_ids, sigmoid, sums
 
 MOST = 12_000
@@ -113,9 +113,11 @@ def keep_quality(docs: DataFrame, model: QualityModel, least: float = 0.5, text_
     at = docs.columns.index(text_col)
 
     def run(batches):
+        kept()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 yield part.filter(pa.array(model.scores(as_bytes(part.column(at))) >= least))
+        release()
 
     return spread(docs).mapInArrow(run, docs.schema)

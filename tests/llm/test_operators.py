@@ -280,6 +280,53 @@ def test_bpe(spark, corpus):
         assert loaded.encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_holds_chunk_numbers_not_chunks():
+    import tracemalloc
+
+    from corpusloom.llm import bpe
+    from corpusloom.llm.registry import tokenizer_path
+
+    loaded = bpe.Bpe.load(tokenizer_path())
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(100)] + ["", "\x1c", "é1", "<|endoftext|>"]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(400)]
+    want = [loaded.encode(t) for t in texts[:20]]
+    assert list(loaded.rendered([t.encode() for t in texts[:20]])) == [(len(x), " ".join(map(str, x)), loaded.decode(x)) for x in want]
+    raw = [t.encode() for t in texts]
+    tracemalloc.start()
+    try:
+        assert sum(n for n, _, _ in loaded.rendered(raw)) > 400_000
+        assert tracemalloc.get_traced_memory()[1] < 12e6  # a string for each of the 400,000 chunks would take over twice that
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_give_back_what_another_operator_kept():
+    import weakref
+
+    from corpusloom.llm import common, quality
+
+    class Lexicon:
+        pass
+
+    lexicon = Lexicon()
+    gone = weakref.ref(lexicon)
+    common.kept("bpe")["name"] = lexicon
+    del lexicon
+    assert common.kept("bpe")["name"] is gone()
+
+    class Docs:  # runs the stage's function in this process
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter(())))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "spread", lambda docs: docs)
+        quality.keep_quality(Docs(), None)
+    assert gone() is None and common.kept() == {}
+
+
 def test_warc(spark, tmp_path):
     from corpusloom.llm import warc
 
